@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quantmill.llm import neardup, overlap
-from quantmill.session import cut
+from quantmill.llm import leaks, mixing, neardup, overlap, splitting, topn
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,9 +40,46 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.group_pairs(groups).distinct().select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topn.top_n(table(spark, sf_dir, "run"), "q_id", "doc_id", "score", 10).select("q_id", "rank", "doc_id")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.select("doc_id", "item_id").distinct()
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> mixing.Mix:
+    return mixing.Mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"), table(spark, sf_dir, "concept_ref"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir).shares().where("outcome <> 'within'").select("source", "outcome")
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir).shares()
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_documents(table(spark, sf_dir, "documents")).where("piece = 1").select("doc_id").distinct()
+
+
+def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p4_found": p4_found}
+    found = (p3_found, p4_found, p5_found, p6_found, p7_found, p7_shares, p8_found, p8_pieces)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p5_found": """
+            SELECT q_id, CAST(rank AS INTEGER) AS rank, doc_id FROM (
+              SELECT q_id, doc_id, row_number() OVER (PARTITION BY q_id ORDER BY s DESC, doc_id DESC) AS rank FROM (
+                SELECT q_id, doc_id, max(score) AS s FROM run
+                WHERE q_id IS NOT NULL AND doc_id IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) GROUP BY q_id, doc_id))
+            WHERE rank <= 10""",
+    }
