@@ -24,6 +24,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, name: str
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -46,15 +47,19 @@ _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors of a cluster once per application, so that functions run there
-    find it whatever their path is. Not needed on one machine."""
+    """Let the Python workers find this package, once per application: by its path where they share the
+    driver's files, else by a copy sent to the executors."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local" or sc.applicationId in _shipped:
+    if sc.applicationId in _shipped:
         return
+    _shipped.add(sc.applicationId)
     root = Path(__file__).resolve().parent
+    paths = [str(root.parent), *filter(None, sc.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep))]
+    sc.environment["PYTHONPATH"] = os.pathsep.join(dict.fromkeys(paths))
+    if sc.master.startswith("local"):
+        return
     target = Path(tempfile.mkdtemp(prefix="quantmill-")) / "quantmill.zip"
     with zipfile.ZipFile(target, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, str(p.relative_to(root.parent)))
     sc.addPyFile(str(target))
-    _shipped.add(sc.applicationId)
