@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quantmill.llm import leaks, mixing, neardup, overlap, splitting, topn
+from quantmill.llm import leaks, mapping, mixing, neardup, overlap, splitting, topn
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,30 @@ def _query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(field, rec_id, pos, ref_name, similarity, source) of every entry that is not letter for letter in its list."""
+    collection, train = table(spark, sf_dir, "collection"), table(spark, sf_dir, "train_concepts_units_extended")
+    units, concepts = table(spark, sf_dir, "unit_ref"), table(spark, sf_dir, "concept_ref")
+    last = collection.groupBy("doc_id").agg(F.max_by(F.struct("units"), "ingested_at").alias("x"))
+    kind = {"unit": F.lit("unit").alias("kind"), "concept": F.lit("concept").alias("kind")}
+    rows = (
+        last.select(F.lit("collection.units").alias("field"), F.col("doc_id").alias("rec_id"), F.posexplode("x.units").alias("pos", "value"), kind["unit"])
+        .unionByName(train.select(F.lit("train_concepts_units_extended.keyword").alias("field"), F.col("cu_id").alias("rec_id"), F.lit(0).alias("pos"), F.col("keyword").alias("value"), kind["concept"]))
+        .unionByName(train.select(F.lit("train_concepts_units_extended.unit").alias("field"), F.col("cu_id").alias("rec_id"), F.lit(0).alias("pos"), F.col("unit").alias("value"), kind["unit"]))
+    )
+    scales = frozenset(w for r in units.where("unit_type = 'scale'").collect() for w in [r.unit, *(r.forms or [])])
+    real = units.where("unit_type <> 'scale'")
+    names = real.select(kind["unit"], F.col("unit").alias("value")).unionAll(concepts.select(kind["concept"], F.col("concept").alias("value")))
+    forms = real.select(kind["unit"], F.explode(F.array_union("forms", F.array("unit"))).alias("form"), F.col("unit").alias("ref_name")).unionByName(
+        concepts.select(kind["concept"], F.col("concept").alias("form"), F.col("concept").alias("ref_name"))
+    )
+    return mapping.map_entries(rows, forms.distinct(), names.distinct(), {"unit": scales, "concept": frozenset()})
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mapped(spark, sf_dir).select("field", "rec_id", "pos", "ref_name").distinct()
+
+
 def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _collection_texts(spark, sf_dir).unionByName(_query_texts(spark, sf_dir))
     name = F.when(F.col("tab") == 0, "collection").otherwise("queries")
@@ -70,7 +94,7 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p3_found, p4_found, p5_found, p6_found, p7_found, p7_shares, p8_found, p8_pieces)
+    found = (p2_found, p3_found, p4_found, p5_found, p6_found, p7_found, p7_shares, p8_found, p8_pieces)
     return {f.__name__: f for f in found}
 
 
