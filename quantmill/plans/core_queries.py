@@ -6,9 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quantmill.operators import quantities
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantities.harmonise(table(spark, sf_dir, "collection"), table(spark, sf_dir, "unit_ref"), table(spark, sf_dir, "concept_ref"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantities.converted(_quantities(spark, sf_dir)).distinct()
+
+
+def p1_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quantities routed for review, with the share of the model's confidence."""
+    return _quantities(spark, sf_dir).where("how in ('review', 'open')")
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"p1_found": p1_found, "p1_review": p1_review}
 
 
 def oracle_sql() -> dict[str, str]:
