@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType
 
 NOT_WORD = r"[^\p{L}\p{N}]+"
 #: Marks that are dropped as tokens; $ and % are kept.
@@ -28,8 +29,13 @@ def simple_tokens(text: Column) -> Column:
 
 
 def strip_text(text: Column) -> Column:
-    """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, r"^[\s ]+|[\s ]+$", "")
+    """Without white space of any kind, no-break blanks included, at both ends."""
+    return F.regexp_replace(text, r"^[\s\u00A0]+|[\s\u00A0]+$", "")
+
+
+def unit_key(unit: Column) -> Column:
+    """A unit as it is compared: lower case, without white space at the ends."""
+    return F.lower(strip_text(unit))
 
 
 #: Latin letters with marks and what they become.
@@ -39,7 +45,7 @@ _PLAIN = {c: unicodedata.normalize("NFD", c)[0] for c in map(chr, range(0xC0, 0x
 def clean(text: Column) -> Column:
     """``<num>`` and characters outside the Latin blocks removed, accents dropped."""
     t = F.regexp_replace(text, "<num>", " ")
-    t = F.regexp_replace(t, r"[^\u0000-ɏ₠-⃏]", "")
+    t = F.regexp_replace(t, r"[^\u0000-\u024F\u20A0-\u20CF]", "")
     t = F.translate(t, "".join(_PLAIN), "".join(_PLAIN.values()))
     return F.regexp_replace(t, r"[^\u0000-\u007F]", "")
 
@@ -67,7 +73,7 @@ def keyword_tokens(keywords: Column) -> Column:
     return stem_all(F.transform(F.split(F.coalesce(keywords, F.lit("")), " "), F.lower))
 
 
-@pandas_udf("array<string>")
+@pandas_udf(ArrayType(StringType()))
 def stem_all(words: pd.Series) -> pd.Series:
     """Porter stems of arrays of words."""
     memo: dict[str, str] = {}

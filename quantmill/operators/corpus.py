@@ -17,7 +17,7 @@ def quantities(collection: DataFrame, drop_unitless: bool = False) -> DataFrame:
     """(doc_id, pos, unit, value): units and values zipped to the shorter list; ``-`` is the mark for no unit."""
     n = F.least(F.size("values"), F.size("units"))
     pairs = F.arrays_zip(F.slice(F.col("values"), 1, n).alias("value"), F.slice(F.col("units"), 1, n).alias("unit"))
-    out = collection.where(n > 0).select("doc_id", F.posexplode(pairs).alias("pos", "x")).select("doc_id", "pos", F.lower(F.trim("x.unit")).alias("unit"), F.col("x.value").alias("value"))
+    out = collection.where(n > 0).select("doc_id", F.posexplode(pairs).alias("pos", "x")).select("doc_id", "pos", T.unit_key(F.col("x.unit")).alias("unit"), F.col("x.value").alias("value"))
     return out.where("unit <> '-' and unit <> ''") if drop_unitless else out
 
 
@@ -28,11 +28,21 @@ def doc_terms(docs: DataFrame, text: str, analyse=T.simple_tokens) -> DataFrame:
 
 def term_queries(queries: DataFrame, analyse=T.simple_tokens) -> DataFrame:
     """Queries with ``terms`` from their keywords and a lower-cased unit."""
-    return queries.select("qid", "condition", "value", "value2", F.lower(F.trim("unit")).alias("unit"), analyse(F.col("keywords")).alias("terms"))
+    return queries.select("qid", "condition", "value", "value2", T.unit_key(F.col("unit")).alias("unit"), analyse(F.col("keywords")).alias("terms"))
 
 
-def top_k(scored: DataFrame, k: int, score: Column | None = None) -> DataFrame:
-    """(qid, doc_id, rank, score): the k best documents of each query; ties go to the larger doc_id."""
-    s = F.col("score") if score is None else score
-    w = Window.partitionBy("qid").orderBy(s.desc(), F.col("doc_id").desc())
+def top_k(scored: DataFrame, k: int) -> DataFrame:
+    """(qid, doc_id, rank, score): the k best documents of each query; ties go to the larger doc_id. Scores that agree to nine places are
+    tied, so that the order in which a sum was built cannot decide."""
+    w = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), F.col("doc_id").desc())
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def offsets(df: DataFrame, key: str, length: str) -> DataFrame:
+    """``df`` with ``start``, the sum of ``length`` over all smaller keys. Rows are range-partitioned and summed per partition; only one number per
+    partition is gathered."""
+    part = df.repartitionByRange(key).withColumn("_p", F.spark_partition_id()).persist()
+    sums = part.groupBy("_p").agg(F.sum(length).alias("_s"))
+    before = sums.select("_p", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    inner = F.coalesce(F.sum(length).over(Window.partitionBy("_p").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return part.withColumn("_i", inner).join(F.broadcast(before), "_p").withColumn("start", F.col("_b") + F.col("_i")).drop("_p", "_i", "_b")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quantmill.functions import numeric as N, text as T
 
@@ -18,7 +18,7 @@ def concept_index(exported: DataFrame) -> DataFrame:
     n = F.least(F.size("values"), F.size("sentences"), F.size("values_char"), F.size("unit_char"))
     cols = [F.slice(F.col(c), 1, n).alias(a) for c, a in (("values", "value"), ("sentences", "sentence"), ("values_char", "value_spans"), ("unit_char", "unit_spans"))]
     flat = exported.where("keyword is not null and unit is not null").where(n > 0).select(
-        F.lower(F.trim("keyword")).alias("keyword"), F.lower(F.trim("unit")).alias("unit"), F.explode(F.arrays_zip(*cols)).alias("x")
+        T.unit_key(F.col("keyword")).alias("keyword"), T.unit_key(F.col("unit")).alias("unit"), F.explode(F.arrays_zip(*cols)).alias("x")
     )
     return flat.select("keyword", "unit", "x.value", "x.sentence", "x.value_spans", "x.unit_spans").where("value is not null and sentence is not null").distinct()
 
@@ -204,7 +204,3 @@ def masked(index: DataFrame) -> DataFrame:
         *GROUP, "value", "sentence", T.mask(s, F.col("value_spans")).alias("masked_value"), T.mask(s, F.col("unit_spans")).alias("masked_unit"),
         T.mask(s, F.array_union("value_spans", "unit_spans")).alias("masked_both"),
     )
-
-
-def column_or(df: DataFrame, name: str, default: Column) -> Column:
-    return F.col(name) if name in df.columns else default

@@ -92,7 +92,7 @@ def maxsim(tokens: DataFrame, query_tokens: DataFrame, metric: str = "dot", clam
 
 def top_passages(scored: DataFrame, k: int) -> DataFrame:
     """(qid, pid, score, rank): ties go to the larger pid."""
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("pid"))
+    w = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), F.desc("pid"))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
