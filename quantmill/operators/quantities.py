@@ -125,6 +125,9 @@ class UnitClassifier:
         """``known``: quantities with a unit. SAMPLE of them, those of least hash, are used; HELD_OUT of these calibrate."""
         spark = known.sparkSession
         hashed = known.withColumn("h", F.xxhash64("doc_id", "pos"))
+        # only about as many rows as are wanted come to the driver, whatever the number of tasks
+        share = min(1.0, 1.25 * SAMPLE / max(1, known.count()))
+        hashed = hashed.where(F.col("h") <= min(2**63 - 1, int(-(2**63) + share * 2**64)))
         rows = hashed.orderBy("h", "doc_id", "pos").limit(SAMPLE).select("stated", "value", "source", "concept", "neighbour", "unit").toPandas()
         self.model = None
         self.units: list[int] = sorted(set(rows["unit"])) if len(rows) else []
