@@ -29,7 +29,7 @@ def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(field, rec_id, pos, ref_name, similarity, source) of every entry that is not letter for letter in its list."""
     collection, train = table(spark, sf_dir, "collection"), table(spark, sf_dir, "train_concepts_units_extended")
     units, concepts = table(spark, sf_dir, "unit_ref"), table(spark, sf_dir, "concept_ref")
-    last = collection.groupBy("doc_id").agg(F.max_by(F.struct("units"), "ingested_at").alias("x"))
+    last = collection.groupBy("doc_id").agg(F.max_by(F.struct("units"), F.struct("ingested_at")).alias("x"))
     kind = {"unit": F.lit("unit").alias("kind"), "concept": F.lit("concept").alias("kind")}
     rows = (
         last.select(F.lit("collection.units").alias("field"), F.col("doc_id").alias("rec_id"), F.posexplode("x.units").alias("pos", "value"), kind["unit"])
