@@ -30,8 +30,6 @@ MAX_REFERENCE = 10_000
 FEATURES = ("stated", "magnitude", "source_id", "concept", "neighbour")
 _SOURCES = 61
 
-SCHEMA = "doc_id long, at timestamp, source string, pos int, value double, unit int, stated int, lacks double, concept int, neighbour int, count int"
-
 
 def _reference(df: DataFrame, what: str) -> list:
     rows = df.limit(MAX_REFERENCE + 1).collect()
@@ -68,43 +66,28 @@ def read_quantities(collection: DataFrame, lexicon: Lexicon, concepts: list[str]
         lex, names = parts.value
         find = _finder(names)
         for b in batches:
-            owner, pos, value, unit, stated, lacks, concept, neighbour, count = ([] for _ in range(9))
-            for i, (s, vs, us) in enumerate(zip(b.column("sentence").to_pylist(), b.column("values").to_pylist(), b.column("units").to_pylist())):
+            value, unit, stated, lacks, neighbour = ([] for _ in range(5))
+            concept, ends = [], [0]
+            for s, vs, us in zip(b.column("sentence").to_pylist(), b.column("values").to_pylist(), b.column("units").to_pylist()):
                 vs = vs or []
                 us = (us or [])[: len(vs)]
                 entries = [lex.entry(u) for u in us] + [(MISSING, 1.0)] * (len(vs) - len(us))
-                said = align(lex, s, vs, entries)
-                k = find(s) if s else -1
-                for p, (v, e, x) in enumerate(zip(vs, entries, said)):
-                    owner.append(i)
-                    pos.append(p)
+                for p, (v, e, x) in enumerate(zip(vs, entries, align(lex, s, vs, entries))):
                     value.append(v)
                     unit.append(e[0])
                     stated.append(x.unit)
                     lacks.append(x.missing_scale)
-                    concept.append(k)
                     neighbour.append(next((o[0] for q, o in enumerate(entries) if q != p and o[0] >= 0), FOREIGN))
-                    count.append(len(vs))
-                if not vs:  # the record is there, without quantities: it replaces earlier deliveries
-                    owner.append(i)
-                    for column in (pos, value, unit, stated, lacks, concept, neighbour):
-                        column.append(None)
-                    count.append(0)
-            at = pa.array(owner, pa.int64())
-            ints = [pa.array(c, pa.int32()) for c in (concept, neighbour, count)]
-            yield pa.record_batch(
-                [b.column("doc_id").take(at), b.column("at").take(at), b.column("source").take(at), pa.array(pos, pa.int32()), pa.array(value, pa.float64()),
-                 pa.array(unit, pa.int32()), pa.array(stated, pa.int32()), pa.array(lacks, pa.float64()), *ints],
-                ["doc_id", "at", "source", "pos", "value", "unit", "stated", "lacks", "concept", "neighbour", "count"],
-            )
-
-    read = rows.mapInArrow(run, SCHEMA)
-    # the last delivery of a record, as a whole: rows of equal (doc_id, pos) meet, and those of a shorter last delivery win by its count
-    last = read.groupBy("doc_id", "pos").agg(F.max_by(F.struct("at", "source", "value", "unit", "stated", "lacks", "concept", "neighbour", "count"), F.struct("at", "value")).alias("x"))
-    flat = last.select("doc_id", "pos", "x.*")
-    newest = flat.groupBy("doc_id").agg(F.max(F.struct("at", "count")).alias("n"))
-    repeated = flat.join(newest, "doc_id").where(F.col("at").eqNullSafe(F.col("n.at"))).drop("n")
-    return repeated.where("pos is not null and value is not null and not isnan(value)")
+                concept.append(find(s) if s and vs else FOREIGN)
+                ends.append(len(value))
+            fields = [pa.array(value, pa.float64()), pa.array(unit, pa.int32()), pa.array(stated, pa.int32()), pa.array(lacks, pa.float64()), pa.array(neighbour, pa.int32())]
+            found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, ["value", "unit", "stated", "lacks", "neighbour"]))
+            yield pa.record_batch([b.column("doc_id"), b.column("at"), b.column("source"), pa.array(concept, pa.int32()), found], ["doc_id", "at", "source", "concept", "found"])
+
+    read = rows.mapInArrow(run, "doc_id long, at timestamp, source string, concept int, found array<struct<value:double,unit:int,stated:int,lacks:double,neighbour:int>>")
+    last = read.groupBy("doc_id").agg(F.max_by(F.struct("source", "concept", "found"), F.struct("at")).alias("x"))
+    each = last.select("doc_id", "x.source", "x.concept", F.posexplode("x.found").alias("pos", "q"))
+    return each.select("doc_id", "source", "concept", "pos", "q.*").where("value is not null and not isnan(value)")
 
 
 def _features(df: DataFrame) -> DataFrame:
