@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quantmill.functions import text as T
+from quantmill.session import cut
 
 
 def latest(df: DataFrame, key: str, at: str) -> DataFrame:
@@ -41,7 +42,7 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
 def offsets(df: DataFrame, key: str, length: str) -> DataFrame:
     """``df`` with ``start``, the sum of ``length`` over all smaller keys. Rows are range-partitioned and summed per partition; only one number per
     partition is gathered."""
-    part = df.repartitionByRange(key).withColumn("_p", F.spark_partition_id()).persist()
+    part = cut(df.repartitionByRange(key).withColumn("_p", F.spark_partition_id()))
     sums = part.groupBy("_p").agg(F.sum(length).alias("_s"))
     before = sums.select("_p", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     inner = F.coalesce(F.sum(length).over(Window.partitionBy("_p").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quantmill.functions import numeric as N, text as T
+from quantmill.session import cut
 
 GROUP = ("keyword", "unit")
 CONDITIONS = ("=", "<", ">")
@@ -97,6 +98,35 @@ def triples(sampled: DataFrame) -> DataFrame:
     return pos.join(sampled.where("side = 'neg'").select(*key, F.col("sentence").alias("negative")), key)
 
 
+def with_corpus_sentences(sampled: DataFrame, corpus: DataFrame, seed: int = 7676, buckets: int = 4096) -> DataFrame:
+    """``sampled`` with every positive twice, and for every positive one sentence drawn from ``corpus`` (sentence) as a negative.
+
+    The draw is by hash: both sides are hashed to buckets, and a positive takes the first sentence of its bucket, or of the first one for an empty bucket; the
+    corpus is reduced to one sentence per bucket before it meets the positives."""
+    drawn = corpus.where("sentence is not null and sentence <> ''").select("sentence", F.pmod(F.xxhash64("sentence", F.lit(seed)), F.lit(buckets)).alias("b"))
+    pool = drawn.groupBy("b").agg(F.min("sentence").alias("drawn"))
+    first = pool.agg(F.min("drawn").alias("first"))
+    pos = sampled.where("side = 'pos'").withColumn("b", F.pmod(F.xxhash64("sentence", *GROUP, "condition", F.lit(seed + 1)), F.lit(buckets)))
+    added = pos.join(F.broadcast(pool), "b", "left").crossJoin(F.broadcast(first)).withColumn("sentence", F.coalesce("drawn", "first"))
+    added = added.where("sentence is not null").withColumn("side", F.lit("neg")).select(*sampled.columns)
+    twice = sampled.where("side = 'pos'").withColumn("_", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_")
+    return twice.unionByName(sampled.where("side = 'neg'")).unionByName(added)
+
+
+def all_conditions(index: DataFrame, extensions: DataFrame | None = None, extra_values: int = 8) -> DataFrame:
+    """(keyword, unit, condition, pivot, pass): the base pass; the same queries with the extension of the concept as keyword (``extensions``: keyword,
+    extension); and one random pass for groups of more than ``extra_values`` values. Query text uses ``asked``, sentences the keyword."""
+    chosen = pivots(index)
+    base = condition_pivots(chosen).withColumns({"asked": F.col("keyword"), "pass": F.lit("base")})
+    many = value_counts(index).groupBy(*GROUP).agg(F.count("*").alias("n")).where(F.col("n") > extra_values)
+    extra = random_pivots(index, chosen).join(many.select(*GROUP), list(GROUP)).withColumns({"asked": F.col("keyword"), "pass": F.lit("random")})
+    out = base.unionByName(extra)
+    if extensions is None:
+        return out
+    named = out.join(extensions.select("keyword", "extension"), "keyword").withColumns({"asked": F.col("extension"), "pass": F.concat("pass", F.lit("+extension"))})
+    return out.unionByName(named.drop("extension"))
+
+
 def value_permutation(parts: DataFrame, seed: int = 7676) -> DataFrame:
     """Each sentence with its value swapped for one from the other side of the condition: its side changes. (…, sentence, permuted, value, new_value, side)"""
     key = [*GROUP, "condition", "pivot"]
@@ -147,7 +177,8 @@ def generated_queries(conditions: DataFrame) -> DataFrame:
 def with_ids(df: DataFrame, name: str, order: list[str]) -> DataFrame:
     """Consecutive numbers from 0 in a total order, without bringing the rows into one task: rows are sorted by range, counted per
     partition, and numbered from the partition's offset."""
-    sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).persist()
+    # materialised, so that a row keeps its partition's number in both uses
+    sorted_rows = cut(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     counts = sorted_rows.groupBy("_p").agg(F.count("*").alias("c"))
     offsets = counts.withColumn("_start", F.coalesce(F.sum("c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")
     within = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1

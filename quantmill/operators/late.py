@@ -90,6 +90,19 @@ def maxsim(tokens: DataFrame, query_tokens: DataFrame, metric: str = "dot", clam
     return best.groupBy("qid", "pid").agg(F.sum("best").alias("score"))
 
 
+def maxsim_with_context(tokens: DataFrame, query_tokens: DataFrame, query_length: int = 64, best_query: int = 32, best_context: int = 8) -> DataFrame:
+    """(qid, pid, score): the best ``best_query`` matches of the query's first ``query_length`` tokens, and the best ``best_context`` of the tokens after them."""
+    best = best_per_passage(tokens, query_tokens).withColumn("context", F.col("qtok") >= query_length)
+    w = Window.partitionBy("qid", "pid", "context").orderBy(F.desc("best"), "qtok")
+    kept = best.withColumn("n", F.row_number().over(w)).where(F.col("n") <= F.when(F.col("context"), best_context).otherwise(best_query))
+    return kept.groupBy("qid", "pid").agg(F.sum("best").alias("score"))
+
+
+def content_tokens(tokens: DataFrame, skip: list[str], column: str = "token") -> DataFrame:
+    """Token rows without marks and padding."""
+    return tokens.where(~F.col(column).isin(*skip)) if skip else tokens
+
+
 def top_passages(scored: DataFrame, k: int) -> DataFrame:
     """(qid, pid, score, rank): ties go to the larger pid."""
     w = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), F.desc("pid"))

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quantmill.functions import encoders, numeric as N, text as T, vectors as V
+from quantmill.functions.register import register
 from quantmill.operators import dense, evaluate as E, generate as G, late, quantities
 from quantmill.operators.corpus import latest, offsets, quantities as unit_values, term_queries, top_k
 from quantmill.operators.lexical import LexicalIndex
@@ -378,6 +379,40 @@ def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", F.posexplode(V.l2_normalise(F.col("v"))).alias("dim", "x")).select("vec_id", "dim", _r("x"))
 
 
+@query
+def maxsim_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = late.maxsim_with_context(_tokens(spark, sf_dir), _query_tokens(spark, sf_dir), query_length=3, best_query=2, best_context=1)
+    return scored.select("qid", "pid", _r("score", 5))
+
+
+@query
+def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first token of every passage against its last."""
+    t = _tokens(spark, sf_dir)
+    first, last = (t.where(F.col("tok") == k).select(F.col("pid").alias("key"), "vec") for k in (0, TOKENS - 1))
+    return dense.paired_scores(first, last).select("key", _r("score", 5))
+
+
+@query
+def in_batch_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Within each batch of five passages, the first tokens against the last ones."""
+    t = _tokens(spark, sf_dir).withColumn("batch", F.floor(F.col("pid") / 5))
+    first = t.where("tok = 0").select("batch", F.col("pid").alias("qid"), "vec")
+    return dense.in_batch_scores(first, t.where(F.col("tok") == TOKENS - 1).select("batch", "pid", "vec")).select("batch", "qid", "pid", _r("score", 5))
+
+
+@query
+def pooled_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoders.pool(_tokens(spark, sf_dir)).select("pid", F.round(V.norm(F.col("vec")), 5).alias("length"))
+
+
+@query
+def sparse_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token vectors taken as activations: ln(1 + relu), pooled over the tokens of a passage by their maximum."""
+    t = _tokens(spark, sf_dir).select(F.col("pid").alias("doc_id"), "tok", F.posexplode("vec").alias("term_id", "logit"), F.lit(1.0).alias("mask"))
+    return encoders.sparse_activation(t).select("doc_id", "term_id", _r("w"))
+
+
 # --- generation --------------------------------------------------------------------------------------------------
 
 
@@ -444,6 +479,22 @@ def value_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.value_permutation(_parts(spark, sf_dir))
 
 
+@query
+def corpus_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sampled = G.sample(_parts(spark, sf_dir), 3)
+    mixed = G.with_corpus_sentences(sampled, _corpus(spark, sf_dir))
+    return mixed.groupBy("condition", "side").agg(F.count("*").alias("passages"))
+
+
+@query
+def generation_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many queries each pass gives, with the concept's topic as its extension."""
+    index = _concepts(spark, sf_dir)
+    entries = table(spark, sf_dir, "concept_ref").select("concept", F.concat_ws(" ", "topic", "concept").alias("extension"))
+    named = G.lookup_concepts(index.select("keyword").distinct(), entries)
+    return G.all_conditions(index, named).groupBy("pass", "condition").agg(F.count("*").alias("queries"))
+
+
 @query
 def unit_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _concepts(spark, sf_dir).where(F.size("unit_spans") > 0)
@@ -583,6 +634,22 @@ def format_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("qid", N.plain_number(F.col("value")).alias("plain"), N.magnitude(F.col("value")).alias("power"), N.alternate_number(F.col("value"), F.lit(True)).alias("commas"))
 
 
+@query
+def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long after its publication a document was taken in."""
+    d = table(spark, sf_dir, "documents").where("published_at is not null and ingested_at is not null")
+    return d.select("doc_id", N.duration_text(F.unix_timestamp("ingested_at") - F.unix_timestamp("published_at")).alias("took"))
+
+
+@query
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registered SQL functions in SQL text: mean closeness of a query's own bounds, per condition."""
+    register(spark)
+    table(spark, sf_dir, "queries").createOrReplaceTempView("quantmill_queries")
+    return spark.sql("""SELECT condition, count_if(meets_condition(condition, value + 1, value, value2)) AS met, round(avg(quantity_ratio(condition, value + 1, value, value2)), 6) AS ratio,
+      CAST(sum(size(simple_tokens(keywords))) AS BIGINT) AS words FROM quantmill_queries WHERE value IS NOT NULL AND condition IS NOT NULL GROUP BY condition""")
+
+
 @query
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.clean(F.col("text")).alias("cleaned"))

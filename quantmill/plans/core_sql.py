@@ -194,6 +194,12 @@ SQL: dict[str, str] = {
     "maxsim_clamped": _with(TOKENS, BEST.format(m=DOT)) + "SELECT qid, pid, round(sum(greatest(best, 0.0)), 5) AS score FROM best GROUP BY qid, pid",
     "maxsim_l2": _with(TOKENS, BEST.format(m=L2)) + "SELECT qid, pid, round(sum(best), 5) AS score FROM best GROUP BY qid, pid",
     "maxsim_top_tokens": _with(TOKENS, BEST.format(m=DOT)) + "SELECT qid, pid, round(sum(best), 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid, pid ORDER BY best DESC, qtok) AS n FROM best) WHERE n <= 3 GROUP BY qid, pid",
+    "maxsim_context": _with(TOKENS, BEST.format(m=DOT)) + """SELECT qid, pid, round(sum(best), 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid, pid, qtok >= 3 ORDER BY best DESC, qtok) AS n FROM best)
+  WHERE n <= CASE WHEN qtok >= 3 THEN 1 ELSE 2 END GROUP BY qid, pid""",
+    "pair_scores": _with(TOKENS) + "SELECT a.pid AS key, round(list_dot_product(a.vec, b.vec), 5) AS score FROM tokens a JOIN tokens b ON a.pid = b.pid WHERE a.tok = 0 AND b.tok = 4",
+    "in_batch_scores": _with(TOKENS) + "SELECT a.pid // 5 AS batch, a.pid AS qid, b.pid, round(list_dot_product(a.vec, b.vec), 5) AS score FROM tokens a JOIN tokens b ON a.pid // 5 = b.pid // 5 WHERE a.tok = 0 AND b.tok = 4",
+    "pooled_passages": _with(TOKENS) + "SELECT pid, round(sqrt(sum(m * m)), 5) AS length FROM (SELECT pid, dim, avg(x) AS m FROM (SELECT pid, unnest(vec) AS x, unnest(range(1, len(vec) + 1)) AS dim FROM tokens) GROUP BY pid, dim) GROUP BY pid",
+    "sparse_activation": _with(TOKENS) + "SELECT pid AS doc_id, CAST(dim - 1 AS INTEGER) AS term_id, round(max(ln(1 + greatest(x, 0.0))), 6) AS w FROM (SELECT pid, unnest(vec) AS x, unnest(range(1, len(vec) + 1)) AS dim FROM tokens) GROUP BY pid, dim HAVING max(x) > 0",
     "probe_cells": _with(TOKENS, CODES) + "SELECT qid, qtok, code, round(score, 5) AS score FROM cells WHERE n <= 2",
     "ivf": _with(TOKENS, CODES) + "SELECT code, pid FROM ivf",
     "centroid_counts": _with(TOKENS, CODES) + "SELECT cent.code, count(coded.code) AS tokens FROM cent LEFT JOIN coded ON cent.code = coded.code GROUP BY cent.code",
@@ -251,6 +257,9 @@ SELECT max(queries) AS queries, round(max(abs(total) / queries), 6) AS delta, ro
   CASE WHEN condition = '<<' THEN concat_ws(' and ', {PLAIN.format(v="value")}, {PLAIN.format(v="value2")}) ELSE {PLAIN.format(v="value")} END, unit) AS verbal FROM queries""",
     "format_value": f"""SELECT qid, {PLAIN.format(v="value")} AS plain, CAST(CASE WHEN value = 0 THEN 0 ELSE greatest(0, least(4, floor(log10(abs(value)) / 3 + 1e-12))) END AS INTEGER) AS power,
   CASE WHEN abs(value) >= 1000 AND value = floor(value) THEN format('{{:,}}', CAST(value AS BIGINT)) ELSE {PLAIN.format(v="value")} END AS commas FROM queries WHERE value IS NOT NULL""",
+    "sql_functions": f"""SELECT condition, CAST(sum(CASE WHEN condition = '>' OR (condition = '<<' AND value + 1 > least(value, value2) AND value + 1 < greatest(value, value2)) THEN 1 ELSE 0 END) AS BIGINT) AS met,
+  round(avg({_kernel("ratio").replace("v / value", "(value + 1) / value").replace("value / v", "value / (value + 1)").replace("v - ", "value + 1 - ").replace("v <> 0", "value + 1 <> 0").replace("v > value", "true").replace("v < value", "false")}), 6) AS ratio,
+  CAST(sum(len(list_filter(regexp_split_to_array(lower(coalesce(keywords, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''))) AS BIGINT) AS words FROM queries WHERE value IS NOT NULL AND condition IS NOT NULL GROUP BY condition""",
     "doc_offsets": "SELECT doc_id, coalesce(n_chars, 0) AS n_chars, CAST(coalesce(sum(coalesce(n_chars, 0)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM documents",
     "scan_chunks": "SELECT doc_id // 250 AS chunk, (doc_id // 250) % 4 AS owner, count(*) AS docs FROM documents GROUP BY ALL",
     "run_json": f"SELECT qid, doc_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id DESC) AS rank FROM ({_run()})) WHERE rank <= 10",

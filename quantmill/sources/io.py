@@ -134,6 +134,12 @@ def read_index(spark: SparkSession, folder: str, names: list[str]) -> dict[str,
     return {n: spark.read.parquet(f"{folder}/{n}") for n in names}
 
 
+def compact(spark: SparkSession, source: str, target: str, rows_per_file: int = 5_000_000) -> None:
+    """The Parquet files of ``source`` as fewer, evenly filled ones in ``target``."""
+    df = spark.read.parquet(source)
+    df.repartition(max(1, -(-df.count() // rows_per_file))).write.mode("overwrite").parquet(target)
+
+
 def resume(rows: DataFrame, done: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows whose key an earlier run has not written."""
     return rows.join(done.select(key).distinct(), key, "left_anti")
