@@ -21,7 +21,7 @@ from quantmill.operators.components import connected_components
 from quantmill.session import cut
 
 U64 = np.uint64
-KMER, MINIMA, SKETCHES = 2, 2, 24
+KMER, MINIMA, SKETCHES = 2, 2, 32
 HOT_SHARE, HOT_LEAST = 0.01, 100
 #: Half width of the alignment's band, in words.
 BAND = 8
