@@ -107,7 +107,7 @@ class FMIndex:
             use = np.flatnonzero((j < lengths) & (lo < hi))
             if not len(use):
                 continue
-            c = phrases[use, j]
+            c = phrases[use, j].astype(np.int64)
             lo[use] = self.first[c] + self.bwt.rank(c, lo[use])
             hi[use] = self.first[c] + self.bwt.rank(c, hi[use])
         return lo, hi

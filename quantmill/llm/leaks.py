@@ -21,8 +21,8 @@ from quantmill.llm.fm import FMIndex
 U64 = np.uint64
 #: Consecutive words that make a leak.
 PHRASE = 13
-#: Items searched at a time: the items are a stated query set, taken in blocks of this size.
-ITEM_BLOCK = 20_000
+#: Items searched at a time, and letters of them: the items are a stated query set, taken in blocks of bounded size.
+ITEM_BLOCK, BLOCK_CHARS = 20_000, 2_000_000
 #: Symbols of a shard after which it is indexed.
 SHARD = 2_000_000
 
@@ -57,7 +57,7 @@ class Phrases:
                 phrase_of.append(at)
                 item_of.append(item)
         pairs = np.unique(np.array([phrase_of, item_of], np.int64).reshape(2, -1), axis=1)
-        return Phrases(vocabulary, np.array(table, np.int64).reshape(-1, size), np.array(lengths, np.int64), pairs[0], pairs[1])
+        return Phrases(vocabulary, np.array(table, np.int32).reshape(-1, size), np.array(lengths, np.int64), pairs[0], pairs[1])
 
     def hits(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(text, item, first word, words) of every occurrence of a phrase."""
@@ -142,7 +142,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
 
     Null or empty texts and items, and items without a word, give no row, as do null ids of items; an item of fewer than 13 words
     must occur whole. A document given twice under one id gives its rows twice. Empty tables give no rows. Texts of any length are
-    searched as wholes. Other columns are ignored. The documents are read once per block of ITEM_BLOCK items.
+    searched as wholes. Other columns are ignored. The documents are read once per block of items.
     """
     wanted = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.lower(docs[text]).alias("text")).where("text is not null")
     held = items.select(items[item_id].cast("long").alias("i"), items[item_text].alias("t")).where("i is not null and t is not null")
@@ -162,11 +162,13 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
 
 def _blocks(items: DataFrame) -> Iterator[list]:
     block: list = []
+    size = 0
     for row in items.toLocalIterator():
         block.append(row)
-        if len(block) == ITEM_BLOCK:
+        size += len(row.t)
+        if len(block) == ITEM_BLOCK or size >= BLOCK_CHARS:
             yield block
-            block = []
+            block, size = [], 0
     if block:
         yield block
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -12,6 +13,9 @@ DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts longer than this are encoded in parts, cut where the pattern cuts anyway.
 PART = 100_000
+#: White space of more characters than this is encoded in stretches of it: the tokenizer's own matching has a depth limit.
+BLANKS = 2000
+_BLANKS = re.compile(rf"\s{{{BLANKS}}}")
 
 
 @lru_cache(maxsize=4)
@@ -46,9 +50,15 @@ def parts(text: str) -> list[str]:
 
 def encode(text: str, path: str = DEFAULT_VOCABULARY) -> list[int]:
     enc, _ = encoder(path)
-    if len(text) <= PART:
+    if len(text) <= BLANKS:
         return enc.encode_ordinary(text)
-    return [t for p in parts(text) for t in enc.encode_ordinary(p)]
+    return [t for p in parts(text) for q in _stretches(p) for t in enc.encode_ordinary(q)]
+
+
+def _stretches(text: str) -> list[str]:
+    """``text`` cut after every BLANKS characters of white space in a row."""
+    ends = [m.end() for m in _BLANKS.finditer(text)]
+    return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)]) if a < b] if ends else [text]
 
 
 def count(text: str | None, path: str = DEFAULT_VOCABULARY) -> int:

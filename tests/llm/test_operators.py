@@ -260,6 +260,13 @@ def test_parts_have_the_tokens_of_the_whole(monkeypatch):
     assert len(tokens.parts(text)) > 5 and tokens.encode(text) == whole
 
 
+def test_extreme_texts():
+    for t in (" " * 300_000, "\n" * 50_000 + "x" * 50_000, "1 2 3 " * 50_000):
+        ids = tokens.encode(t)
+        assert int(tokens.encoder()[1][np.array(ids)].sum()) == len(t.encode())
+        assert "".join(p.text for p in splitting.split_text(t, overlap=0)) == t
+
+
 def test_split_documents(spark):
     rows = [(1, None, "p"), (2, "", "p"), (3, "short", "p"), (4, TEXTS["words"], "p"), (4, TEXTS["words"], "p"), (5, TEXTS["letters"], "p")]
     df = spark.createDataFrame(rows, "doc_id long, text string, piece string")
