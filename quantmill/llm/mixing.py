@@ -78,8 +78,8 @@ def rake(cells: pd.DataFrame, targets: pd.DataFrame, total: float) -> pd.DataFra
     before = weight.copy()
     for _ in range(ROUNDS):
         for side in sides:
-            now = np.bincount(side, weight * size)
-            want = np.bincount(side, size)
+            now = np.bincount(side, weight * size).astype(float)
+            want = np.bincount(side, size).astype(float)
             want *= now.sum() / max(want.sum(), 1e-300)
             weight = np.minimum(weight * np.divide(want, now, out=np.ones_like(now), where=now > 0)[side], most)
         weight = _fill(weight, size, most, source, need)
