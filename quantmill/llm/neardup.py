@@ -1,7 +1,7 @@
 """Problem 4: groups of texts that differ by small edits.
 
-Method: order MinHash. The k-mers of a text are its spans of two words, labelled by occurrence. For each of
-SKETCHES hash functions the MINIMA k-mers of least hash are kept in the order of the text; together they are one
+Method: order MinHash. The k-mers of a text are its spans of k words, labelled by occurrence, for k of one and two. For each of
+several hash functions the MINIMA k-mers of least hash are kept in the order of the text; together they are one
 key. Two texts meet if a key agrees, which needs the same k-mers in the same order and so follows edit similarity. k-mers
 of a hundredth of the texts or more rank after all others. Candidates are verified by a banded alignment of their
 words; those whose alignment alone does not show the similarity (blocks moved out of the band) are checked exactly
@@ -21,26 +21,32 @@ from quantmill.operators.components import connected_components
 from quantmill.session import cut
 
 U64 = np.uint64
-KMER, MINIMA, SKETCHES = 2, 2, 32
+_USED = U64(2**64 - 1)
+#: Words in a k-mer, and how many sketches of it are taken: single words survive scattered edits, pairs tell common words apart.
+SKETCHES = ((1, 16), (2, 16))
+MINIMA = 2
 HOT_SHARE, HOT_LEAST = 0.01, 100
 #: Half width of the alignment's band, in words.
 BAND = 8
 
 
-def kmers(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, owner) of the spans of KMER words, in text order; a text of fewer words is one k-mer."""
+def kmers(h: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, owner) of the spans of k words, in text order; a text of fewer words is one k-mer."""
     n = len(h)
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     end = offsets[1:][owner]
-    key = h.copy()
-    for j in range(1, KMER):
-        follow = np.zeros(n, U64)
-        follow[: n - j] = h[j:]
-        key = key * U64(0x9E3779B97F4A7C15) + np.where(np.arange(n) + j < end, follow, U64(0))
-    keep = (np.arange(n) + KMER <= end) | ((np.diff(offsets) < KMER)[owner] & (np.arange(n) == offsets[:-1][owner]))
+    key = h + U64(k)
+    for j in range(1, k):
+        key = key * U64(0x9E3779B97F4A7C15) + np.where(np.arange(n) + j < end, W.ahead(h, j), U64(0))
+    keep = (np.arange(n) + k <= end) | ((np.diff(offsets) < k)[owner] & (np.arange(n) == offsets[:-1][owner]))
     return W.mix(key[keep]), owner[keep]
 
 
+def all_kmers(c: P.Classes) -> tuple[np.ndarray, np.ndarray]:
+    parts = [kmers(c.hashes, c.offsets, k) for k, _ in SKETCHES]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
 def occurrence(key: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """How often the same k-mer stood before in the same text."""
     order = np.lexsort((np.arange(len(key)), key, owner))
@@ -56,38 +62,45 @@ def sketch_entries(c: P.Classes, texts: np.ndarray, hot: np.ndarray) -> P.Entrie
     """The order-MinHash keys of the chosen texts."""
     chosen = np.zeros(len(c.n), np.bool_)
     chosen[texts] = True
-    key, owner = kmers(c.hashes, c.offsets)
+    keys, rows = [], []
+    for k, sketches in SKETCHES:
+        found, have = _order_minhash(*kmers(c.hashes, c.offsets, k), len(c.n), chosen, hot, k, sketches)
+        keys += found
+        rows += [have] * sketches
+    at = np.concatenate(rows)
+    return {"key": np.concatenate(keys), "rid": c.rid[at], "sketch": c.sketch()[at], "n": c.n[at], "ext": np.zeros(len(at), np.uint32)}
+
+
+def _order_minhash(key: np.ndarray, owner: np.ndarray, texts: int, chosen: np.ndarray, hot: np.ndarray, k: int, sketches: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(keys of each sketch, texts that have them): the MINIMA k-mers of least rank, joined in text order."""
     keep = chosen[owner]
     key, owner = key[keep], owner[keep]
     late = np.where(P.is_in(key, hot), U64(1) << U64(63), U64(0))
     key = W.mix(key + occurrence(key, owner).astype(U64) * U64(0x632BE59BD9B4E019))
-    offsets = np.searchsorted(owner, np.arange(len(c.n) + 1))
+    offsets = np.searchsorted(owner, np.arange(texts + 1))
     have = np.flatnonzero(np.diff(offsets) > 0)
     first, last = offsets[:-1][have], offsets[1:][have]
-    seeds = W.mix(np.arange(1, SKETCHES + 1).astype(U64))
-    keys = []
+    seeds = W.mix((np.arange(1, sketches + 1) + 1000 * k).astype(U64))
+    if not len(have):
+        return [key[:0]] * sketches, have
+    found = []
     for s in seeds:
         rank = (W.mix(key ^ s) >> U64(1)) | late
-        places = []
+        places: list[np.ndarray] = []
         for _ in range(MINIMA):
-            least = np.minimum.reduceat(rank, first) if len(first) else rank[:0]
+            least = np.minimum.reduceat(rank, first)
             at = np.flatnonzero(rank == np.repeat(least, last - first))
-            where = np.full(len(have), -1)
-            where[np.searchsorted(first, at, "right")[::-1] - 1] = at[::-1]
-            # a text whose k-mers are used up repeats its last place
-            where = np.where(least == U64(2**64 - 1), places[-1] if places else first, where)
+            where = np.empty(len(have), np.int64)
+            where[(np.searchsorted(first, at, "right") - 1)[::-1]] = at[::-1]
+            if places:  # a text whose k-mers are used up repeats its last place
+                where = np.where(least == _USED, places[-1], where)
             places.append(where)
-            rank = rank.copy()
-            rank[where] = U64(2**64 - 1)
+            rank[where] = _USED
         joined = np.full(len(have), s, U64)
         for p in np.sort(np.stack(places), axis=0):
-            joined = W.mix(joined * U64(0x9E3779B97F4A7C15) + key[p]) if len(have) else joined
-        keys.append(joined)
-    sk = c.sketch()[have]
-    return {
-        "key": np.concatenate(keys), "rid": np.tile(c.rid[have], SKETCHES), "sketch": np.tile(sk, SKETCHES),
-        "n": np.tile(c.n[have], SKETCHES), "ext": np.zeros(len(have) * SKETCHES, np.uint32),
-    }
+            joined = W.mix(joined * U64(0x9E3779B97F4A7C15) + key[p])
+        found.append(joined)
+    return found, have
 
 
 def banded_shared(a: pa.Array, b: pa.Array, band: int = BAND) -> np.ndarray:
@@ -140,8 +153,8 @@ def _links(found: DataFrame, texts: DataFrame) -> DataFrame:
 
 def near_duplicate_links(texts: DataFrame) -> DataFrame:
     """(a, b, similarity, edit_similarity) of the classes of ``texts`` (text, tab) that reach the similarity."""
-    hot, total = P.frequent(texts, lambda c: kmers(c.hashes, c.offsets), HOT_SHARE, HOT_LEAST)
-    found = cut(P.candidate_pairs(texts, lambda c, t: sketch_entries(c, t, hot), total, SKETCHES))
+    hot, total = P.frequent(texts, all_kmers, HOT_SHARE, HOT_LEAST)
+    found = cut(P.candidate_pairs(texts, lambda c, t: sketch_entries(c, t, hot), total, sum(m for _, m in SKETCHES)))
     return _links(found, texts)
 
 

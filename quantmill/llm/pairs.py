@@ -32,21 +32,31 @@ _FIELDS = (("key", "<u8"), ("rid", "<u8"), ("sketch", "<u8"), ("n", "<u4"), ("ex
 Entries = dict[str, np.ndarray]
 
 
+def _planes(x: np.ndarray, kind: str) -> bytes:
+    """Bytes of equal weight together, so that high zero bytes compress away."""
+    return np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(len(x), np.dtype(kind).itemsize).T).tobytes()
+
+
 def pack(e: Entries) -> bytes:
-    """Entries as one blob; bytes of equal weight stand together, so that high zero bytes compress away."""
-    n = len(e["key"])
-    planes = [np.ascontiguousarray(e[f].astype(t).view(np.uint8).reshape(n, -1).T).tobytes() for f, t in _FIELDS]
-    return np.int64(n).tobytes() + b"".join(planes)
+    """Entries as one blob: sorted by key, keys as differences, what belongs to a class once in a table of the blob's classes."""
+    order = np.argsort(e["key"], kind="stable")
+    key = e["key"][order].astype(U64)
+    rid, first, place = np.unique(e["rid"][order], return_index=True, return_inverse=True)
+    key[1:] -= key[:-1].copy()
+    columns = [(key, "<u8"), (place, "<u4"), (e["ext"][order], "<u4"), (rid, "<u8"), (e["sketch"][order][first], "<u8"), (e["n"][order][first], "<u4")]
+    return np.array([len(key), len(rid)], np.int64).tobytes() + b"".join(_planes(x, kind) for x, kind in columns)
 
 
 def unpack(blob: bytes) -> Entries:
-    n, at, out = int(np.frombuffer(blob, np.int64, 1)[0]), 8, {}
-    for f, t in _FIELDS:
-        width = np.dtype(t).itemsize
-        planes = np.frombuffer(blob, np.uint8, n * width, at).reshape(width, n)
-        out[f] = np.ascontiguousarray(planes.T).view(t).reshape(n)
-        at += n * width
-    return out
+    n, classes = (int(x) for x in np.frombuffer(blob, np.int64, 2))
+    at, columns = 16, []
+    for size, kind in ((n, "<u8"), (n, "<u4"), (n, "<u4"), (classes, "<u8"), (classes, "<u8"), (classes, "<u4")):
+        width = np.dtype(kind).itemsize
+        planes = np.frombuffer(blob, np.uint8, size * width, at).reshape(width, size)
+        columns.append(np.ascontiguousarray(planes.T).view(kind).reshape(size))
+        at += size * width
+    key, place, ext, rid, sketch, words = columns
+    return {"key": np.cumsum(key, dtype=U64), "rid": rid[place], "sketch": sketch[place], "n": words[place], "ext": ext}
 
 
 class Classes:

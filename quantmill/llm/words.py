@@ -124,3 +124,11 @@ def segment_sum(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, values.dtype)
     np.cumsum(values, out=total[1:])
     return total[offsets[1:]] - total[offsets[:-1]]
+
+
+def ahead(values: np.ndarray, j: int, fill: int = 0) -> np.ndarray:
+    """The value j places further on, ``fill`` beyond the end."""
+    out = np.full(len(values), fill, values.dtype)
+    if j < len(values):
+        out[: len(values) - j] = values[j:]
+    return out

@@ -71,9 +71,13 @@ def test_words_in_chunks(monkeypatch):
 
 def test_pack_round_trip():
     rng = np.random.default_rng(1)
-    e = {f: rng.integers(0, 2**31, 1000).astype(t) for f, t in P._FIELDS}
+    rid = rng.integers(0, 300, 1000).astype("<u8") * np.uint64(0x9E3779B97F4A7C15)
+    e = {"key": rng.integers(0, 2**64, 1000, dtype="<u8"), "rid": rid, "sketch": rid * np.uint64(3), "n": (rid % np.uint64(90)).astype("<u4"), "ext": rng.integers(0, 2**32, 1000, dtype="<u4")}
+    order = np.argsort(e["key"], kind="stable")
     back = P.unpack(P.pack(e))
-    assert all((back[f] == e[f]).all() for f in e)
+    assert all((back[f] == e[f][order]).all() for f in e)
+    empty = P.unpack(P.pack({f: x[:0] for f, x in e.items()}))
+    assert all(len(x) == 0 for x in empty.values())
 
 
 def test_filters_keep_all_similar_pairs():
