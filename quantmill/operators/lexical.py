@@ -52,11 +52,13 @@ class LexicalIndex:
     def cached(self) -> LexicalIndex:
         return LexicalIndex(self.postings.persist(), self.idf.persist(), self.docs.persist(), self.stats, None if self.quantities is None else self.quantities.persist())
 
-    def weights(self, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-        """(term, doc_id, w): what one occurrence of the term in a query adds to the score of the document."""
+    def weights(self, k1: float = 1.5, b: float = 0.75, terms: DataFrame | None = None) -> DataFrame:
+        """(term, doc_id, w): what one occurrence of the term in a query adds to the score of the document. With ``terms`` (term) only
+        their postings are joined to the statistics."""
         avg = F.broadcast(self.stats.select("avgdl"))
         norm = self.docs.crossJoin(avg).select("doc_id", (k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))).alias("norm"))
-        joined = self.postings.join(self.idf.select("term", "idf"), "term").join(norm, "doc_id")
+        wanted = self.postings if terms is None else self.postings.join(terms, "term", "left_semi")
+        joined = wanted.join(self.idf.select("term", "idf"), "term").join(norm, "doc_id")
         return joined.select("term", "doc_id", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + F.col("norm"))).alias("w"))
 
     def score(self, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -69,7 +71,7 @@ class LexicalIndex:
         wanted = F.size(F.array_distinct("set"))
         terms = distinct.select("set", wanted.alias("wanted"), F.explode("set").alias("term")).groupBy("set", "wanted", "term").agg(F.count("*").alias("times"))
         scored = (
-            terms.join(self.weights(k1, b), "term")
+            terms.join(self.weights(k1, b, terms.select("term").distinct()), "term")
             .groupBy("set", "wanted", "doc_id")
             .agg(F.sum(F.col("w") * F.col("times")).alias("score"), F.count("*").alias("matched"))
         )

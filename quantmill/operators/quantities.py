@@ -12,10 +12,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from quantmill.functions.unit_text import FOREIGN, MISSING, Lexicon, align
 from quantmill.session import cut
@@ -192,9 +195,11 @@ def harmonise(collection: DataFrame, unit_ref: DataFrame, concept_ref: DataFrame
     )
 
 
-def significant(value: Column, digits: int = 4) -> Column:
-    """A number as text with ``digits`` significant digits, like ``1.250e+04``."""
-    return F.format_string(f"%.{digits - 1}e", value)
+@pandas_udf(StringType())
+def significant(value: pd.Series) -> pd.Series:
+    """A number as text with four significant digits, like ``1.250e+04``: rounded from its exact value, ties to the even digit (the JVM's
+    formatter rounds the shortest decimal, ties upwards)."""
+    return value.map(lambda x: None if x is None else f"{x:.3e}")
 
 
 def converted(quantities: DataFrame) -> DataFrame:

@@ -293,13 +293,15 @@ def test_harmonise_edges(spark):
         (5, "", None, None), (6, "x", [], []), (7, "core temperature of 50 °f", [50.0], ["fahrenheit"], None),
         (8, "old 3 kg", [3.0, 4.0], ["kg", "kg"], "a", 0), (8, "new 9 mg", [9.0], ["mg"], "a", 3),
         (9, "zero 0 kg", [0.0], ["kilogram"]), (10, "a " * 100_000 + "12 km", [12.0], [""]), (11, "2 kg", [2.0], ["kg", "mg"]),
+        (12, "a term of 1 year", [1.0], ["year"]), (13, "a term of 2 months", [2.0], ["month"]),
     ]
     out = {(r.doc_id, r.pos): r for r in harmonise(spark, rows).collect()}
-    assert set(out) == {(1, 0), (2, 0), (3, 0), (3, 1), (4, 0), (7, 0), (8, 0), (9, 0), (10, 0), (11, 0)}
+    assert set(out) == {(1, 0), (2, 0), (3, 0), (3, 1), (4, 0), (7, 0), (8, 0), (9, 0), (10, 0), (11, 0), (12, 0), (13, 0)}
     assert out[3, 1].how == "foreign" and out[3, 1].base_value is None and out[7, 0].base_value == pytest.approx(10.0, abs=1e-4)
     got = {tuple(r) for r in Qn.converted(harmonise(spark, rows)).collect()}
     assert got == {
         (2, 0, "usd", "4.000e+06"), (3, 0, "gram", "5.000e+03"), (4, 0, "day", "2.917e-01"), (7, 0, "celsius", "1.000e+01"), (8, 0, "gram", "9.000e-03"), (10, 0, "metre", "1.200e+04"), (11, 0, "gram", "2.000e+03"),
+        (12, 0, "day", "3.652e+02"), (13, 0, "day", "6.088e+01"),
     }
 
 
@@ -328,3 +330,26 @@ def test_isotonic_rates_rise():
     s = rng.random(2000)
     at, rate = Qn.isotonic(s, (rng.random(2000) < s).astype(float))
     assert (np.diff(rate) > 0).all() and (np.diff(at) > 0).all() and abs(rate[np.searchsorted(at, 0.5) - 1] - 0.5) < 0.15
+
+
+# --- independence of the layout ----------------------------------------------------------------------------------
+
+
+def test_results_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet(f"{SMALL}/collection.parquet").select("doc_id", T.simple_tokens(F.col("sentence")).alias("terms")).dropDuplicates(["doc_id"])
+    q = spark.read.parquet(f"{SMALL}/queries.parquet").select("qid", T.simple_tokens(F.col("keywords")).alias("terms"))
+    want = None
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for n, shuffle in ((1, 3), (9, 7)):
+        spark.conf.set("spark.sql.shuffle.partitions", shuffle)
+        got = sorted(tuple(r) for r in LexicalIndex.build(docs.repartition(n)).rank(q.repartition(n), 5).select("qid", "rank", "doc_id", F.round("score", 9)).collect())
+        assert want is None or got == want
+        want = got
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_invariants_of_scores(spark):
+    df = spark.createDataFrame([(c, float(v), float(a), float(b)) for c in ("=", ">", "<", "<<", "?") for v in (-3, 0, 0.5, 7, 1e9) for a in (0, 2, 9) for b in (3, 12)], "c string, v double, a double, b double")
+    for mode in ("ratio", "expo"):
+        for r in df.select("c", "v", N.kernel(F.col("c"), F.col("v"), F.col("a"), F.col("b"), mode).alias("k")).collect():
+            assert (0 <= r.k <= 1 if r.v >= 0 else True) and (r.c != "?" or r.k == 0)
