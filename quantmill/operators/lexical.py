@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quantmill.functions.numeric import kernel, satisfies, value_text
 from quantmill.operators.corpus import top_k
+from quantmill.session import cut
 
 EPSILON = 0.25
 
@@ -17,7 +18,7 @@ class LexicalIndex:
     """Postings with the statistics of BM25.
 
     ``postings`` (term, doc_id, tf), ``idf`` (term, df, raw, idf), ``docs`` (doc_id, dl), ``stats`` one row (n, total, avgdl).
-    ``quantities`` (doc_id, unit, value) serve the numeric parts. All are lazy; ``cached()`` keeps what queries share.
+    ``quantities`` (doc_id, unit, value) serve the numeric parts. All are lazy; ``materialised()`` writes what the parts of a ranking share.
     """
 
     postings: DataFrame
@@ -25,6 +26,7 @@ class LexicalIndex:
     docs: DataFrame
     stats: DataFrame
     quantities: DataFrame | None = None
+    epsilon: float = EPSILON
 
     @staticmethod
     def build(docs: DataFrame, quantities: DataFrame | None = None, unit_terms: bool = False, value_terms: bool = False, binary: bool = False, epsilon: float = EPSILON) -> LexicalIndex:
@@ -41,16 +43,23 @@ class LexicalIndex:
         counted = rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
         postings = counted.withColumn("tf", F.lit(1).cast("bigint")) if binary else counted
         lengths = docs.select("doc_id", F.size("terms").cast("bigint").alias("dl"))
-        stats = lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).withColumn("avgdl", F.col("total") / F.col("n"))
+        stats, idf = LexicalIndex._statistics(lengths, postings, epsilon)
+        return LexicalIndex(postings, idf, lengths, stats, quantities, epsilon)
+
+    @staticmethod
+    def _statistics(docs: DataFrame, postings: DataFrame, epsilon: float) -> tuple[DataFrame, DataFrame]:
+        stats = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).withColumn("avgdl", F.col("total") / F.col("n"))
         df = postings.groupBy("term").agg(F.count("*").alias("df"))
         n = F.broadcast(stats.select("n"))
         raw = df.crossJoin(n).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).drop("n")
         mean = F.broadcast(raw.agg(F.avg("raw").alias("mean")))
-        idf = raw.crossJoin(mean).withColumn("idf", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw"))).drop("mean")
-        return LexicalIndex(postings, idf, lengths, stats, quantities)
+        return stats, raw.crossJoin(mean).withColumn("idf", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw"))).drop("mean")
 
-    def cached(self) -> LexicalIndex:
-        return LexicalIndex(self.postings.persist(), self.idf.persist(), self.docs.persist(), self.stats, None if self.quantities is None else self.quantities.persist())
+    def materialised(self) -> LexicalIndex:
+        """The index with its tables written to the checkpoint folder once, as several parts of a ranking read them."""
+        docs, postings = cut(self.docs), cut(self.postings)
+        stats, idf = LexicalIndex._statistics(docs, postings, self.epsilon)
+        return LexicalIndex(postings, cut(idf), docs, cut(stats), None if self.quantities is None else cut(self.quantities), self.epsilon)
 
     def weights(self, k1: float = 1.5, b: float = 0.75, terms: DataFrame | None = None) -> DataFrame:
         """(term, doc_id, w): what one occurrence of the term in a query adds to the score of the document. With ``terms`` (term) only

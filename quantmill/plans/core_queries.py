@@ -72,11 +72,11 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _plain(spark: SparkSession, sf_dir: str) -> LexicalIndex:
-    return LexicalIndex.build(_terms(spark, sf_dir), _values(spark, sf_dir))
+    return LexicalIndex.build(_terms(spark, sf_dir), _values(spark, sf_dir)).materialised()
 
 
 def _binary(spark: SparkSession, sf_dir: str) -> LexicalIndex:
-    return LexicalIndex.build(_terms(spark, sf_dir), _values(spark, sf_dir), unit_terms=True, binary=True)
+    return LexicalIndex.build(_terms(spark, sf_dir), _values(spark, sf_dir), unit_terms=True, binary=True).materialised()
 
 
 @query
@@ -119,7 +119,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def bm25_with_quantity_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units and values as terms of their documents."""
-    index = LexicalIndex.build(_terms(spark, sf_dir), _values(spark, sf_dir), unit_terms=True, value_terms=True)
+    index = LexicalIndex.build(_terms(spark, sf_dir), _values(spark, sf_dir), unit_terms=True, value_terms=True).materialised()
     return index.rank(_asked(spark, sf_dir), 10).select("qid", "doc_id", "rank", _r("score"))
 
 
@@ -198,7 +198,7 @@ def bm25_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 with the full analyzers of texts and keywords."""
     docs = _corpus(spark, sf_dir).select("doc_id", T.content_tokens(F.col("sentence")).alias("terms"))
     asked = table(spark, sf_dir, "queries").select("qid", T.keyword_tokens(F.col("keywords")).alias("terms"))
-    return LexicalIndex.build(docs).rank(asked, 10).select("qid", "doc_id", "rank", _r("score"))
+    return LexicalIndex.build(docs).materialised().rank(asked, 10).select("qid", "doc_id", "rank", _r("score"))
 
 
 # --- sparse ranking ----------------------------------------------------------------------------------------------
