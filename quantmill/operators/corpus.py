@@ -32,10 +32,10 @@ def term_queries(queries: DataFrame, analyse=T.simple_tokens) -> DataFrame:
     return queries.select("qid", "condition", "value", "value2", T.unit_key(F.col("unit")).alias("unit"), analyse(F.col("keywords")).alias("terms"))
 
 
-def top_k(scored: DataFrame, k: int) -> DataFrame:
-    """(qid, doc_id, rank, score): the k best documents of each query; ties go to the larger doc_id. Scores that agree to nine places are
+def top_k(scored: DataFrame, k: int, by: str = "qid") -> DataFrame:
+    """``scored`` with ``rank``, reduced to the k best documents of each query (or other group ``by``); ties go to the larger doc_id. Scores that agree to nine places are
     tied, so that the order in which a sum was built cannot decide."""
-    w = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), F.col("doc_id").desc())
+    w = Window.partitionBy(by).orderBy(F.round("score", 9).desc(), F.col("doc_id").desc())
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

@@ -258,12 +258,12 @@ class LateIndex:
 
 
 def rerank_with_quantity(first: DataFrame, queries: DataFrame, quantities: DataFrame, k: int = 10, weight: float = 1.0, depth: int = 1000) -> DataFrame:
-    """(qid, doc_id, rank, score): the best ``depth`` of a first stage (qid, doc_id, score), scores divided by the largest of the query, plus ``weight``
+    """(qid, doc_id, rank, score): the best ``depth`` of a first stage (qid, doc_id, score, and rank if it is ranked already), scores divided by the largest of the query, plus ``weight``
     times the quantity score, sorted anew."""
     from quantmill.functions.numeric import kernel
     from quantmill.operators.corpus import top_k
 
-    top = top_k(first, depth).select("qid", "doc_id", "score")
+    top = (first.where(F.col("rank") <= depth) if "rank" in first.columns else top_k(first, depth)).select("qid", "doc_id", "score")
     best = top.groupBy("qid").agg(F.max("score").alias("best"))
     norm = top.join(best, "qid").select("qid", "doc_id", F.when(F.col("best") != 0, F.col("score") / F.col("best")).otherwise(0.0).alias("score"))
     usable = queries.where("value is not null and condition is not null and unit is not null").select("qid", "condition", "value", "value2", "unit")

@@ -70,21 +70,24 @@ class LexicalIndex:
         joined = wanted.join(self.idf.select("term", "idf"), "term").join(norm, "doc_id")
         return joined.select("term", "doc_id", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + F.col("norm"))).alias("w"))
 
-    def score(self, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-        """(qid, doc_id, score, matched, wanted) of all documents with a term of the query; a repeated term counts as often as it stands.
-
-        Queries with the same terms are scored once.
-        """
-        sets = queries.select("qid", F.array_sort("terms").alias("set"))
-        distinct = sets.select("set").distinct()
+    def score_sets(self, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+        """(set, wanted, doc_id, score, matched) of the distinct sets of terms of ``queries`` (set)."""
+        distinct = queries.select("set").distinct()
         wanted = F.size(F.array_distinct("set"))
         terms = distinct.select("set", wanted.alias("wanted"), F.explode("set").alias("term")).groupBy("set", "wanted", "term").agg(F.count("*").alias("times"))
-        scored = (
+        return (
             terms.join(self.weights(k1, b, terms.select("term").distinct()), "term")
             .groupBy("set", "wanted", "doc_id")
             .agg(F.sum(F.col("w") * F.col("times")).alias("score"), F.count("*").alias("matched"))
         )
-        return sets.join(scored, "set").select("qid", "doc_id", "score", "matched", "wanted")
+
+    def score(self, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+        """(qid, doc_id, score, matched, wanted) of all documents with a term of the query; a repeated term counts as often as it stands.
+
+        Queries with the same terms are scored once.
+        """
+        sets = queries.select("qid", F.array_sort("terms").alias("set"))
+        return sets.join(self.score_sets(sets, k1, b), "set").select("qid", "doc_id", "score", "matched", "wanted")
 
     def rank(self, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, numeric: str = "none", fixed: bool = False, weight: float = 2.0) -> DataFrame:
         """(qid, doc_id, rank, score) of ``queries`` (qid, terms, condition, value, value2, unit).
@@ -93,24 +96,54 @@ class LexicalIndex:
         (``=`` is met by no number unless ``fixed``); ``ratio`` and ``expo`` add ``weight`` times the quantity score to normalised BM25.
         Documents with no term of the query have score 0 and do not appear, but for ``ratio`` and ``expo`` of queries none of whose
         terms is known: these rank by quantity alone.
+
+        The numeric part of a query only touches documents with all its terms, so of the others no more than the k best of each distinct set
+        of terms are carried on.
         """
-        scored = self.score(queries, k1, b)
+        asked = queries.withColumn("set", F.array_sort("terms")).drop("terms")
+        scored = self.score_sets(asked, k1, b)
+        if numeric == "none":
+            best = top_k(scored, k, "set").select("set", "doc_id", "rank", "score")
+            return asked.select("qid", "set").join(best, "set").select("qid", "doc_id", "rank", "score")
         if numeric == "filter":
-            scored = self.filtered(scored, queries, fixed)
+            out = self._filtered(scored, asked, k, fixed)
         elif numeric in ("ratio", "expo"):
-            scored = self.with_quantity(scored, queries, numeric, weight)
-        elif numeric != "none":
+            out = self._with_quantity(scored, asked, k, numeric, weight)
+        else:
             raise ValueError(f"unknown numeric mode {numeric!r}")
-        return top_k(scored, k).select("qid", "doc_id", "rank", "score")
-
-    def filtered(self, scored: DataFrame, queries: DataFrame, fixed: bool = False) -> DataFrame:
-        bounds = queries.select("qid", "condition", "value", "value2")
-        full = scored.where("matched = wanted").join(bounds, "qid")
-        numbers = self.quantities.where("value is not null").select("doc_id", F.col("value").alias("v"))
-        met = satisfies(F.col("condition"), F.col("v"), F.col("value"), F.col("value2"), equality=fixed)
-        checked = full.join(numbers, "doc_id").groupBy("qid", "doc_id").agg(F.bool_or(met).alias("met"))
-        zeroed = checked.where("not met").select("qid", "doc_id", F.lit(True).alias("zero"))
-        return scored.join(zeroed, ["qid", "doc_id"], "left").withColumn("score", F.when(F.col("zero"), 0.0).otherwise(F.col("score"))).drop("zero")
+        return top_k(out, k).select("qid", "doc_id", "rank", "score")
+
+    def _filtered(self, scored: DataFrame, asked: DataFrame, k: int, fixed: bool) -> DataFrame:
+        """(qid, doc_id, score)."""
+        full = scored.where("matched = wanted").select("set", "doc_id", "score")
+        rest = top_k(scored.where("matched < wanted"), k, "set").select("set", "doc_id", "score")
+        numbers = self.quantities.where("value is not null").groupBy("doc_id").agg(F.collect_list("value").alias("vs"))
+        met = lambda v: satisfies(F.col("condition"), v, F.col("value"), F.col("value2"), equality=fixed)
+        checked = asked.join(full.join(numbers, "doc_id", "left"), "set")
+        score = F.when(F.col("vs").isNull() | F.exists("vs", met), F.col("score")).otherwise(0.0)
+        return checked.select("qid", "doc_id", score.alias("score")).unionByName(asked.select("qid", "set").join(rest, "set").select("qid", "doc_id", "score"))
+
+    def _with_quantity(self, scored: DataFrame, asked: DataFrame, k: int, mode: str, weight: float) -> DataFrame:
+        """(qid, doc_id, score)."""
+        usable = asked.where("value is not null and value <> 0 and condition is not null").select("qid", "set", "condition", "value", "value2", "unit")
+        best = scored.groupBy("set").agg(F.max("score").alias("best"))
+        norm = scored.join(best, "set").withColumn("score", F.when(F.col("best") != 0, F.col("score") / F.col("best")).otherwise(F.col("score")))
+        full = norm.where("matched = wanted").select("set", "doc_id", "score", "best")
+        rest = top_k(norm.where("matched < wanted"), k, "set").select("set", "doc_id", "score")
+        values = self.quantities.where("value is not null").select("doc_id", F.col("unit").alias("v_unit"), F.col("value").alias("v"))
+        close = kernel(F.col("condition"), F.col("v"), F.col("value"), F.col("value2"), mode)
+        # values meet the full matches of a set before its queries, so that a query only meets values of its unit
+        held = full.where("best <> 0").select("set", "doc_id").join(values, "doc_id")
+        of_unit = held.join(usable.where("unit is not null"), (held["set"] == usable["set"]) & (F.col("v_unit") == F.col("unit"))).select("qid", "doc_id", close.alias("c"))
+        of_any = held.join(usable.where("unit is null"), "set").select("qid", "doc_id", close.alias("c"))
+        q = of_unit.unionByName(of_any).groupBy("qid", "doc_id").agg((F.sum("c") / F.count("*")).alias("q"))
+        known = asked.select("qid", "set").join(full, "set").join(q, ["qid", "doc_id"], "left")
+        out = known.select("qid", "doc_id", (F.col("score") + weight * F.coalesce("q", F.lit(0.0))).alias("score"))
+        out = out.unionByName(asked.select("qid", "set").join(rest, "set").select("qid", "doc_id", "score"))
+        # none of the terms is known: all documents with the unit compete by quantity
+        lost = usable.join(best, "set", "left_anti").where("unit is not null")
+        alone = lost.join(values, F.col("unit") == F.col("v_unit")).groupBy("qid", "doc_id").agg((weight * F.sum(close) / F.count("*")).alias("score"))
+        return out.unionByName(alone.where("score > 0"))
 
     def quantity_scores(self, pairs: DataFrame, mode: str) -> DataFrame:
         """(qid, doc_id, q) of ``pairs`` (qid, doc_id, condition, value, value2, unit): mean kernel over the document's values of the
@@ -119,17 +152,3 @@ class LexicalIndex:
         met = pairs.join(v, "doc_id").where(F.col("unit").isNull() | (F.col("unit") == F.col("v_unit")))
         q = kernel(F.col("condition"), F.col("v"), F.col("value"), F.col("value2"), mode)
         return met.groupBy("qid", "doc_id").agg((F.sum(q) / F.count("*")).alias("q"))
-
-    def with_quantity(self, scored: DataFrame, queries: DataFrame, mode: str = "ratio", weight: float = 2.0) -> DataFrame:
-        usable = queries.where("value is not null and value <> 0 and condition is not null").select("qid", "condition", "value", "value2", "unit")
-        best = scored.groupBy("qid").agg(F.max("score").alias("best"))
-        norm = scored.join(best, "qid").withColumn("score", F.when(F.col("best") != 0, F.col("score") / F.col("best")).otherwise(F.col("score")))
-        q = self.quantity_scores(norm.where("matched = wanted and best <> 0").select("qid", "doc_id").join(usable, "qid"), mode)
-        known = norm.join(q, ["qid", "doc_id"], "left").select("qid", "doc_id", (F.col("score") + weight * F.coalesce("q", F.lit(0.0))).alias("score"))
-        # none of the terms is known: all documents with the unit compete by quantity
-        lost = usable.join(best, "qid", "left_anti")
-        units = self.quantities.where("value is not null").select("doc_id", F.col("unit").alias("v_unit"), F.col("value").alias("v"))
-        by_unit = lost.where("unit is not null").join(units, F.col("unit") == F.col("v_unit"))
-        far = kernel(F.col("condition"), F.col("v"), F.col("value"), F.col("value2"), mode)
-        alone = by_unit.groupBy("qid", "doc_id").agg((weight * F.sum(far) / F.count("*")).alias("score"))
-        return known.unionByName(alone.where("score > 0"))

@@ -213,23 +213,37 @@ def _query_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _asked(spark, sf_dir).select("qid", F.explode(F.array_distinct("terms")).alias("term"), F.lit(1.0).alias("qw"))
 
 
+def _shared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(qid, lead) and the weights of the leads: queries with the same terms share one lead, which is scored for all."""
+    asked = _asked(spark, sf_dir).select("qid", F.array_sort(F.array_distinct("terms")).alias("set"))
+    lead = asked.groupBy("set").agg(F.min("qid").alias("lead"))
+    return asked.join(lead, "set").select("qid", "lead"), lead.select(F.col("lead").alias("qid"), F.explode("set").alias("term"), F.lit(1.0).alias("qw"))
+
+
+def _spread(result: DataFrame, shares: DataFrame) -> DataFrame:
+    return shares.join(result.withColumnRenamed("qid", "lead"), "lead").drop("lead")
+
+
 @query
 def sparse_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sparse(spark, sf_dir).rank(_asked(spark, sf_dir), _query_weights(spark, sf_dir), 10).select("qid", "doc_id", "rank", _r("score"))
+    shares, weights = _shared(spark, sf_dir)
+    return _spread(_sparse(spark, sf_dir).rank(weights, weights, 10), shares).select("qid", "doc_id", "rank", _r("score"))
 
 
 @query
 def sparse_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shares, weights = _shared(spark, sf_dir)
     index = _sparse(spark, sf_dir)
-    norm = index.normalised(index.dot(_query_weights(spark, sf_dir))).select("qid", "doc_id", F.col("norm").alias("score"))
-    return top_k(norm, 10).select("qid", "doc_id", "rank", _r("score"))
+    norm = index.normalised(index.dot(weights)).select("qid", "doc_id", F.col("norm").alias("score"))
+    return _spread(top_k(norm, 10), shares).select("qid", "doc_id", "rank", _r("score"))
 
 
 @query
 def quantile_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gate at the upper hundredth: at a quarter it is 0 wherever most documents lack the terms."""
+    shares, weights = _shared(spark, sf_dir)
     index = _sparse(spark, sf_dir)
-    return index.gate(index.dot(_query_weights(spark, sf_dir)), 0.99).select("qid", _r("gate"))
+    return _spread(index.gate(index.dot(weights), 0.99), shares).select("qid", _r("gate"))
 
 
 @query
@@ -356,7 +370,7 @@ def encoded_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def rerank_quantity(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = _asked(spark, sf_dir)
-    first = _plain(spark, sf_dir).score(asked).select("qid", "doc_id", "score")
+    first = _plain(spark, sf_dir).rank(asked, 1000)
     return late.rerank_with_quantity(first, asked, _values(spark, sf_dir), 10).select("qid", "doc_id", "rank", _r("score"))
 
 
