@@ -137,6 +137,7 @@ sided AS (SELECT i.*, condition, "pivot", CASE WHEN (condition = '=' AND value =
 parts AS (SELECT keyword, unit, condition, "pivot", sentence, side, max(value) AS value FROM sided WHERE side IS NOT NULL GROUP BY keyword, unit, condition, "pivot", sentence, side)"""
 SAMPLED = PARTS + """,
 sampled AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY keyword, unit, condition, "pivot", side ORDER BY sentence) AS INTEGER) AS place FROM parts) WHERE place <= 3)"""
+MASK = """list_reduce(list_prepend(sentence, list_transform({c}, lambda x: substring(sentence, x.start + 1, x."end" - x.start))), lambda a, p: CASE WHEN p = '' THEN a ELSE replace(a, p, '[MASK]') END)"""
 FORMS = "forms AS (SELECT unit_type, unit, unnest(forms) AS form FROM unit_ref WHERE unit_type <> 'scale')"
 PLAIN = "regexp_replace(" + FMT + ", '\\.0$', '')"
 
@@ -229,6 +230,9 @@ SQL: dict[str, str] = {
     "zip_triples": _with(SAMPLED) + "SELECT a.keyword, a.unit, a.condition, a.\"pivot\", a.place, a.sentence AS positive, b.sentence AS negative FROM sampled a JOIN sampled b ON a.keyword = b.keyword AND a.unit = b.unit AND a.condition = b.condition AND a.\"pivot\" = b.\"pivot\" AND a.place = b.place WHERE a.side = 'pos' AND b.side = 'neg'",
     "value_splice": _with(CINDEX) + "SELECT keyword, unit, value, sentence, substring(sentence, 1, value_spans[1].start) || CAST(CAST(floor(value / 2) AS BIGINT) AS VARCHAR) || substring(sentence, value_spans[1].\"end\" + 1) AS spliced FROM cindex WHERE len(value_spans) > 0",
     "unit_splice": _with(CINDEX) + "SELECT keyword, unit, value, sentence, substring(sentence, 1, unit_spans[1].start) || 'pct' || substring(sentence, unit_spans[1].\"end\" + 1) AS spliced FROM cindex WHERE len(unit_spans) > 0",
+    "mask_spans": _with(CINDEX) + f"SELECT keyword, unit, value, sentence, {MASK.format(c='value_spans')} AS masked_value, {MASK.format(c='unit_spans')} AS masked_unit FROM cindex",
+    "durations": """SELECT doc_id, printf('%d days %d hours %d minutes %d seconds', CAST(floor(s / 86400.0) AS BIGINT), CAST(floor(s % 86400 / 3600.0) AS BIGINT), CAST(floor(s % 3600 / 60.0) AS BIGINT), s % 60) AS took
+  FROM (SELECT doc_id, CAST(floor(epoch(ingested_at)) AS BIGINT) - CAST(floor(epoch(published_at)) AS BIGINT) AS s FROM documents WHERE published_at IS NOT NULL AND ingested_at IS NOT NULL)""",
     "surface_except": _with(FORMS) + "SELECT DISTINCT a.unit, b.form FROM forms a JOIN forms b ON a.unit_type = b.unit_type AND a.unit <> b.unit WHERE (a.unit, b.form) NOT IN (SELECT (unit, form) FROM forms)",
     "noun_units": _with(CINDEX, FORMS) + "SELECT DISTINCT unit FROM cindex WHERE unit NOT IN (SELECT form FROM forms)",
     "concept_lookup": _with(CINDEX) + """, k AS (SELECT DISTINCT keyword FROM cindex),
