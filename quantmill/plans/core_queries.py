@@ -170,17 +170,17 @@ for _mode in ("ratio", "expo"):
 
 
 @query
-def qbm25_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+def quantity_bm25_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _binary(spark, sf_dir).rank(_asked(spark, sf_dir), 10, 1.5, 0.75, "ratio").select("qid", "doc_id", "rank", _r("score"))
 
 
 @query
-def qbm25_expo(spark: SparkSession, sf_dir: str) -> DataFrame:
+def quantity_bm25_expo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _binary(spark, sf_dir).rank(_asked(spark, sf_dir), 10, 1.5, 0.75, "expo").select("qid", "doc_id", "rank", _r("score"))
 
 
 @query
-def qbm25_oov_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+def quantity_bm25_oov_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same queries asked with unknown words: quantity alone ranks."""
     asked = _asked(spark, sf_dir).withColumn("terms", F.transform("terms", lambda t: F.concat(F.lit("zq"), F.reverse(t), F.lit("qz"))))
     return _binary(spark, sf_dir).rank(asked, 10, 1.5, 0.75, "ratio").select("qid", "doc_id", "rank", _r("score"))

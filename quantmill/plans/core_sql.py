@@ -71,7 +71,7 @@ def _q(mode: str, pairs: str = "full_") -> str:
    WHERE a.value IS NOT NULL AND q.value IS NOT NULL AND (a.unit IS NULL OR a.unit = q.unit)) GROUP BY qid, doc_id)"""
 
 
-def _qbm25(mode: str) -> str:
+def _quantity_bm25(mode: str) -> str:
     return _with(*LEX, _index("binary"), WEIGHTED, "best AS (SELECT qid, max(score) AS best FROM scored GROUP BY qid)",
         "eligible AS (SELECT f.* FROM full_ f JOIN best USING (qid) JOIN asked USING (qid) WHERE best <> 0 AND value IS NOT NULL AND value <> 0 AND condition IS NOT NULL)", _q(mode, "eligible"),
         f"""lost AS (SELECT qid, doc_id, 2.0 * sum({_kernel(mode)}) / count(*) AS score FROM (SELECT a.qid, q.doc_id, condition, a.value, value2, q.value AS v FROM asked a JOIN quant q ON a.unit = q.unit
@@ -179,9 +179,9 @@ SQL: dict[str, str] = {
     + MET.format(eq="WHEN '=' THEN v = value") + ", false) GROUP BY qid, condition",
     "bm25_filter": _filter(False),
     "bm25_filter_fixed": _filter(True),
-    "qbm25_ratio": _qbm25("ratio"),
-    "qbm25_expo": _qbm25("expo"),
-    "qbm25_oov_fallback": _with(CORPUS, QUANT, ASKED) + _top(f"""SELECT qid, doc_id, 2.0 * sum({_kernel("ratio")}) / count(*) AS score FROM (SELECT a.qid, q.doc_id, condition, a.value, value2, q.value AS v FROM asked a JOIN quant q ON a.unit = q.unit
+    "quantity_bm25_ratio": _quantity_bm25("ratio"),
+    "quantity_bm25_expo": _quantity_bm25("expo"),
+    "quantity_bm25_oov_fallback": _with(CORPUS, QUANT, ASKED) + _top(f"""SELECT qid, doc_id, 2.0 * sum({_kernel("ratio")}) / count(*) AS score FROM (SELECT a.qid, q.doc_id, condition, a.value, value2, q.value AS v FROM asked a JOIN quant q ON a.unit = q.unit
   WHERE a.value IS NOT NULL AND a.value <> 0 AND condition IS NOT NULL AND q.value IS NOT NULL) GROUP BY qid, doc_id HAVING sum({_kernel("ratio")}) > 0"""),
     "sparse_dot": SPARSE + _top("SELECT qid, doc_id, score FROM dots"),
     "sparse_minmax": SPARSE + _top("SELECT qid, doc_id, norm AS score FROM norm"),
