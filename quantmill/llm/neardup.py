@@ -3,9 +3,9 @@
 Method: order MinHash. The k-mers of a text are its spans of k words, labelled by occurrence, for k of one and two. For each of
 several hash functions the MINIMA k-mers of least hash are kept in the order of the text; together they are one
 key. Two texts meet if a key agrees, which needs the same k-mers in the same order and so follows edit similarity. k-mers
-of a hundredth of the texts or more rank after all others. Candidates are verified by a banded alignment of their
-words; those whose alignment alone does not show the similarity (blocks moved out of the band) are checked exactly
-on their word sets. Links are closed to groups by connected components.
+of a hundredth of the texts or more rank after all others, so texts of a large group may share no key by their edits; every text
+therefore also meets by its rarest words, as many as two similar sets cannot avoid sharing. Candidates are checked exactly
+on their word sets; those that reach the similarity are aligned in a band. Links are closed to groups by connected components.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ _USED = U64(2**64 - 1)
 SKETCHES = ((1, 16), (2, 16))
 MINIMA = 2
 HOT_SHARE, HOT_LEAST = 0.01, 100
+#: Words held by this share of the texts are put in order of their counts.
+COUNTED_SHARE = 0.001
 #: Half width of the alignment's band, in words.
 BAND = 8
 
@@ -68,7 +70,7 @@ def sketch_entries(c: P.Classes, texts: np.ndarray, hot: np.ndarray) -> P.Entrie
         keys += found
         rows += [have] * sketches
     at = np.concatenate(rows)
-    return {"key": np.concatenate(keys), "rid": c.rid[at], "sketch": c.sketch()[at], "n": c.n[at], "ext": np.zeros(len(at), np.uint32)}
+    return c.entries(np.concatenate(keys), at, np.full(len(at), P.LEADS))
 
 
 def _order_minhash(key: np.ndarray, owner: np.ndarray, texts: int, chosen: np.ndarray, hot: np.ndarray, k: int, sketches: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -137,14 +139,13 @@ def banded_shared(a: pa.Array, b: pa.Array, band: int = BAND) -> np.ndarray:
 def _links(found: DataFrame, texts: DataFrame) -> DataFrame:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ta, tb = b.column("text_a"), b.column("text_b")
-            aligned = banded_shared(ta, tb)
-            na, nb = (np.diff(W.words(x)[1]) for x in (ta, tb))
-            inter, union = P.shared_words(ta, tb)
+            inter, union = P.shared_words(b.column("text_a"), b.column("text_b"))
             keep = np.flatnonzero(P.reaches(inter, union))
-            edit = 2 * aligned / np.maximum(1, na + nb)
+            ta, tb = (b.column(x).take(pa.array(keep)) for x in ("text_a", "text_b"))
+            na, nb = (np.diff(W.words(x)[1]) for x in (ta, tb))
+            edit = 2 * banded_shared(ta, tb) / np.maximum(1, na + nb)
             yield pa.record_batch(
-                [b.column("a").take(pa.array(keep)), b.column("b").take(pa.array(keep)), pa.array(inter[keep] / union[keep]), pa.array(edit[keep])],
+                [b.column("a").take(pa.array(keep)), b.column("b").take(pa.array(keep)), pa.array(inter[keep] / union[keep]), pa.array(edit)],
                 ["a", "b", "similarity", "edit_similarity"],
             )
 
@@ -153,8 +154,10 @@ def _links(found: DataFrame, texts: DataFrame) -> DataFrame:
 
 def near_duplicate_links(texts: DataFrame) -> DataFrame:
     """(a, b, similarity, edit_similarity) of the classes of ``texts`` (text, tab) that reach the similarity."""
-    hot, total = P.frequent(texts, all_kmers, HOT_SHARE, HOT_LEAST)
-    found = cut(P.candidate_pairs(texts, lambda c, t: sketch_entries(c, t, hot), total, sum(m for _, m in SKETCHES)))
+    common, counts, total = P.frequent(texts, all_kmers, COUNTED_SHARE, HOT_LEAST)
+    hot = common[counts >= HOT_SHARE * total]
+    entries = lambda c, t: P.joined(sketch_entries(c, t, hot), P.prefix_entries(c, t, common, counts))
+    found = cut(P.candidate_pairs(texts, entries, total, sum(m for _, m in SKETCHES) + 14))
     return _links(found, texts)
 
 

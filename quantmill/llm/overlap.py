@@ -83,8 +83,8 @@ def span_entries(c: P.Classes, texts: np.ndarray, hot: np.ndarray) -> P.Entries:
     key = np.where(is_hot, after[places], key)
     o, ext = owner[places], after[places] >> U64(32)
     word, text = short_words(c, chosen)
-    o, key, ext = np.append(o, text), np.append(key, word), np.append(ext, np.zeros(len(word), U64))
-    return {"key": key, "rid": c.rid[o], "sketch": c.sketch()[o], "n": c.n[o], "ext": ext}
+    o, key, ext = np.append(o, text), np.append(key, word), np.append(np.maximum(ext, U64(P.LEADS + 1)), np.full(len(word), P.LEADS, U64))
+    return c.entries(key, o, ext)
 
 
 def short_words(c: P.Classes, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +101,7 @@ def similar_classes(rows: DataFrame) -> DataFrame:
     """(a, b, inter, total, cover_a, cover_b) of the classes of ``rows`` (text, tab) that reach the similarity;
     ``cover`` is the share of the record's words inside spans of four words or more shared with the other."""
     texts = rows.select("text", "tab")
-    hot, total = P.frequent(texts, _keyed, HOT_SHARE, HOT_LEAST)
+    hot, _, total = P.frequent(texts, _keyed, HOT_SHARE, HOT_LEAST)
     found = cut(P.candidate_pairs(texts, lambda c, t: span_entries(c, t, hot), total, 17))
     links = cut(_checked(found, texts))
     # two records whose spans are all short meet through a record that both are linked to

@@ -4,13 +4,16 @@ Texts with the same set of words form one *class*, named by a 64-bit hash of tha
 copies, however many, are compared once. (Two different sets share a name with probability below
 n*n / 2**65.) A pass over the texts cuts every class into keyed entries (spans of a suffix array, or
 sketches), packs them by bucket into column-wise blobs, and shuffles the blobs. A bucket is sorted; runs of
-equal keys give candidate pairs, kept if their lengths and 64-bit word sketches allow the similarity. The two
+equal keys give candidate pairs, kept if their lengths and two 64-bit word sketches allow the similarity. The
 filters never drop a pair that reaches it. Candidates are checked exactly on the texts.
+
+Completeness rests on ``prefix_entries``: the rarest words of a class, so many that two similar sets share one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +26,16 @@ U64 = np.uint64
 SIM_NUM, SIM_DEN = 3, 5
 #: A key of more classes than this is split by what follows it in the text.
 RUN = 512
+#: Values of ``ext`` that are never split: a word that only meets the leading words of sets of no more words, and one that meets all.
+FOLLOWS, LEADS = 0, 1
+#: Runs longer than this are compared in blocks of so many rows and columns.
+LONG, ROWS, COLUMNS = 64, 512, 4096
 #: Entries held by a task before they are packed.
 FLUSH = 2_000_000
 #: Bytes that a bucket should have.
 BUCKET_BYTES = 24 << 20
 
-_FIELDS = (("key", "<u8"), ("rid", "<u8"), ("sketch", "<u8"), ("n", "<u4"), ("ext", "<u4"))
+_FIELDS = (("key", "<u8"), ("rid", "<u8"), ("sketch", "<u8"), ("n", "<u4"), ("ext", "<u4"), ("more", "<u8"))
 Entries = dict[str, np.ndarray]
 
 
@@ -38,25 +45,27 @@ def _planes(x: np.ndarray, kind: str) -> bytes:
 
 
 def pack(e: Entries) -> bytes:
-    """Entries as one blob: sorted by key, keys as differences, what belongs to a class once in a table of the blob's classes."""
+    """Entries as one blob: sorted by key, keys as differences, what belongs to a class once in a table of the blob's classes.
+    ``more``, the second sketch, may be left out."""
     order = np.argsort(e["key"], kind="stable")
     key = e["key"][order].astype(U64)
     rid, first, place = np.unique(e["rid"][order], return_index=True, return_inverse=True)
     key[1:] -= key[:-1].copy()
     columns = [(key, "<u8"), (place, "<u4"), (e["ext"][order], "<u4"), (rid, "<u8"), (e["sketch"][order][first], "<u8"), (e["n"][order][first], "<u4")]
+    columns.append((e["more"][order][first] if "more" in e else np.zeros(len(rid), U64), "<u8"))
     return np.array([len(key), len(rid)], np.int64).tobytes() + b"".join(_planes(x, kind) for x, kind in columns)
 
 
 def unpack(blob: bytes) -> Entries:
     n, classes = (int(x) for x in np.frombuffer(blob, np.int64, 2))
     at, columns = 16, []
-    for size, kind in ((n, "<u8"), (n, "<u4"), (n, "<u4"), (classes, "<u8"), (classes, "<u8"), (classes, "<u4")):
+    for size, kind in ((n, "<u8"), (n, "<u4"), (n, "<u4"), (classes, "<u8"), (classes, "<u8"), (classes, "<u4"), (classes, "<u8")):
         width = np.dtype(kind).itemsize
         planes = np.frombuffer(blob, np.uint8, size * width, at).reshape(width, size)
         columns.append(np.ascontiguousarray(planes.T).view(kind).reshape(size))
         at += size * width
-    key, place, ext, rid, sketch, words = columns
-    return {"key": np.cumsum(key, dtype=U64), "rid": rid[place], "sketch": sketch[place], "n": words[place], "ext": ext}
+    key, place, ext, rid, sketch, words, more = columns
+    return {"key": np.cumsum(key, dtype=U64), "rid": rid[place], "sketch": sketch[place], "n": words[place], "ext": ext, "more": more[place]}
 
 
 class Classes:
@@ -74,18 +83,27 @@ class Classes:
         _, first = np.unique(self.rid, return_index=True)
         return first[self.n[first] > 0]
 
-    def sketch(self) -> np.ndarray:
-        """Bit (hash mod 64) is set for every word: sets that differ in d words differ in at most d bits."""
-        bits = U64(1) << (self.set_hashes & U64(63))
+    def sketch(self, shift: int = 0) -> np.ndarray:
+        """Bit (hash mod 64) is set for every word: sets that differ in d words differ in at most d bits. ``shift`` takes other bits of the hash."""
+        bits = U64(1) << ((self.set_hashes >> U64(shift)) & U64(63))
         out = np.zeros(len(self.n), U64)
         full = self.n > 0
         if full.any():
             out[full] = np.bitwise_or.reduceat(bits, self.set_offsets[:-1][full])
         return out
 
+    def entries(self, key: np.ndarray, at: np.ndarray, ext: np.ndarray) -> Entries:
+        """Keyed entries of the texts ``at``."""
+        sketch, more = self._sketches
+        return {"key": key, "rid": self.rid[at], "sketch": sketch[at], "n": self.n[at], "ext": ext.astype(np.uint32), "more": more[at]}
+
+    @cached_property
+    def _sketches(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.sketch(), self.sketch(6)
+
 
-def frequent(texts: DataFrame, keys: Callable[[Classes], tuple[np.ndarray, np.ndarray]], share: float, least: int) -> tuple[np.ndarray, int]:
-    """(keys held by at least ``share`` of the texts and by ``least`` texts, number of texts).
+def frequent(texts: DataFrame, keys: Callable[[Classes], tuple[np.ndarray, np.ndarray]], share: float, least: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(keys held by at least ``share`` of the texts and by ``least`` texts, their counts, number of texts).
 
     ``keys`` gives (key, text) of a batch. Counts are taken in each task first; a task reports only keys
     that reach half the share there, so at most 2 / share times the keys of one text are reported by a task, and the
@@ -106,8 +124,10 @@ def frequent(texts: DataFrame, keys: Callable[[Classes], tuple[np.ndarray, np.nd
 
     total = texts.count()
     counted = texts.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    hot = [r.key for r in counted.where(F.col("n") >= max(least, share * total)).select("key").collect()]
-    return np.sort(np.array(hot, np.int64).view(U64)), total
+    rows = counted.where(F.col("n") >= max(least, share * total)).select("key", "n").collect()
+    hot, n = np.array([r.key for r in rows], np.int64).view(U64), np.array([r.n for r in rows], np.int64)
+    order = np.argsort(hot)
+    return hot[order], n[order], total
 
 
 def is_in(values: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -118,6 +138,36 @@ def is_in(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[at] == values
 
 
+def word_keys(h: np.ndarray) -> np.ndarray:
+    return W.mix(h + U64(1))
+
+
+def prefix_entries(c: Classes, texts: np.ndarray, common: np.ndarray, counts: np.ndarray) -> Entries:
+    """The first words of the chosen texts, rarest first (``counts`` of the ``common`` word keys; of others by hash): n - ceil(s n) + 1 of
+    them, as two sets of similarity s share at least ceil(s n) words. The first word that they share is also among the first
+    n - ceil(2 s n / (1 + s)) + 1 of the set of fewer words; these lead."""
+    chosen = np.zeros(len(c.n), np.bool_)
+    chosen[texts] = True
+    owner = np.repeat(np.arange(len(c.n)), c.n)
+    keep = chosen[owner]
+    owner, key = owner[keep], word_keys(c.set_hashes[keep])
+    n = np.zeros(len(key), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, key), len(common) - 1)
+        n = np.where(common[at] == key, counts[at], 0)
+    order = np.lexsort((key, n, owner))
+    key = key[order]
+    place = np.arange(len(key)) - np.searchsorted(owner, owner)
+    size = c.n[owner]
+    first = place <= size + (SIM_NUM * -size // SIM_DEN)
+    leads = place <= size + (2 * SIM_NUM * -size // (SIM_NUM + SIM_DEN))
+    return c.entries(key[first], owner[first], np.where(leads[first], LEADS, FOLLOWS))
+
+
+def joined(*parts: Entries) -> Entries:
+    return {f: np.concatenate([x[f].astype(kind) for x in parts]) for f, kind in _FIELDS}
+
+
 def _salt(b: pa.RecordBatch) -> np.ndarray | None:
     return np.asarray(b.column(1).to_numpy(zero_copy_only=False), np.int64) if b.num_columns > 1 else None
 
@@ -166,35 +216,47 @@ def _by_bucket(held: list[Entries], buckets: int) -> pa.RecordBatch:
 
 
 def bucket_pairs(parts: list[Entries]) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of one bucket: neighbours in the sorted entries whose key, or key and continuation, agree."""
+    """Candidate pairs of one bucket: entries whose key agrees. Keys of many classes are split by the continuation, but for
+    ``prefix_entries`` and sketches, whose runs are compared in full."""
     e = {f: np.concatenate([x[f] for x in parts]) for f, _ in _FIELDS}
-    order = np.lexsort((e["rid"], e["ext"], e["key"]))
-    key, rid, sketch, n, ext = (e[f][order] for f, _ in _FIELDS)
+    order = np.lexsort((e["ext"], e["rid"], e["key"]))
+    key, rid, sketch, n, ext, more = (e[f][order] for f, _ in _FIELDS)
     if not len(key):
         return rid, rid
     keep = np.ones(len(key), np.bool_)
     keep[1:] = (key[1:] != key[:-1]) | (rid[1:] != rid[:-1])
-    key, rid, sketch, n, ext = (x[keep] for x in (key, rid, sketch, n.astype(np.int64), ext))
+    key, rid, sketch, n, ext, more = (x[keep] for x in (key, rid, sketch, n.astype(np.int64), ext, more))
     edge = np.ones(len(key), np.bool_)
     edge[1:] = key[1:] != key[:-1]
     run = np.cumsum(edge) - 1
-    long = np.bincount(run)[run] > RUN
-    edge[1:] |= long[1:] & (ext[1:] != ext[:-1])
+    split = (np.bincount(run)[run] > RUN) & (ext > LEADS)
+    part = np.where(split, ext, 0)
+    order = np.lexsort((rid, n, part, key))
+    key, rid, sketch, n, ext, more, part = (x[order] for x in (key, rid, sketch, n, ext, more, part))
+    edge[1:] = (key[1:] != key[:-1]) | (part[1:] != part[:-1])
     start = np.flatnonzero(edge)
-    left = np.repeat(np.append(start[1:], len(key)), np.diff(np.append(start, len(key)))) - np.arange(len(key)) - 1
-    found_a, found_b = [], []
+    size = np.diff(np.append(start, len(key)))
+    found_i, found_j = [], []
+    for s, m in zip(start[size > LONG], size[size > LONG]):
+        i, j = _run_pairs(n[s : s + m], sketch[s : s + m], ext[s : s + m])
+        found_i.append(i + s)
+        found_j.append(j + s)
+    left = np.repeat(np.where(size > LONG, 0, start + size), size) - np.arange(len(key)) - 1
     i, lag = np.flatnonzero(left > 0), 1
     while len(i):
-        for part in np.array_split(i, len(i) // 4_000_000 + 1):
-            j = part + lag
-            ok = _may_reach(n[part], n[j], sketch[part], sketch[j])
-            found_a.append(np.minimum(rid[part[ok]].view(np.int64), rid[j[ok]].view(np.int64)))
-            found_b.append(np.maximum(rid[part[ok]].view(np.int64), rid[j[ok]].view(np.int64)))
+        for at in np.array_split(i, len(i) // 4_000_000 + 1):
+            j = at + lag
+            ok = _may_reach(n[at], n[j], sketch[at], sketch[j]) & ((ext[at] != FOLLOWS) | ((ext[j] != FOLLOWS) & (n[at] == n[j])))
+            found_i.append(at[ok])
+            found_j.append(j[ok])
         lag += 1
         i = i[left[i] >= lag]
-    if not found_a:
+    if not found_i:
         return rid[:0], rid[:0]
-    a, b = np.concatenate(found_a), np.concatenate(found_b)
+    i, j = np.concatenate(found_i), np.concatenate(found_j)
+    ok = _may_reach(n[i], n[j], more[i], more[j])
+    x, y = (rid[k[ok]].view(np.int64) for k in (i, j))
+    a, b = np.minimum(x, y), np.maximum(x, y)
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
     keep = a != b
@@ -202,6 +264,25 @@ def bucket_pairs(parts: list[Entries]) -> tuple[np.ndarray, np.ndarray]:
     return a[keep], b[keep]
 
 
+def _run_pairs(n: np.ndarray, sketch: np.ndarray, ext: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of one run in order of ``n`` that may reach the similarity, i leading and j of no fewer words."""
+    small = np.minimum(n, 256).astype(np.uint16)  # a set of 256 words passes the sketch filter with any other
+    rows = np.flatnonzero(ext != FOLLOWS)
+    found_i, found_j = [rows[:0]], [rows[:0]]
+    for k in range(0, len(rows), ROWS):
+        i = rows[k : k + ROWS]
+        low, high = np.searchsorted(n, n[i[0]]), np.searchsorted(n, SIM_DEN * n[i[-1]] // SIM_NUM, "right")
+        for first in range(low, high, COLUMNS):
+            j = np.arange(first, min(first + COLUMNS, high))
+            differ = np.bitwise_count(sketch[i][:, None] ^ sketch[j][None, :])
+            x, y = np.nonzero(differ * np.uint16(SIM_DEN + SIM_NUM) <= (SIM_DEN - SIM_NUM) * (small[i][:, None] + small[j][None, :]))
+            x, y = i[x], j[y]
+            ok = (x != y) & (n[x] <= n[y]) & (SIM_DEN * n[x] >= SIM_NUM * n[y])
+            found_i.append(x[ok])
+            found_j.append(y[ok])
+    return np.concatenate(found_i), np.concatenate(found_j)
+
+
 def _may_reach(n1: np.ndarray, n2: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
     """Whether sets of these sizes and sketches can reach the similarity. With intersection i and union u,
     i / u >= s needs |A xor B| = u - i <= (1 - s) / (1 + s) * (n1 + n2), and at least min / max >= s."""

@@ -190,3 +190,34 @@ def test_found_queries_on_the_small_tables(spark):
         train = [r for r in rs if r[3] == "train"]
         want3 |= {(tab, min(a[0], b[0]), max(a[0], b[0])) for a in rs if a[3] in ("val", "test") for b in train if brute.similar(a[2], b[2])}
     assert {tuple(r) for r in p3_found(spark, SMALL).select("tab", "id_a", "id_b").collect()} == want3
+
+
+def test_large_group_of_edited_texts(spark):
+    """All words of a large group are frequent but the one that each member has changed."""
+    rng = random.Random(4)
+    base = [f"v{i}" for i in range(20)]
+    data = []
+    for i in range(1000):
+        words = list(base)
+        words[rng.randrange(20)] = f"e{i}"
+        data.append((i, None, " ".join(words)))
+    data += [(1000 + i, None, " ".join(f"o{rng.randrange(10**6)}" for _ in range(20))) for i in range(500)]
+    out = neardup.near_duplicate_groups(rows(spark, data))
+    assert out.where("id < 1000").select("group_id").distinct().count() == 1
+    assert out.select("group_id").distinct().count() == 501
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_prefixes_meet_all_similar_pairs(monkeypatch, seed):
+    """Short and long runs, with counts and without."""
+    texts = [t for _, _, t in corpus(seed, 60)] + ["a b c d e", "a b c d", "a b c", "a b", "a", "a b c x y"]
+    c = P.Classes(pa.array(texts))
+    rid = c.rid.view(np.int64)
+    want = {(min(rid[i], rid[j]), max(rid[i], rid[j])) for i in range(len(texts)) for j in range(i) if rid[i] != rid[j] and brute.similar(texts[i], texts[j])}
+    keys, counts = np.unique(P.word_keys(c.set_hashes), return_counts=True)
+    for long, common in ((64, slice(0, 0)), (64, slice(None)), (2, slice(None)), (2, slice(0, 100))):
+        monkeypatch.setattr(P, "LONG", long)
+        monkeypatch.setattr(P, "ROWS", 3)
+        monkeypatch.setattr(P, "COLUMNS", 5)
+        a, b = P.bucket_pairs([P.prefix_entries(c, c.first_of_each(), keys[common], counts[common])])
+        assert want <= set(zip(a.tolist(), b.tolist()))
