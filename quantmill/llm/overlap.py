@@ -9,7 +9,7 @@ record that they cover, and the similarity is checked exactly.
 
 A pair of similar records whose shared spans are all shorter than six words is found through a third
 record similar to both (one more join over the links found). Records of up to fifteen different words, too short for
-spans, also meet by the first of their words in a fixed order, as many as two similar sets cannot avoid sharing.
+spans, and records with a frequent span also meet by their rarest words, as many as two similar sets cannot avoid sharing.
 """
 
 from __future__ import annotations
@@ -70,8 +70,9 @@ def minimisers(h: np.ndarray, offsets: np.ndarray, hot: np.ndarray) -> tuple[np.
     return places, key[places]
 
 
-def span_entries(c: P.Classes, texts: np.ndarray, hot: np.ndarray) -> P.Entries:
-    """The sampled suffixes of the chosen texts as entries of the partitioned suffix array."""
+def span_entries(c: P.Classes, texts: np.ndarray, hot: np.ndarray, counts: np.ndarray | None = None) -> P.Entries:
+    """The sampled suffixes of the chosen texts as entries of the partitioned suffix array, and their rarest words.
+    ``hot``: keys of frequent spans and words, with their ``counts``."""
     chosen = np.zeros(len(c.n), np.bool_)
     chosen[texts] = True
     places, key = minimisers(c.hashes, c.offsets, hot)
@@ -82,27 +83,17 @@ def span_entries(c: P.Classes, texts: np.ndarray, hot: np.ndarray) -> P.Entries:
     is_hot = P.is_in(key, hot)
     key = np.where(is_hot, after[places], key)
     o, ext = owner[places], after[places] >> U64(32)
-    word, text = short_words(c, chosen)
-    o, key, ext = np.append(o, text), np.append(key, word), np.append(np.maximum(ext, U64(P.LEADS + 1)), np.full(len(word), P.LEADS, U64))
-    return c.entries(key, o, ext)
-
-
-def short_words(c: P.Classes, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, text) for texts too short for spans: the first words of each in hash order, so many that two similar sets share one."""
-    n = c.n
-    take = np.where(chosen & (n <= SHORT), n + (P.SIM_NUM * -n // P.SIM_DEN) + 1, 0)
-    take[n == 0] = 0
-    text = np.repeat(np.arange(len(n)), take)
-    place = np.arange(len(text)) - np.repeat(np.cumsum(take) - take, take) + c.set_offsets[:-1][text]
-    return W.mix(c.set_hashes[place] + U64(1)), text
+    spans = c.entries(key, o, np.maximum(ext, U64(P.LEADS + 1)))
+    by_word = np.union1d(o[is_hot], np.flatnonzero(chosen & (c.n <= SHORT)))
+    return P.joined(spans, P.prefix_entries(c, by_word, hot, np.zeros(len(hot), np.int64) if counts is None else counts))
 
 
 def similar_classes(rows: DataFrame) -> DataFrame:
     """(a, b, inter, total, cover_a, cover_b) of the classes of ``rows`` (text, tab) that reach the similarity;
     ``cover`` is the share of the record's words inside spans of four words or more shared with the other."""
     texts = rows.select("text", "tab")
-    hot, _, total = P.frequent(texts, _keyed, HOT_SHARE, HOT_LEAST)
-    found = cut(P.candidate_pairs(texts, lambda c, t: span_entries(c, t, hot), total, 17))
+    hot, counts, total = P.frequent(texts, _keyed, HOT_SHARE, HOT_LEAST)
+    found = cut(P.candidate_pairs(texts, lambda c, t: span_entries(c, t, hot, counts), total, 31))
     links = cut(_checked(found, texts))
     # two records whose spans are all short meet through a record that both are linked to
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -120,7 +111,8 @@ def similar_classes(rows: DataFrame) -> DataFrame:
 def _keyed(c: P.Classes) -> tuple[np.ndarray, np.ndarray]:
     places, key = minimisers(c.hashes, c.offsets, np.zeros(0, U64))
     owner = np.repeat(np.arange(len(c.n)), np.diff(c.offsets))
-    return key, owner[places]
+    words = np.repeat(np.arange(len(c.n)), c.n)
+    return np.append(key, P.word_keys(c.set_hashes)), np.append(owner[places], words)
 
 
 def _checked(found: DataFrame, texts: DataFrame) -> DataFrame:

@@ -221,3 +221,13 @@ def test_prefixes_meet_all_similar_pairs(monkeypatch, seed):
         monkeypatch.setattr(P, "COLUMNS", 5)
         a, b = P.bucket_pairs([P.prefix_entries(c, c.first_of_each(), keys[common], counts[common])])
         assert want <= set(zip(a.tolist(), b.tolist()))
+
+
+def test_template_with_short_runs(spark):
+    """Records of one frequent template that share one run of six words, whose spans are all frequent."""
+    data = []
+    for i in range(600):
+        words = [f"x{i}y{k}" if k in (3, 10, 14) else f"t1w{k}" for k in range(18)]
+        data.append((i, "val" if i % 20 == 0 else "train", " ".join(words)))
+    assert brute.similar(data[0][2], data[1][2])
+    assert overlap.split_overlaps(rows(spark, data)).count() == 30 * 570
