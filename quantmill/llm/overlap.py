@@ -7,9 +7,8 @@ partitioned by their first four words and sorted; runs of neighbouring suffixes
 the pairs of records that share a span. The shared spans of a pair are merged into the part of each
 record that they cover, and the similarity is checked exactly.
 
-A pair of similar records whose shared spans are all shorter than six words is found through a third
-record similar to both (one more join over the links found). Records of up to fifteen different words, too short for
-spans, and records with a frequent span also meet by their rarest words, as many as two similar sets cannot avoid sharing.
+Similar records whose shared spans are all shorter than six words, or frequent, meet by their rarest words: each record
+by as many as two similar sets cannot avoid sharing, so that no pair is missed.
 """
 
 from __future__ import annotations
@@ -28,8 +27,6 @@ U64 = np.uint64
 GRAM, WINDOW, CONTINUE = 4, 3, 8
 #: A span held by this share of the texts, and by this many, ranks last as a minimiser.
 HOT_SHARE, HOT_LEAST = 0.001, 100
-#: Texts of at most so many different words also meet by single words.
-SHORT = 15
 TRAIN, EVAL, NONE = 1, 2, 0
 _TOP = U64(2**64 - 1)
 
@@ -84,8 +81,7 @@ def span_entries(c: P.Classes, texts: np.ndarray, hot: np.ndarray, counts: np.nd
     key = np.where(is_hot, after[places], key)
     o, ext = owner[places], after[places] >> U64(32)
     spans = c.entries(key, o, np.maximum(ext, U64(P.LEADS + 1)))
-    by_word = np.union1d(o[is_hot], np.flatnonzero(chosen & (c.n <= SHORT)))
-    return P.joined(spans, P.prefix_entries(c, by_word, hot, np.zeros(len(hot), np.int64) if counts is None else counts))
+    return P.joined(spans, P.prefix_entries(c, texts, hot, np.zeros(len(hot), np.int64) if counts is None else counts))
 
 
 def similar_classes(rows: DataFrame) -> DataFrame:
@@ -94,18 +90,7 @@ def similar_classes(rows: DataFrame) -> DataFrame:
     texts = rows.select("text", "tab")
     hot, counts, total = P.frequent(texts, _keyed, HOT_SHARE, HOT_LEAST)
     found = cut(P.candidate_pairs(texts, lambda c, t: span_entries(c, t, hot, counts), total, 31))
-    links = cut(_checked(found, texts))
-    # two records whose spans are all short meet through a record that both are linked to
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    via = both.select(F.col("a").alias("mid"), F.col("b").alias("x"))
-    further = (
-        via.join(via.withColumnRenamed("x", "y"), "mid")
-        .where(F.col("x") < F.col("y"))
-        .select(F.col("x").alias("a"), F.col("y").alias("b"))
-        .distinct()
-        .join(links, ["a", "b"], "left_anti")
-    )
-    return links.unionByName(_checked(cut(further), texts))
+    return _checked(found, texts)
 
 
 def _keyed(c: P.Classes) -> tuple[np.ndarray, np.ndarray]:

@@ -231,3 +231,16 @@ def test_template_with_short_runs(spark):
         data.append((i, "val" if i % 20 == 0 else "train", " ".join(words)))
     assert brute.similar(data[0][2], data[1][2])
     assert overlap.split_overlaps(rows(spark, data)).count() == 30 * 570
+
+
+def test_pairs_without_a_shared_span(spark):
+    """The same words in another order, of all lengths, without a third record."""
+    rng = random.Random(11)
+    data = []
+    for g in range(60):
+        words = [f"g{g}w{k}" for k in range(16 + g)]
+        other = words[: len(words) * 4 // 5] + [f"h{g}w{k}" for k in range(len(words) // 10)]
+        rng.shuffle(other)
+        data += [(2 * g, "train", " ".join(words)), (2 * g + 1, "test", " ".join(other))]
+    got = {(r.id_a, r.id_b) for r in overlap.split_overlaps(rows(spark, data)).collect()}
+    assert got == {(2 * g, 2 * g + 1) for g in range(60)}
