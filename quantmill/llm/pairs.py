@@ -24,7 +24,7 @@ from quantmill.llm import words as W
 U64 = np.uint64
 #: Similarity of the word sets, as a fraction, so that the check is exact in integers.
 SIM_NUM, SIM_DEN = 3, 5
-#: A key of more classes than this is split by what follows it in the text.
+#: A key of spans of more entries than this is split by what follows it in the text; pairs that this parts meet by ``prefix_entries``.
 RUN = 512
 #: Values of ``ext`` that are never split: a word that only meets the leading words of sets of no more words, and one that meets all.
 FOLLOWS, LEADS = 0, 1
@@ -207,7 +207,7 @@ def _by_bucket(held: list[Entries], buckets: int) -> pa.RecordBatch:
     order = np.lexsort((e["ext"], e["rid"], e["key"], bucket))
     e, bucket = {f: x[order] for f, x in e.items()}, bucket[order]
     keep = np.ones(len(bucket), np.bool_)
-    keep[1:] = (e["key"][1:] != e["key"][:-1]) | (e["rid"][1:] != e["rid"][:-1])
+    keep[1:] = (e["key"][1:] != e["key"][:-1]) | (e["rid"][1:] != e["rid"][:-1]) | (e["ext"][1:] != e["ext"][:-1])
     e, bucket = {f: x[keep] for f, x in e.items()}, bucket[keep]
     names, first = np.unique(bucket, return_index=True)
     ends = np.append(first[1:], len(bucket))
@@ -224,7 +224,7 @@ def bucket_pairs(parts: list[Entries]) -> tuple[np.ndarray, np.ndarray]:
     if not len(key):
         return rid, rid
     keep = np.ones(len(key), np.bool_)
-    keep[1:] = (key[1:] != key[:-1]) | (rid[1:] != rid[:-1])
+    keep[1:] = (key[1:] != key[:-1]) | (rid[1:] != rid[:-1]) | (ext[1:] != ext[:-1])
     key, rid, sketch, n, ext, more = (x[keep] for x in (key, rid, sketch, n.astype(np.int64), ext, more))
     edge = np.ones(len(key), np.bool_)
     edge[1:] = key[1:] != key[:-1]

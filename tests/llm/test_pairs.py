@@ -244,3 +244,36 @@ def test_pairs_without_a_shared_span(spark):
         data += [(2 * g, "train", " ".join(words)), (2 * g + 1, "test", " ".join(other))]
     got = {(r.id_a, r.id_b) for r in overlap.split_overlaps(rows(spark, data)).collect()}
     assert got == {(2 * g, 2 * g + 1) for g in range(60)}
+
+
+def test_long_runs_lose_no_pair(monkeypatch):
+    """Classes of one long run that share only its first words."""
+    monkeypatch.setattr(P, "RUN", 4)
+    rng = random.Random(12)
+    texts = []
+    for g in range(30):
+        body = [f"b{g}w{k}" for k in range(25)]
+        texts.append("every report of this source begins " + " ".join(body))
+        rng.shuffle(body)
+        texts.append("every report of this source begins " + " ".join(body))
+    texts = [t + (" more" if i % 2 else "") for i, t in enumerate(texts)]
+    c = P.Classes(pa.array(texts))
+    a, b = P.bucket_pairs([overlap.span_entries(c, c.first_of_each(), np.zeros(0, np.uint64))])
+    rid = c.rid.view(np.int64)
+    want = {(min(rid[2 * g], rid[2 * g + 1]), max(rid[2 * g], rid[2 * g + 1])) for g in range(30)}
+    assert want <= set(zip(a.tolist(), b.tolist()))
+
+
+def test_every_continuation_is_kept():
+    """A key that stands twice in a text keeps both continuations, also when its run is split."""
+    e = {"key": np.full(4, 7), "rid": np.array([1, 1, 2, 3]), "sketch": np.zeros(4), "n": np.full(4, 9), "ext": np.array([10, 20, 20, 10]), "more": np.zeros(4)}
+    e = {f: e[f].astype(kind) for f, kind in P._FIELDS}
+    (blob,) = P._by_bucket([e], 1).column("blob").to_pylist()
+    back = P.unpack(blob)
+    assert sorted(zip(back["rid"].tolist(), back["ext"].tolist())) == [(1, 10), (1, 20), (2, 20), (3, 10)]
+    old, P.RUN = P.RUN, 2
+    try:
+        a, b = P.bucket_pairs([back])
+    finally:
+        P.RUN = old
+    assert set(zip(a.tolist(), b.tolist())) == {(1, 2), (1, 3)}
