@@ -353,3 +353,14 @@ def test_invariants_of_scores(spark):
     for mode in ("ratio", "expo"):
         for r in df.select("c", "v", N.kernel(F.col("c"), F.col("v"), F.col("a"), F.col("b"), mode).alias("k")).collect():
             assert (0 <= r.k <= 1 if r.v >= 0 else True) and (r.c != "?" or r.k == 0)
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_kmeans_search_recall(spark, size):
+    from quantmill.plans import core_queries as C
+
+    d = f"/root/testdata/{size}"
+    best = late.top_passages(late.maxsim(C._tokens(spark, d), C._query_tokens(spark, d)), 10)
+    want = {(r.qid, r.pid) for r in best.collect()}
+    got = {(r.qid, r.pid) for r in C.kmeans_search(spark, d).collect()}
+    assert len(got & want) >= 0.9 * len(want)
