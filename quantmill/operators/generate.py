@@ -98,16 +98,19 @@ def triples(sampled: DataFrame) -> DataFrame:
     return pos.join(sampled.where("side = 'neg'").select(*key, F.col("sentence").alias("negative")), key)
 
 
-def with_corpus_sentences(sampled: DataFrame, corpus: DataFrame, seed: int = 7676, buckets: int = 4096) -> DataFrame:
+def with_corpus_sentences(sampled: DataFrame, corpus: DataFrame, seed: int = 7676, buckets: int | None = None) -> DataFrame:
     """``sampled`` with every positive twice, and for every positive one sentence drawn from ``corpus`` (sentence) as a negative.
 
-    The draw is by hash: both sides are hashed to buckets, and a positive takes the first sentence of its bucket, or of the first one for an empty bucket; the
-    corpus is reduced to one sentence per bucket before it meets the positives."""
-    drawn = corpus.where("sentence is not null and sentence <> ''").select("sentence", F.pmod(F.xxhash64("sentence", F.lit(seed)), F.lit(buckets)).alias("b"))
-    pool = drawn.groupBy("b").agg(F.min("sentence").alias("drawn"))
-    first = pool.agg(F.min("drawn").alias("first"))
+    The draw is by hash: both sides are hashed to buckets, of about eight sentences each unless their number is given, and a positive takes one of the
+    sentences of its bucket by a second hash, or the first sentence of all for an empty bucket. Every sentence of the corpus can be drawn."""
+    usable = corpus.where("sentence is not null and sentence <> ''").select("sentence")
+    buckets = buckets or max(1, usable.count() // 8)
+    drawn = usable.withColumn("b", F.pmod(F.xxhash64("sentence", F.lit(seed)), F.lit(buckets)))
+    pool = drawn.groupBy("b").agg(F.array_sort(F.collect_set("sentence")).alias("drawn"))
+    first = pool.agg(F.min(F.get("drawn", F.lit(0))).alias("first"))
     pos = sampled.where("side = 'pos'").withColumn("b", F.pmod(F.xxhash64("sentence", *GROUP, "condition", F.lit(seed + 1)), F.lit(buckets)))
-    added = pos.join(F.broadcast(pool), "b", "left").crossJoin(F.broadcast(first)).withColumn("sentence", F.coalesce("drawn", "first"))
+    pick = F.get("drawn", F.pmod(F.xxhash64("sentence", *GROUP, "condition", "pivot", F.lit(seed + 2)), F.size("drawn")).cast("int"))
+    added = pos.join(pool, "b", "left").crossJoin(F.broadcast(first)).withColumn("sentence", F.coalesce(pick, "first"))
     added = added.where("sentence is not null").withColumn("side", F.lit("neg")).select(*sampled.columns)
     twice = sampled.where("side = 'pos'").withColumn("_", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_")
     return twice.unionByName(sampled.where("side = 'neg'")).unionByName(added)

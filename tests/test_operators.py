@@ -364,3 +364,13 @@ def test_kmeans_search_recall(spark, size):
     want = {(r.qid, r.pid) for r in best.collect()}
     got = {(r.qid, r.pid) for r in C.kmeans_search(spark, d).collect()}
     assert len(got & want) >= 0.9 * len(want)
+
+
+def test_every_corpus_sentence_can_be_drawn(spark):
+    corpus = spark.range(20_000).select(F.format_string("s%05d", "id").alias("sentence"))
+    sampled = spark.range(100_000).select(
+        F.lit("k").alias("keyword"), F.lit("u").alias("unit"), F.lit("=").alias("condition"), F.col("id").cast("double").alias("pivot"), F.format_string("p%d", "id").alias("sentence"), F.lit("pos").alias("side")
+    )
+    drawn = G.with_corpus_sentences(sampled, corpus).where("side = 'neg'").select("sentence")
+    assert drawn.count() == 100_000
+    assert drawn.distinct().count() > 19_000
