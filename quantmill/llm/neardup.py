@@ -1,11 +1,14 @@
 """Problem 4: groups of texts that differ by small edits.
 
-Method: order MinHash. The k-mers of a text are its spans of k words, labelled by occurrence, for k of one and two. For each of
-several hash functions the MINIMA k-mers of least hash are kept in the order of the text; together they are one
-key. Two texts meet if a key agrees, which needs the same k-mers in the same order and so follows edit similarity. k-mers
-of a hundredth of the texts or more rank after all others, so texts of a large group may share no key by their edits; every text
-therefore also meets by its rarest words, as many as two similar sets cannot avoid sharing. Candidates are checked exactly
-on their word sets; those that reach the similarity are aligned in a band. Links are closed to groups by connected components.
+Method: order MinHash. The k-mers of a text are its words, labelled by occurrence. For each of SKETCHES hash functions
+the k-mers of least hash are kept in the order of the text; together they are one key. Two texts meet if a key
+agrees, which needs the same k-mers in the same order and so follows edit similarity. A key has MINIMA k-mers, and more, up to
+MOST, as long as all of its words are frequent: it then says about as much as one with a rarer word, and
+a large group of similar texts is found by its frequent words.
+
+Candidates are verified by a banded alignment: it proves the similarity where the aligned words suffice. What it
+leaves open (words moved far) is settled by the sets of words. Links are closed to groups by connected components; a class of a long
+run is at first linked to a few others, and then to those of other groups, so that large groups stay linear.
 """
 
 from __future__ import annotations
@@ -22,18 +25,18 @@ from quantmill.session import cut
 
 U64 = np.uint64
 _USED = U64(2**64 - 1)
-#: Words in a k-mer, and how many sketches of it are taken: single words survive scattered edits, pairs tell common words apart.
-SKETCHES = ((1, 16), (2, 16))
-MINIMA = 2
-HOT_SHARE, HOT_LEAST = 0.01, 100
-#: Words held by this share of the texts are put in order of their counts.
-COUNTED_SHARE = 0.001
+#: Words in a k-mer, and how many sketches are taken.
+K, SKETCHES = 1, 32
+#: K-mers in a key; up to MOST while all of its words are held by FREQUENT of the texts or more.
+MINIMA, MOST, FREQUENT = 2, 4, 0.02
+#: Other classes of a long run that a class is linked to at first.
+PARTNERS = 16
 #: Half width of the alignment's band, in words.
 BAND = 8
 
 
-def kmers(h: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, owner) of the spans of k words, in text order; a text of fewer words is one k-mer."""
+def kmers(h: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, owner, place) of the spans of k words, in text order; a text of fewer words is one k-mer."""
     n = len(h)
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     end = offsets[1:][owner]
@@ -41,12 +44,7 @@ def kmers(h: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     for j in range(1, k):
         key = key * U64(0x9E3779B97F4A7C15) + np.where(np.arange(n) + j < end, W.ahead(h, j), U64(0))
     keep = (np.arange(n) + k <= end) | ((np.diff(offsets) < k)[owner] & (np.arange(n) == offsets[:-1][owner]))
-    return W.mix(key[keep]), owner[keep]
-
-
-def all_kmers(c: P.Classes) -> tuple[np.ndarray, np.ndarray]:
-    parts = [kmers(c.hashes, c.offsets, k) for k, _ in SKETCHES]
-    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    return W.mix(key[keep]), owner[keep], np.flatnonzero(keep)
 
 
 def occurrence(key: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -60,49 +58,46 @@ def occurrence(key: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return label
 
 
-def sketch_entries(c: P.Classes, texts: np.ndarray, hot: np.ndarray) -> P.Entries:
-    """The order-MinHash keys of the chosen texts."""
+def sketch_entries(c: P.Classes, texts: np.ndarray, counts: np.ndarray, total: int) -> P.Entries:
+    """The order-MinHash keys of the chosen texts; ``counts``: table of the number of texts with a word, of ``total``."""
     chosen = np.zeros(len(c.n), np.bool_)
     chosen[texts] = True
-    keys, rows = [], []
-    for k, sketches in SKETCHES:
-        found, have = _order_minhash(*kmers(c.hashes, c.offsets, k), len(c.n), chosen, hot, k, sketches)
-        keys += found
-        rows += [have] * sketches
-    at = np.concatenate(rows)
-    return c.entries(np.concatenate(keys), at, np.full(len(at), P.LEADS))
-
-
-def _order_minhash(key: np.ndarray, owner: np.ndarray, texts: int, chosen: np.ndarray, hot: np.ndarray, k: int, sketches: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """(keys of each sketch, texts that have them): the MINIMA k-mers of least rank, joined in text order."""
+    key, owner, place = kmers(c.hashes, c.offsets, K)
     keep = chosen[owner]
     key, owner = key[keep], owner[keep]
-    late = np.where(P.is_in(key, hot), U64(1) << U64(63), U64(0))
+    held = counts[P.slots(c.hashes[place[keep]])]
     key = W.mix(key + occurrence(key, owner).astype(U64) * U64(0x632BE59BD9B4E019))
-    offsets = np.searchsorted(owner, np.arange(texts + 1))
+    offsets = np.searchsorted(owner, np.arange(len(c.n) + 1))
     have = np.flatnonzero(np.diff(offsets) > 0)
-    first, last = offsets[:-1][have], offsets[1:][have]
-    seeds = W.mix((np.arange(1, sketches + 1) + 1000 * k).astype(U64))
-    if not len(have):
-        return [key[:0]] * sketches, have
-    found = []
-    for s in seeds:
-        rank = (W.mix(key ^ s) >> U64(1)) | late
-        places: list[np.ndarray] = []
-        for _ in range(MINIMA):
-            least = np.minimum.reduceat(rank, first)
-            at = np.flatnonzero(rank == np.repeat(least, last - first))
-            where = np.empty(len(have), np.int64)
-            where[(np.searchsorted(first, at, "right") - 1)[::-1]] = at[::-1]
-            if places:  # a text whose k-mers are used up repeats its last place
-                where = np.where(least == _USED, places[-1], where)
-            places.append(where)
-            rank[where] = _USED
-        joined = np.full(len(have), s, U64)
-        for p in np.sort(np.stack(places), axis=0):
-            joined = W.mix(joined * U64(0x9E3779B97F4A7C15) + key[p])
-        found.append(joined)
-    return found, have
+    keys, bounds = [], []
+    for seed in W.mix(np.arange(1, SKETCHES + 1).astype(U64)) if len(have) else ():
+        k, bound = _order_minhash(key, held, offsets[:-1][have], offsets[1:][have], seed, FREQUENT * total)
+        keys.append(k)
+        bounds.append(bound)
+    at = np.tile(have, len(keys))
+    key, bound = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((keys, U64), (bounds, np.int64)))
+    return c.entries(key, at, np.full(len(at), P.LEADS), bound)
+
+
+def _order_minhash(key: np.ndarray, held: np.ndarray, first: np.ndarray, last: np.ndarray, seed: np.uint64, frequent: float) -> tuple[np.ndarray, np.ndarray]:
+    """(the k-mers of least rank of every text, joined in text order; how many texts hold the rarest of them, at most)."""
+    rank = W.mix(key ^ seed)
+    bound, places = np.full(len(first), np.iinfo(np.int64).max), []
+    for m in range(MOST):
+        least = np.minimum.reduceat(rank, first)
+        at = np.flatnonzero(rank == np.repeat(least, last - first))
+        where = np.empty(len(first), np.int64)
+        where[(np.searchsorted(first, at, "right") - 1)[::-1]] = at[::-1]
+        if places:  # a text whose k-mers are used up repeats its last place
+            where = np.where((least == _USED) | ((m >= MINIMA) & (bound < frequent)), places[-1], where)
+        bound = np.minimum(bound, held[where])
+        places.append(where)
+        rank[where] = _USED
+    joined, before = np.full(len(first), seed, U64), np.full(len(first), -1)
+    for p in np.sort(np.stack(places), axis=0):
+        joined = np.where(p == before, joined, W.mix(joined * U64(0x9E3779B97F4A7C15) + key[p]))
+        before = p
+    return joined, bound
 
 
 def banded_shared(a: pa.Array, b: pa.Array, band: int = BAND) -> np.ndarray:
@@ -136,33 +131,49 @@ def banded_shared(a: pa.Array, b: pa.Array, band: int = BAND) -> np.ndarray:
     return out
 
 
+def verified(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(whether the similarity is reached, whether the alignment proves it, edit similarity) of aligned texts. Words of an alignment are in both
+    texts; at most as many of them are repetitions as the text with fewer of these has."""
+    (ha, oa), (hb, ob) = W.words(a), W.words(b)
+    la, lb = np.diff(oa), np.diff(ob)
+    na, nb = np.diff(W.distinct_sorted(ha, oa)[1]), np.diff(W.distinct_sorted(hb, ob)[1])
+    aligned = banded_shared(a, b)
+    least = np.maximum(0, aligned - np.minimum(la - na, lb - nb))
+    proved = P.reaches(least, na + nb - least) & (least > 0)
+    reached = proved.copy()
+    rest = np.flatnonzero(~proved)
+    if len(rest):
+        reached[rest] = P.reaches(*P.shared_words(a.take(pa.array(rest)), b.take(pa.array(rest))))
+    return reached, proved, 2 * aligned / np.maximum(1, la + lb)
+
+
 def _links(found: DataFrame, texts: DataFrame) -> DataFrame:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            inter, union = P.shared_words(b.column("text_a"), b.column("text_b"))
-            keep = np.flatnonzero(P.reaches(inter, union))
-            ta, tb = (b.column(x).take(pa.array(keep)) for x in ("text_a", "text_b"))
-            na, nb = (np.diff(W.words(x)[1]) for x in (ta, tb))
-            edit = 2 * banded_shared(ta, tb) / np.maximum(1, na + nb)
-            yield pa.record_batch(
-                [b.column("a").take(pa.array(keep)), b.column("b").take(pa.array(keep)), pa.array(inter[keep] / union[keep]), pa.array(edit)],
-                ["a", "b", "similarity", "edit_similarity"],
-            )
+            reached, proved, edit = verified(b.column("text_a"), b.column("text_b"))
+            keep = pa.array(np.flatnonzero(reached))
+            columns = [b.column("a"), b.column("b"), pa.array(proved), pa.array(edit)]
+            yield pa.record_batch([x.take(keep) for x in columns], ["a", "b", "aligned", "edit_similarity"])
 
-    return P.with_texts(found, texts).mapInArrow(check, "a long, b long, similarity double, edit_similarity double")
+    return P.with_texts(found, texts).mapInArrow(check, "a long, b long, aligned boolean, edit_similarity double")
 
 
 def near_duplicate_links(texts: DataFrame) -> DataFrame:
-    """(a, b, similarity, edit_similarity) of the classes of ``texts`` (text, tab) that reach the similarity."""
-    common, counts, total = P.frequent(texts, all_kmers, COUNTED_SHARE, HOT_LEAST)
-    hot = common[counts >= HOT_SHARE * total]
-    entries = lambda c, t: P.joined(sketch_entries(c, t, hot), P.prefix_entries(c, t, common, counts))
-    found = cut(P.candidate_pairs(texts, entries, total, sum(m for _, m in SKETCHES) + 14))
-    return _links(found, texts)
+    """(a, b, aligned, edit_similarity): links of the classes of ``texts`` (text, tab) whose closure is the groups; each reaches the similarity."""
+    counts, total = P.word_counts(texts)
+    entries = lambda c, t: sketch_entries(c, t, counts, total)
+    found = cut(P.candidate_pairs(texts, entries, total, SKETCHES, most=PARTNERS))
+    links = cut(_links(found.where("b is not null").select("a", "b"), texts))
+    left = found.where("b is null").drop("b")
+    if left.isEmpty():
+        return links
+    more = cut(P.open_pairs(left, connected_components(links.select("a", "b"))))
+    return links if more.isEmpty() else links.unionByName(cut(_links(more, texts)))
 
 
 def near_duplicate_groups(rows: DataFrame) -> DataFrame:
-    """(id, group_id, rid, links) of every record with words: its group and the number of other word sets it is linked to.
+    """(id, group_id, rid, aligned) of every record with words: its group, its set of words, and how many of the links by which it was
+    found the alignment proved.
 
     ``rows``: id long, at timestamp, text string; more columns are ignored. Records of the same group have the same
     ``group_id``; records without a near duplicate are groups of one. Records delivered again count once, as last delivered.
@@ -170,15 +181,15 @@ def near_duplicate_groups(rows: DataFrame) -> DataFrame:
     group; an empty table gives no rows. Texts of any length are compared as wholes.
     """
     base = rows.select(
-        F.lower("text").alias("text"), F.lit(0).alias("tab"), F.col("id").cast("long").alias("id"), F.lit(0).alias("split"), F.col("at").cast("timestamp").alias("at"),
+        F.lower("text").alias("text"), F.lit(0).alias("tab"), F.col("id").cast("long").alias("id"), F.lit("").alias("split"), F.lit("").alias("source"), F.col("at").cast("timestamp").alias("at"),
     )
-    links = cut(near_duplicate_links(base.where("text is not null").select("text", "tab")))
-    ends = links.select(F.col("a").alias("rid")).unionAll(links.select("b"))
-    degree = ends.groupBy("rid").agg(F.count("*").alias("links"))
+    links = near_duplicate_links(base.where("text is not null").select("text", "tab"))
+    ends = links.select(F.col("a").alias("rid"), "aligned").unionAll(links.select("b", "aligned"))
+    proved = ends.groupBy("rid").agg(F.count_if("aligned").alias("aligned"))
     group = connected_components(links.select("a", "b")).withColumnRenamed("node", "rid")
-    known = group.join(degree, "rid")
+    known = group.join(proved, "rid")
     return P.memberships(base).join(known, "rid", "left").select(
-        "id", F.coalesce("component", "rid").alias("group_id"), "rid", F.coalesce("links", F.lit(0)).alias("links")
+        "id", F.coalesce("component", "rid").alias("group_id"), "rid", F.coalesce("aligned", F.lit(0)).alias("aligned")
     )
 
 

@@ -1,14 +1,11 @@
 """Problem 3: the same or nearly the same record in the train split and in an evaluation split.
 
-Method: a partitioned suffix array over the words of all texts. Suffixes are taken at the minimisers of
-the text (of every three neighbouring spans of four words the one that ranks first, spans that are frequent
-in the corpus ranking last), so that any span of six words shared by two texts starts a suffix in both. They are
-partitioned by their first four words and sorted; runs of neighbouring suffixes with a long common prefix give
-the pairs of records that share a span. The shared spans of a pair are merged into the part of each
-record that they cover, and the similarity is checked exactly.
-
-Similar records whose shared spans are all shorter than six words, or frequent, meet by their rarest words: each record
-by as many as two similar sets cannot avoid sharing, so that no pair is missed.
+Method: a partitioned suffix array over the words of all texts. It is sparse: of every text it has the suffixes that start at
+its rarest words, as many as two similar texts cannot avoid sharing one of, since with long common prefixes alone a pair whose
+words are edited here and there, or moved, would be lost. Suffixes are partitioned by their first word; those of
+a train and of an evaluation text in one partition are candidates. Candidates are checked exactly, and the suffix array of the texts
+of all pairs, concatenated, gives the spans that neighbouring suffixes of the two sides share: they are merged into
+the part of each record that they cover.
 """
 
 from __future__ import annotations
@@ -23,152 +20,165 @@ from quantmill.llm import pairs as P, words as W
 from quantmill.session import cut
 
 U64 = np.uint64
-#: Words in the leading part of a suffix, spans in a minimiser's window, words that continue a suffix.
-GRAM, WINDOW, CONTINUE = 4, 3, 8
-#: A span held by this share of the texts, and by this many, ranks last as a minimiser.
-HOT_SHARE, HOT_LEAST = 0.001, 100
+#: Words that a shared span has at least, to count for the coverage.
+GRAM = 4
 TRAIN, EVAL, NONE = 1, 2, 0
-_TOP = U64(2**64 - 1)
-
-
-def grams(h: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of the ``size`` words from each place on, owner, end of the owner's words). A gram ends with its text."""
-    n = len(h)
-    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    end = offsets[1:][owner]
-    at = np.arange(n)
-    key = np.zeros(n, U64)
-    for j in range(size):
-        inside = at + j < end
-        key = key * U64(0x9E3779B97F4A7C15) + np.where(inside, W.ahead(h, j), U64(0x51ED27))
-    return W.mix(key), owner, end
-
-
-def minimisers(h: np.ndarray, offsets: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, their gram hashes): in each window of WINDOW grams the one that ranks first.
-    A text with fewer words than a window takes gives all its places."""
-    key, owner, end = grams(h, offsets, GRAM)
-    n = len(key)
-    if not n:
-        return np.zeros(0, np.int64), key
-    whole = np.arange(n) + GRAM <= end
-    short = np.diff(offsets)[owner] < GRAM + WINDOW - 1
-    rank = (key >> U64(1)) | np.where(P.is_in(key, hot), U64(1) << U64(63), U64(0))
-    rank = np.where(whole, rank, _TOP)
-    least = rank.copy()
-    for j in range(1, WINDOW):
-        least = np.minimum(least, W.ahead(rank, j, int(_TOP)))
-    full = np.arange(n) + GRAM + WINDOW - 1 <= end
-    chosen = short.copy()
-    for j in range(WINDOW):
-        at = np.flatnonzero(full & (W.ahead(rank, j) == least))
-        chosen[at[at + j < n] + j] = True
-    places = np.flatnonzero(chosen)
-    return places, key[places]
-
-
-def span_entries(c: P.Classes, texts: np.ndarray, hot: np.ndarray, counts: np.ndarray | None = None) -> P.Entries:
-    """The sampled suffixes of the chosen texts as entries of the partitioned suffix array, and their rarest words.
-    ``hot``: keys of frequent spans and words, with their ``counts``."""
+
+
+def suffix_entries(c: P.Classes, texts: np.ndarray, counts: np.ndarray) -> P.Entries:
+    """The suffixes of the chosen texts that start at their rarest words (``counts``: table of the number of texts with a word): n - ceil(s n) + 1 of
+    the n words, as two sets of similarity s share at least ceil(s n) words. The first word that they share, rarest first, is also
+    among the first n - ceil(2 s n / (1 + s)) + 1 of the set of fewer words; these lead."""
     chosen = np.zeros(len(c.n), np.bool_)
     chosen[texts] = True
-    places, key = minimisers(c.hashes, c.offsets, hot)
-    after, owner, end = grams(c.hashes, c.offsets, CONTINUE + GRAM)
-    keep = chosen[owner[places]]
-    places, key = places[keep], key[keep]
-    # a suffix that starts with a span held by a large share of the texts is partitioned by more of its words
-    is_hot = P.is_in(key, hot)
-    key = np.where(is_hot, after[places], key)
-    o, ext = owner[places], after[places] >> U64(32)
-    spans = c.entries(key, o, np.maximum(ext, U64(P.LEADS + 1)))
-    return P.joined(spans, P.prefix_entries(c, texts, hot, np.zeros(len(hot), np.int64) if counts is None else counts))
-
-
-def similar_classes(rows: DataFrame) -> DataFrame:
-    """(a, b, inter, total, cover_a, cover_b) of the classes of ``rows`` (text, tab) that reach the similarity;
-    ``cover`` is the share of the record's words inside spans of four words or more shared with the other."""
-    texts = rows.select("text", "tab")
-    hot, counts, total = P.frequent(texts, _keyed, HOT_SHARE, HOT_LEAST)
-    found = cut(P.candidate_pairs(texts, lambda c, t: span_entries(c, t, hot, counts), total, 31))
-    return _checked(found, texts)
-
-
-def _keyed(c: P.Classes) -> tuple[np.ndarray, np.ndarray]:
-    places, key = minimisers(c.hashes, c.offsets, np.zeros(0, U64))
-    owner = np.repeat(np.arange(len(c.n)), np.diff(c.offsets))
-    words = np.repeat(np.arange(len(c.n)), c.n)
-    return np.append(key, P.word_keys(c.set_hashes)), np.append(owner[places], words)
-
-
-def _checked(found: DataFrame, texts: DataFrame) -> DataFrame:
+    owner = np.repeat(np.arange(len(c.n)), c.n)
+    keep = chosen[owner]
+    owner, h = owner[keep], c.set_hashes[keep]
+    held = counts[P.slots(h)]
+    order = np.lexsort((h, held, owner))
+    h, held = h[order], held[order]
+    rank = np.arange(len(h)) - np.searchsorted(owner, owner)
+    size = c.n[owner]
+    first = rank <= size + (P.SIM_NUM * -size // P.SIM_DEN)
+    leads = rank <= size + (2 * P.SIM_NUM * -size // (P.SIM_NUM + P.SIM_DEN))
+    return c.entries(W.mix(h[first] + U64(1)), owner[first], leads[first].astype(U64), held[first])
+
+
+def similar_classes(texts: DataFrame) -> DataFrame:
+    """(a, b, inter, total, span, cover_a, cover_b) of the classes of ``texts`` (text, tab, side) that reach the similarity and have texts on different
+    sides; ``span`` is the longest run of words that both have, ``cover`` the share of a text's words inside shared runs of GRAM words or more."""
+    counts, total = P.word_counts(texts)
+    found = cut(P.candidate_pairs(texts, lambda c, t: suffix_entries(c, t, counts), total, 14, sides=True).select("a", "b"))
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ta, tb = b.column("text_a"), b.column("text_b")
-            inter, union = P.shared_words(ta, tb)
+            inter, union = P.shared_words(b.column("text_a"), b.column("text_b"))
             keep = np.flatnonzero(P.reaches(inter, union))
-            cover_a, cover_b = coverage(ta.take(pa.array(keep)), tb.take(pa.array(keep)))
-            yield pa.record_batch(
-                [b.column("a").take(pa.array(keep)), b.column("b").take(pa.array(keep)), pa.array(inter[keep]), pa.array(union[keep]), pa.array(cover_a), pa.array(cover_b)],
-                ["a", "b", "inter", "total", "cover_a", "cover_b"],
-            )
-
-    return P.with_texts(found, texts).mapInArrow(check, "a long, b long, inter long, total long, cover_a double, cover_b double")
-
-
-def coverage(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Share of the words of each of two aligned texts that lie in spans of GRAM words shared by both, merged."""
-    ha, oa = W.words(a)
-    hb, ob = W.words(b)
-    ka, pa_, ea = grams(ha, oa, GRAM)
-    kb, pb, eb = grams(hb, ob, GRAM)
-    # a gram is tied to its pair, then looked up in the other text
-    ta = W.mix(ka + W.mix(pa_.astype(U64)))
-    tb = W.mix(kb + W.mix(pb.astype(U64)))
-
-    def part(t: np.ndarray, other: np.ndarray, owner: np.ndarray, end: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        n = len(t)
-        hit = P.is_in(t, np.sort(other)) & (np.arange(n) + GRAM <= end)
-        covered = hit.copy()
-        for j in range(1, min(GRAM, n)):
-            covered[j:] |= hit[: n - j] & (owner[j:] == owner[: n - j])
-        count = np.bincount(owner[covered], minlength=len(offsets) - 1)
-        return count / np.maximum(1, np.diff(offsets))
-
-    return part(ta, tb, pa_, ea, oa), part(tb, ta, pb, eb, ob)
+            a, b, ta, tb = (b.column(x).take(pa.array(keep)) for x in ("a", "b", "text_a", "text_b"))
+            span, cover_a, cover_b = shared_spans(ta, tb)
+            columns = [a, b, pa.array(inter[keep]), pa.array(union[keep]), pa.array(span), pa.array(cover_a), pa.array(cover_b)]
+            yield pa.record_batch(columns, ["a", "b", "inter", "total", "span", "cover_a", "cover_b"])
+
+    return P.with_texts(found, texts).mapInArrow(check, "a long, b long, inter long, total long, span long, cover_a double, cover_b double")
+
+
+def ranks(symbols: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """Ranks of all suffixes of a concatenation of texts by their first 1, 2, 4, ... symbols, by doubling, until they decide. ``end``: end of
+    the text of each place, where its suffixes end; equal ranks are equal beginnings."""
+    at = np.arange(len(symbols))
+    out, length = [np.unique(symbols, return_inverse=True)[1].astype(np.int64)], 1
+    longest = int((end - at).max(initial=0))
+    while length < longest and out[-1].max() + 1 < len(symbols):
+        rank, inside = out[-1], at + length < end
+        later = np.where(inside, rank[np.where(inside, at + length, 0)] + 1, 0)
+        both = rank * (len(at) + 1) + later
+        order = np.argsort(both)
+        new = np.zeros(len(at), np.int64)
+        new[1:] = both[order][1:] != both[order][:-1]
+        out.append(np.empty(len(at), np.int64))
+        out[-1][order] = np.cumsum(new)
+        length *= 2
+    return out
+
+
+def common_prefix(levels: list[np.ndarray], end: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Symbols that the suffixes i and j begin with alike."""
+    i, j, start = i.copy(), j.copy(), i
+    for k in reversed(range(len(levels))):
+        live = np.flatnonzero((i < end[start]) & (j < end[j - (i - start)]))
+        same = live[levels[k][i[live]] == levels[k][j[live]]]
+        step = np.minimum(1 << k, end[i[same]] - i[same])
+        i[same] += step
+        j[same] += step
+    return i - start
+
+
+def shared_spans(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(longest span of words that both have; share of the words of each inside common spans of GRAM words or more, merged) of aligned pairs of texts.
+    Words are told apart by pair, so that the neighbours of a suffix in the suffix array of all texts are of its own pair."""
+    (ha, oa), (hb, ob) = W.words(a), W.words(b)
+    na, nb = np.diff(oa), np.diff(ob)
+    span, covers = np.zeros(len(na), np.int64), np.zeros((2, len(na)))
+    text = np.concatenate([2 * np.repeat(np.arange(len(na)), na), 2 * np.repeat(np.arange(len(nb)), nb) + 1])
+    if not len(text):
+        return span, *covers
+    order = np.argsort(text, kind="stable")
+    text, h = text[order], np.concatenate([ha, hb])[order]
+    pair, side, n = text // 2, text % 2, len(text)
+    end = np.searchsorted(text, text, "right")
+    levels = ranks(W.mix(h + W.mix(pair.astype(U64))), end)
+    array = np.argsort(2 * levels[-1] + side)
+    common, at = np.zeros(n, np.int64), np.arange(n)
+    for way in (1, -1):  # the nearest suffix of the other side before, and after, in the array
+        sa = array[::way]
+        last = [np.maximum.accumulate(np.where(side[sa] == s, at, -1)) for s in (0, 1)]
+        near = np.where(side[sa] == 0, last[1], last[0])
+        i, j = sa[near >= 0], sa[near[near >= 0]]
+        i, j = i[pair[i] == pair[j]], j[pair[i] == pair[j]]
+        common[i] = np.maximum(common[i], common_prefix(levels, end, i, j))
+    np.maximum.at(span, pair, common)
+    edge = np.zeros(n + 1, np.int64)
+    start = np.flatnonzero(common >= GRAM)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, start + common[start], -1)
+    words = np.bincount(text[np.cumsum(edge)[:-1] > 0], minlength=2 * len(na)).reshape(-1, 2)
+    return span, words[:, 0] / np.maximum(1, na), words[:, 1] / np.maximum(1, nb)
+
+
+def _overlapping(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, links): the last deliveries of the records of a split, and the pairs of classes that are similar, a class being similar to itself."""
+    flag = F.when(F.col("split") == "train", TRAIN).when(F.col("split").isin("val", "test"), EVAL).otherwise(NONE)
+    base = rows.select(
+        F.lower("text").alias("text"), F.col("tab").cast("int").alias("tab"), F.col("id").cast("long").alias("id"),
+        flag.cast("int").alias("side"), F.col("split").cast("string").alias("split"), F.col("source").cast("string").alias("source"), F.col("at").cast("timestamp").alias("at"),
+    )
+    links = similar_classes(base.where("text is not null and side > 0").select("text", "tab", "side"))
+    kind = F.when(F.col("split") == "train", TRAIN).when(F.col("split").isin("val", "test"), EVAL).otherwise(NONE)
+    members = cut(P.memberships(base).withColumn("side", kind).where("side > 0"))
+    return members, links
 
 
 def split_overlaps(rows: DataFrame) -> DataFrame:
     """All pairs of records of one table, one in the train split and one in val or test, of word-set similarity >= 0.6.
 
-    ``rows``: tab int, id long, split string, at timestamp, text string; more columns are ignored.
-    Result: tab, id_a, id_b (id_a < id_b), similarity, cover_a, cover_b (share of the words of each inside shared spans).
+    ``rows``: tab int, id long, split string, source string, at timestamp, text string; more columns are ignored.
+    Result: tab, id_a, id_b (id_a < id_b), similarity, span (longest run of words that both have), cover_a, cover_b (share of the words of each
+    inside shared runs), eval_id, eval_split, eval_source, train_source.
 
     Records delivered again under one (tab, id) count once, as last delivered. Null or empty texts, texts without
     a word, and records of no or another split give no pair; an empty table gives no rows; records with the same set
     of words have similarity 1. Texts of any length are compared as wholes.
     """
-    flag = F.when(F.col("split") == "train", TRAIN).when(F.col("split").isin("val", "test"), EVAL).otherwise(NONE)
-    base = rows.select(        F.lower("text").alias("text"), F.col("tab").cast("int").alias("tab"), F.col("id").cast("long").alias("id"),
-        flag.cast("int").alias("split"), F.col("at").cast("timestamp").alias("at"),
-    )
-    links = similar_classes(base.where("text is not null and split > 0"))
-    members = cut(P.memberships(base).where("split > 0"))
-    one = members.select("tab", F.col("id").alias("id1"), F.col("split").alias("split1"), F.col("rid").alias("a"))
-    two = members.select(F.col("id").alias("id2"), F.col("split").alias("split2"), F.col("rid").alias("b"))
-    cross = F.col("split1") + F.col("split2") == TRAIN + EVAL
-    near = one.join(links, "a").join(two, "b").where(cross)
-    same = (
-        one.where(F.col("split1") == TRAIN).join(two.where(F.col("split2") == EVAL), F.col("a") == F.col("b"))
-        .withColumns({"inter": F.lit(1), "total": F.lit(1), "cover_a": F.lit(1.0), "cover_b": F.lit(1.0)})
-    )
-    cols = ["tab", "id1", "id2", "inter", "total", "cover_a", "cover_b"]
-    both = near.select(*cols).unionByName(same.select(*cols))
-    swap = F.col("id1") > F.col("id2")
+    members, links = _overlapping(rows)
+    side = lambda s, rid: members.where(F.col("side") == s).select("tab", *(F.col(x).alias(f"{x}_{s}") for x in ("id", "split", "source")), F.col("rid").alias(rid))
+    train, held = side(TRAIN, "a"), side(EVAL, "b").drop("tab")
+    turned = links.select(F.col("b").alias("a"), F.col("a").alias("b"), "inter", "total", "span", F.col("cover_b").alias("cover_a"), F.col("cover_a").alias("cover_b"))
+    # a pair of classes links the train records of either with the evaluation records of the other
+    near = train.join(links.unionByName(turned), "a").join(held, "b")
+    same = train.join(held, F.col("a") == F.col("b")).withColumns({"inter": F.lit(1), "total": F.lit(1), "span": F.lit(None).cast("long"), "cover_a": F.lit(1.0), "cover_b": F.lit(1.0)})
+    columns = ["tab", "id_1", "id_2", "split_2", "source_1", "source_2", "inter", "total", "span", "cover_a", "cover_b"]
+    both = near.select(*columns).unionByName(same.select(*columns))
+    swap = F.col("id_1") > F.col("id_2")
     return both.select(
         "tab",
-        F.least("id1", "id2").alias("id_a"),
-        F.greatest("id1", "id2").alias("id_b"),
+        F.least("id_1", "id_2").alias("id_a"),
+        F.greatest("id_1", "id_2").alias("id_b"),
         (F.col("inter") / F.col("total")).alias("similarity"),
+        "span",
         F.when(swap, F.col("cover_b")).otherwise(F.col("cover_a")).alias("cover_a"),
         F.when(swap, F.col("cover_a")).otherwise(F.col("cover_b")).alias("cover_b"),
-    ).distinct()
+        F.col("id_2").alias("eval_id"), F.col("split_2").alias("eval_split"), F.col("source_2").alias("eval_source"), F.col("source_1").alias("train_source"),
+    )
+
+
+def overlap_report(rows: DataFrame) -> DataFrame:
+    """(tab, split, source, records, overlapping, exact): of every evaluation split and source the records with words, those that a train
+    record of the table is similar to, and those whose set of words a train record has. ``rows`` as for ``split_overlaps``; a null source is
+    a source of its own. Records are looked up by class: no pair of records is made."""
+    members, links = _overlapping(rows)
+    trained = cut(members.where(F.col("side") == TRAIN).select("rid").distinct())
+    near = links.select(F.col("a").alias("rid"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("rid"), F.col("a").alias("other")))
+    near = near.join(trained.withColumnRenamed("rid", "other"), "other", "left_semi").select("rid")
+    hit = trained.withColumn("exact", F.lit(1)).unionByName(near.withColumn("exact", F.lit(0))).groupBy("rid").agg(F.max("exact").alias("exact"))
+    held = members.where(F.col("side") == EVAL).join(hit, "rid", "left")
+    return held.groupBy("tab", "split", "source").agg(F.count("*").alias("records"), F.count("exact").alias("overlapping"), F.coalesce(F.sum("exact"), F.lit(0)).alias("exact"))

@@ -55,6 +55,11 @@ def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.split_overlaps(rows).withColumn("tab", name)
 
 
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _collection_texts(spark, sf_dir).unionByName(_query_texts(spark, sf_dir))
+    return overlap.overlap_report(rows).withColumn("tab", F.when(F.col("tab") == 0, "collection").otherwise("queries"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _overlaps(spark, sf_dir).select("tab", "id_a", "id_b").distinct()
 
@@ -94,7 +99,7 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p2_found, p3_found, p4_found, p5_found, p6_found, p7_found, p7_shares, p8_found, p8_pieces)
+    found = (p2_found, p3_found, p3_report, p4_found, p5_found, p6_found, p7_found, p7_shares, p8_found, p8_pieces)
     return {f.__name__: f for f in found}
 
 

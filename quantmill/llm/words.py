@@ -108,15 +108,15 @@ def words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(hashes) if hashes else np.zeros(0, U64)), np.concatenate(counts)
 
 
-def distinct_sorted(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct word hashes of every text in rising order: (hashes, offsets)."""
+def distinct_sorted(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct word hashes of every text in rising order: (hashes, offsets, place of each word's first occurrence)."""
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     order = np.lexsort((hashes, owner))
     h, o = hashes[order], owner[order]
     keep = np.ones(len(h), np.bool_)
     keep[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
     h, o = h[keep], o[keep]
-    return h, np.searchsorted(o, np.arange(len(offsets)))
+    return h, np.searchsorted(o, np.arange(len(offsets))), order[keep]
 
 
 def segment_sum(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -11,12 +11,12 @@ from quantmill.llm import neardup, overlap, pairs as P, words as W
 from quantmill.llm.queries import p3_found, p4_found
 
 T0 = dt.datetime(2030, 1, 1)
-SCHEMA = "tab int, id long, split string, at timestamp, text string, group_id string, rid string, a string"
+SCHEMA = "tab int, id long, split string, source string, at timestamp, text string, group_id string, rid string, a string"
 
 
 def rows(spark, data):
     """(id, split, text[, hours]) with extra columns whose names clash with those used inside."""
-    full = [(0, r[0], r[1], T0 + dt.timedelta(hours=r[3] if len(r) > 3 else 0), r[2], "x", "y", "z") for r in data]
+    full = [(0, r[0], r[1], f"s{r[0] % 3}", T0 + dt.timedelta(hours=r[3] if len(r) > 3 else 0), r[2], "x", "y", "z") for r in data]
     return spark.createDataFrame(full, SCHEMA)
 
 
@@ -71,7 +71,7 @@ def test_words_in_chunks(monkeypatch):
 def test_pack_round_trip():
     rng = np.random.default_rng(1)
     rid = rng.integers(0, 300, 1000).astype("<u8") * np.uint64(0x9E3779B97F4A7C15)
-    e = {"key": rng.integers(0, 2**64, 1000, dtype="<u8"), "rid": rid, "sketch": rid * np.uint64(3), "n": (rid % np.uint64(90)).astype("<u4"), "ext": rng.integers(0, 2**32, 1000, dtype="<u4")}
+    e = {"key": rng.integers(0, 2**64, 1000, dtype="<u8"), "rid": rid, "s1": rid * np.uint64(3), "s2": ~rid, "n": (rid % np.uint64(90)).astype("<u4"), "tag": rng.integers(0, 8, 1000, dtype="<u8")}
     order = np.argsort(e["key"], kind="stable")
     back = P.unpack(P.pack(e))
     assert all((back[f] == e[f][order]).all() for f in e)
@@ -83,11 +83,12 @@ def test_filters_keep_all_similar_pairs():
     rng = random.Random(3)
     texts = [t for _, _, t in corpus(3)]
     c = P.Classes(pa.array(texts))
-    sk = c.sketch()
+    s1, s2 = c.parities
     for _ in range(3000):
         i, j = rng.randrange(len(texts)), rng.randrange(len(texts))
         if brute.similar(texts[i], texts[j]):
-            assert P._may_reach(c.n[[i]], c.n[[j]], sk[[i]], sk[[j]])[0]
+            for d in (np.bitwise_count((s1 ^ s2)[i] ^ (s1 ^ s2)[j]), np.bitwise_count(s1[i] ^ s1[j]) + np.bitwise_count(s2[i] ^ s2[j])):
+                assert P._may_reach(c.n[[i]], c.n[[j]], np.array([int(d)]))[0]
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -145,21 +146,6 @@ def test_long_texts_and_many_copies(spark):
     assert out.select("group_id").distinct().count() == 2
 
 
-def test_hot_spans_are_split_without_loss(spark, monkeypatch):
-    monkeypatch.setattr(P, "RUN", 4)
-    head = "every report of this source begins with the same long line of boilerplate words and then goes on"
-    rng = random.Random(9)
-    data = []
-    for g in range(30):
-        body = " ".join(f"b{rng.randrange(10**5)}" for _ in range(30))
-        data += [(2 * g, "train", f"{head} {body}"), (2 * g + 1, "val", f"{head} {body} more")]
-    parts = [overlap.span_entries(c := P.Classes(pa.array([t for _, _, t in data])), c.first_of_each(), np.zeros(0, np.uint64))]
-    a, b = P.bucket_pairs(parts)
-    rid = {i: int(r) for (i, _, _), r in zip(data, c.rid.view(np.int64))}
-    found = set(zip(a.tolist(), b.tolist()))
-    assert all((min(rid[2 * g], rid[2 * g + 1]), max(rid[2 * g], rid[2 * g + 1])) in {(int(np.int64(x)), int(np.int64(y))) for x, y in found} for g in range(30))
-
-
 def test_banded_alignment():
     def lcs(a, b):
         row = [0] * (len(b) + 1)
@@ -207,20 +193,56 @@ def test_large_group_of_edited_texts(spark):
     assert out.select("group_id").distinct().count() == 501
 
 
+def similar_pairs(c, texts):
+    rid = c.rid.view(np.int64)
+    return {(min(rid[i], rid[j]), max(rid[i], rid[j])) for i in range(len(texts)) for j in range(i) if rid[i] != rid[j] and brute.similar(texts[i], texts[j])}
+
+
+def pairs_of(parts, *args):
+    t = P.bucket_pairs(parts, *args)
+    return {(a, b) for a, b in zip(t.column("a").to_pylist(), t.column("b").to_pylist()) if b is not None}
+
+
+def counted(c):
+    return np.bincount(P.slots(c.set_hashes), minlength=1 << P.COUNT_BITS)
+
+
 @pytest.mark.parametrize("seed", [5, 6])
-def test_prefixes_meet_all_similar_pairs(monkeypatch, seed):
-    """Short and long runs, with counts and without."""
+def test_suffixes_meet_all_similar_pairs(monkeypatch, seed):
+    """Short and long runs, with counts and without, all pairs and those of two sides, whole keys and cells."""
     texts = [t for _, _, t in corpus(seed, 60)] + ["a b c d e", "a b c d", "a b c", "a b", "a", "a b c x y"]
-    c = P.Classes(pa.array(texts))
-    rid = c.rid.view(np.int64)
-    want = {(min(rid[i], rid[j]), max(rid[i], rid[j])) for i in range(len(texts)) for j in range(i) if rid[i] != rid[j] and brute.similar(texts[i], texts[j])}
-    keys, counts = np.unique(P.word_keys(c.set_hashes), return_counts=True)
-    for long, common in ((64, slice(0, 0)), (64, slice(None)), (2, slice(None)), (2, slice(0, 100))):
+    plain = P.Classes(pa.array(texts))
+    rng = random.Random(seed)
+    side = np.array([rng.choice([1, 2]) for _ in texts])
+    sided = P.Classes(pa.array(texts), side=side)
+    want = similar_pairs(plain, texts)
+    of = {int(r): set() for r in plain.rid.view(np.int64)}
+    for r, s in zip(plain.rid.view(np.int64), side):
+        of[int(r)].add(int(s))
+    cross = {(a, b) for a, b in want if any(x != y for x in of[a] for y in of[b])}
+    monkeypatch.setattr(P, "ROWS", 3)
+    monkeypatch.setattr(P, "COLUMNS", 5)
+    for long, block, counts in ((64, 1 << 17, np.zeros(1 << P.COUNT_BITS, np.int64)), (64, 1 << 17, counted(plain)), (2, 1 << 17, counted(plain)), (2, 3, counted(plain)), (2, 1, counted(plain))):
         monkeypatch.setattr(P, "LONG", long)
-        monkeypatch.setattr(P, "ROWS", 3)
-        monkeypatch.setattr(P, "COLUMNS", 5)
-        a, b = P.bucket_pairs([P.prefix_entries(c, c.first_of_each(), keys[common], counts[common])])
-        assert want <= set(zip(a.tolist(), b.tolist()))
+        monkeypatch.setattr(P, "BLOCK", block)
+        assert want <= pairs_of([overlap.suffix_entries(plain, plain.first_of_each(), counts)])
+        got = pairs_of([overlap.suffix_entries(sided, sided.first_of_each(), counts)], True)
+        assert cross <= got and all(any(x != y for x in of[a] for y in of[b]) for a, b in got)
+
+
+def test_cells_bound_the_classes_of_a_key(monkeypatch):
+    """A key of many texts is spread: every two classes meet in a cell, and no cell has more than about two blocks."""
+    monkeypatch.setattr(P, "BLOCK", 50)
+    c = P.Classes(pa.array([f"same x{i}" for i in range(500)]))
+    at = np.arange(500)
+    e = c.entries(np.full(500, 7, np.uint64), at, np.ones(500, np.uint64), np.full(500, 500))
+    keys, size = np.unique(e["key"], return_counts=True)
+    assert len(keys) == 45 and size.max() < 150
+    met = set()
+    for k in keys:
+        r = sorted(e["rid"][e["key"] == k].tolist())
+        met |= {(x, y) for i, x in enumerate(r) for y in r[i + 1 :]}
+    assert len(met) == 500 * 499 // 2
 
 
 def test_template_with_short_runs(spark):
@@ -246,34 +268,104 @@ def test_pairs_without_a_shared_span(spark):
     assert got == {(2 * g, 2 * g + 1) for g in range(60)}
 
 
-def test_long_runs_lose_no_pair(monkeypatch):
-    """Classes of one long run that share only its first words."""
-    monkeypatch.setattr(P, "RUN", 4)
-    rng = random.Random(12)
-    texts = []
-    for g in range(30):
-        body = [f"b{g}w{k}" for k in range(25)]
-        texts.append("every report of this source begins " + " ".join(body))
-        rng.shuffle(body)
-        texts.append("every report of this source begins " + " ".join(body))
-    texts = [t + (" more" if i % 2 else "") for i, t in enumerate(texts)]
+def template(n, seed=1):
+    """Records of 30 words, 25 of which all have; every word of the template is frequent, and no record shares its own five."""
+    rng = random.Random(seed)
+    own = rng.sample(range(30), 5)
+    return [(i, "train" if i % 2 else "val", " ".join(f"e{i}x{k}" if k in own else f"v{k}" for k in range(30))) for i in range(n)]
+
+
+def others(n, first, seed=2):
+    rng = random.Random(seed)
+    return [(first + i, "train" if i % 2 else "test", " ".join(f"o{rng.randrange(20000)}" for _ in range(30))) for i in range(n)]
+
+
+@pytest.mark.parametrize("size,rest", [(90, 0), (120, 0), (400, 0), (250, 20000), (2000, 10000)])
+def test_template_groups_of_all_sizes(spark, size, rest):
+    data = rows(spark, template(size) + others(rest, size))
+    out = neardup.near_duplicate_groups(data)
+    assert out.where(f"id < {size}").select("group_id").distinct().count() == 1
+    assert out.where("aligned > 0").count() == size
+    if size <= 400:
+        assert overlap.split_overlaps(data).where(f"id_a < {size}").count() == (size // 2) ** 2
+
+
+def test_alignment_decides(monkeypatch):
+    """Small edits are proved by the alignment alone; words moved far are left to the sets of words; other texts are neither."""
+    base = [f"v{i}" for i in range(30)]
+    moved = base[15:] + base[:15]
+    texts = [" ".join(x) for x in (base[:12] + ["new"] + base[13:], moved, [f"o{i}" for i in range(30)])]
+    reached, proved, edit = neardup.verified(pa.array([" ".join(base)] * 3), pa.array(texts))
+    assert reached.tolist() == [True, True, False] and proved.tolist() == [True, False, False] and edit[0] > 0.9
+    monkeypatch.setattr(neardup, "banded_shared", lambda a, b: np.zeros(len(a), np.int64))
+    assert not neardup.verified(pa.array([" ".join(base)]), pa.array(texts[:1]))[1].any()
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_alignment_never_proves_too_much(seed):
+    rng = random.Random(seed)
+    left = [" ".join(rng.choice("abcdefghij") for _ in range(rng.randrange(1, 14))) for _ in range(400)]
+    right = [" ".join(edited(rng, t.split(), 0.4)) or "z" for t in left]
+    reached, proved, _ = neardup.verified(pa.array(left), pa.array(right))
+    assert reached.tolist() == [brute.similar(a, b) for a, b in zip(left, right)]
+    assert proved.any() and not (proved & ~reached).any()
+
+
+def test_open_runs_are_closed(spark, monkeypatch):
+    """Runs in which only one partner is linked at first: the rest is found among classes of different groups."""
+    monkeypatch.setattr(P, "LONG", 4)
+    monkeypatch.setattr(neardup, "PARTNERS", 1)
+    data = template(60, 3) + corpus(4, 30)
+    data = [(i, s, t) for i, (_, s, t) in enumerate(data)]
+    got = {(r.id_a, r.id_b) for r in neardup.group_pairs(neardup.near_duplicate_groups(rows(spark, data))).collect()}
+    assert got == brute.groups({i: t for i, _, t in data})
+
+
+def test_sketches_alone_find_nearly_all_links():
+    texts = [t for _, _, t in corpus(8, 300)]
     c = P.Classes(pa.array(texts))
-    a, b = P.bucket_pairs([overlap.span_entries(c, c.first_of_each(), np.zeros(0, np.uint64))])
-    rid = c.rid.view(np.int64)
-    want = {(min(rid[2 * g], rid[2 * g + 1]), max(rid[2 * g], rid[2 * g + 1])) for g in range(30)}
-    assert want <= set(zip(a.tolist(), b.tolist()))
-
-
-def test_every_continuation_is_kept():
-    """A key that stands twice in a text keeps both continuations, also when its run is split."""
-    e = {"key": np.full(4, 7), "rid": np.array([1, 1, 2, 3]), "sketch": np.zeros(4), "n": np.full(4, 9), "ext": np.array([10, 20, 20, 10]), "more": np.zeros(4)}
-    e = {f: e[f].astype(kind) for f, kind in P._FIELDS}
-    (blob,) = P._by_bucket([e], 1).column("blob").to_pylist()
-    back = P.unpack(blob)
-    assert sorted(zip(back["rid"].tolist(), back["ext"].tolist())) == [(1, 10), (1, 20), (2, 20), (3, 10)]
-    old, P.RUN = P.RUN, 2
-    try:
-        a, b = P.bucket_pairs([back])
-    finally:
-        P.RUN = old
-    assert set(zip(a.tolist(), b.tolist())) == {(1, 2), (1, 3)}
+    want = similar_pairs(c, texts)
+    got = pairs_of([neardup.sketch_entries(c, c.first_of_each(), counted(c), len(texts))])
+    assert len(want & got) >= 0.995 * len(want)
+
+
+def spans(a, b, least):
+    """(longest common span, covered words of a) by brute force."""
+    a, b = a.split(), b.split()
+    covered, longest = set(), 0
+    for i in range(len(a)):
+        for j in range(len(b)):
+            k = 0
+            while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k]:
+                k += 1
+            longest = max(longest, k)
+            if k >= least:
+                covered |= set(range(i, i + k))
+    return longest, len(covered) / max(1, len(a))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_shared_spans_equal_brute_force(seed):
+    rng = random.Random(seed)
+    left = [" ".join(rng.choice("abcd") for _ in range(rng.randrange(0, 25))) for _ in range(120)]
+    right = [" ".join(edited(rng, t.split(), 0.3)) if t else "" for t in left]
+    span, ca, cb = overlap.shared_spans(pa.array(left), pa.array(right))
+    for i, (a, b) in enumerate(zip(left, right)):
+        assert (span[i], ca[i]) == pytest.approx(spans(a, b, overlap.GRAM)) and (span[i], cb[i]) == pytest.approx(spans(b, a, overlap.GRAM))
+
+
+def test_report_per_split_and_source(spark):
+    data = corpus(2) + [(900 + i, s, "one exact copy of a text of some words") for i, s in enumerate(["train", "val", "test", None])]
+    df = rows(spark, data)
+    side = {i: s for i, s, _ in data}
+    pairs = overlap.split_overlaps(df).collect()
+    assert {(r.eval_split, r.eval_source, r.train_source) for r in pairs} == {(side[r.eval_id], f"s{r.eval_id % 3}", f"s{(r.id_a + r.id_b - r.eval_id) % 3}") for r in pairs}
+    got = {(r.split, r.source): (r.records, r.overlapping, r.exact) for r in overlap.overlap_report(df).collect()}
+    want = {}
+    trained = [set(brute.words(t)) for _, s, t in data if s == "train"]
+    hit = {r.eval_id for r in pairs}
+    for i, s, t in data:
+        if s in ("val", "test"):
+            n, o, e = want.get((s, f"s{i % 3}"), (0, 0, 0))
+            want[s, f"s{i % 3}"] = (n + 1, o + (i in hit), e + (set(brute.words(t)) in trained))
+    assert got == want
