@@ -38,15 +38,33 @@ def unit_key(unit: Column) -> Column:
     return F.lower(strip_text(unit))
 
 
-#: Latin letters with marks and what they become.
-_PLAIN = {c: unicodedata.normalize("NFD", c)[0] for c in map(chr, range(0xC0, 0x180)) if len(unicodedata.normalize("NFD", c)) > 1}
+#: Latin letters that are no plain letter with marks.
+_LETTERS = {"ß": "ss", "ẞ": "SS", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "Th", "ð": "d", "Ð": "D", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ł": "l", "Ł": "L", "ħ": "h", "Ħ": "H", "ı": "i", "ŋ": "ng", "Ŋ": "NG", "µ": "u", "¼": "1/4", "½": "1/2", "¾": "3/4"}
+
+
+def _plain_letters() -> dict[str, str]:
+    """What the characters of the Latin blocks become: their compatible form without marks, where that is ASCII."""
+    out = dict(_LETTERS)
+    for c in map(chr, [*range(0xA0, 0x250), *range(0x1E00, 0x1F00)]):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if plain.isascii() and plain.strip() and c not in out:
+            out[c] = plain
+    out["\u00a0"] = " "
+    return out
+
+
+_PLAIN = _plain_letters()
 
 
 def clean(text: Column) -> Column:
-    """``<num>`` and characters outside the Latin blocks removed, accents dropped."""
+    """``<num>`` becomes a blank; characters outside the Latin blocks are removed, letters of these become plain ones."""
     t = F.regexp_replace(text, "<num>", " ")
-    t = F.regexp_replace(t, r"[^\u0000-\u024F\u20A0-\u20CF]", "")
-    t = F.translate(t, "".join(_PLAIN), "".join(_PLAIN.values()))
+    t = F.regexp_replace(t, r"[^\u0000-\u024F\u1E00-\u1EFF]", "")
+    one = {c: p for c, p in _PLAIN.items() if len(p) == 1}
+    t = F.translate(t, "".join(one), "".join(one.values()))
+    for c, p in _PLAIN.items():
+        if len(p) > 1:
+            t = F.replace(t, F.lit(c), F.lit(p))
     return F.regexp_replace(t, r"[^\u0000-\u007F]", "")
 
 

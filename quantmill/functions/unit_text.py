@@ -118,8 +118,10 @@ class Lexicon:
             found = {k for f, k in self.forms.items() if k in found and _one_slip(s, f.replace(" ", ""))}
         return (min(found), scale) if found else (FOREIGN, 1.0)
 
-    def read(self, sentence: str) -> tuple[list[Number], tuple[int, float] | None]:
+    def read(self, sentence: str | None) -> tuple[list[Number], tuple[int, float] | None]:
         """(numbers of a lower-cased sentence in order, unit and scale given for the whole sentence)."""
+        if not sentence:
+            return [], None
         s = " ".join(sentence.split())
         head = self.heading.search(s)
         whole = (self.forms[head["u1"] or head["u2"]], self.scales[head["s1"] or head["s2"]]) if head else None
@@ -161,14 +163,14 @@ class Stated:
     found: bool
 
 
-def align(lex: Lexicon, sentence: str | None, values: list, entries: list[tuple[int, float]]) -> list[Stated]:
-    """Find every value among the numbers of the sentence, in order, and read off its unit and size.
+def align(read: tuple[list[Number], tuple[int, float] | None], values: list, entries: list[tuple[int, float]]) -> list[Stated]:
+    """Find every value among the numbers of the sentence (``read``, from ``Lexicon.read``), in order, and read off its unit and size.
 
     The number is the value itself, or the value without the scale that stands with the number or for the sentence. Among
     numbers that fit, one with the unit of the entry is taken first, then one with any unit (for an entry that is no unit: one
     with none), then the next in order; the number of a date comes last.
     """
-    numbers, whole = lex.read(sentence) if sentence else ([], None)
+    numbers, whole = read
     out, at = [], 0
     used: set[int] = set()
     for v, (unit, entry_scale) in zip(values, entries):

@@ -7,18 +7,18 @@ from pyspark.sql import DataFrame, functions as F
 from quantmill.session import cut
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of the undirected graph given by ``edges`` (a, b).
 
     ``component`` is the smallest node of the component. Nodes without edges do not appear; self loops,
     repeated edges and nulls are ignored; an empty edge list gives no rows. Alternating large-star and
-    small-star rounds (Kiveris et al. 2014) reach stars in a logarithmic number of rounds. No row is
-    ever collected: the driver sees only two numbers per round. Each round is checkpointed.
+    small-star rounds (Kiveris et al. 2014) reach stars in a logarithmic number of rounds; they go on until a round changes
+    nothing. No row is ever collected: the driver sees only two numbers per round. Each round is checkpointed.
     """
     star = _one_way(edges.select("a", "b"))
     star = cut(star)
     seen = None
-    for _ in range(max_rounds):
+    while True:
         star = cut(_small_star(_large_star(star)))
         now = star.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:

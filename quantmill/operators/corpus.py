@@ -9,8 +9,9 @@ from quantmill.session import cut
 
 
 def latest(df: DataFrame, key: str, at: str) -> DataFrame:
-    """The last delivery of every ``key``; of equal times any one."""
-    w = Window.partitionBy(key).orderBy(F.col(at).desc_nulls_last())
+    """The last delivery of every ``key``; of equal times the one whose whole row has the largest hash, and of equal hashes the largest row as text."""
+    rest = [F.xxhash64(*df.columns).desc(), F.to_json(F.struct(*[c for c, kind in df.dtypes if kind != "binary"])).desc()]
+    w = Window.partitionBy(key).orderBy(F.col(at).desc_nulls_last(), *rest)
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 

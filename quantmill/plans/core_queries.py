@@ -52,6 +52,12 @@ def p1_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quantities(spark, sf_dir).where("how in ('review', 'open')")
 
 
+@query
+def p1_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the classifier is right on units that were hidden from it, by confidence."""
+    return quantities.held_out_precision(table(spark, sf_dir, "collection"), table(spark, sf_dir, "unit_ref"), table(spark, sf_dir, "concept_ref"))
+
+
 # --- lexical ranking ---------------------------------------------------------------------------------------------
 
 

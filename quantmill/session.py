@@ -30,10 +30,19 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, name: str
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder that the cluster names in ``spark.checkpoint.dir``; only where that is
-    unset, as in tests on one machine, a temporary folder."""
+    unset on one machine, as in tests, a temporary folder. On a cluster without the setting this raises."""
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quantmill-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
+        spark.sparkContext.setCheckpointDir(scratch_root(spark))
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The folder for checkpoints and scratch tables: shared by all executors."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="quantmill-checkpoint-")
 
 
 def cut(df: DataFrame) -> DataFrame:
