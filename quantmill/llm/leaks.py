@@ -1,8 +1,8 @@
 """Problem 6: evaluation texts inside training texts.
 
-Method: an FM-index per shard of the training texts. A shard is what a task reads at a time. Its text is the words of the documents;
-words that no item has become separators, and stretches too short to hold a phrase are dropped, which loses no
-occurrence. Every phrase of an item (13 consecutive words, or the whole of a shorter item) is searched backwards through the ranks of
+Method: an FM-index per shard of the training texts. A task gathers what it reads, batch after batch, into shards of SHARD symbols.
+The text of a shard is the words of the documents; words that no item has become separators, and stretches too short to hold a
+phrase are dropped, which loses no occurrence. Every phrase of an item (13 consecutive words, or the whole of a shorter item) is searched backwards through the ranks of
 a wavelet matrix; occurrences are located by sampled suffix positions, and their spans merged per document.
 """
 
@@ -21,8 +21,9 @@ from quantmill.llm.fm import FMIndex
 U64 = np.uint64
 #: Consecutive words that make a leak.
 PHRASE = 13
-#: Items searched at a time, and letters of them: the items are a stated query set, taken in blocks of bounded size.
-ITEM_BLOCK, BLOCK_CHARS = 20_000, 2_000_000
+#: Items of a block, and letters of them: the items are a stated query set, taken in blocks of bounded size, and PASS blocks of these with
+#: one reading of the documents.
+ITEM_BLOCK, BLOCK_CHARS, PASS = 20_000, 2_000_000, 8
 #: Symbols of a shard after which it is indexed.
 SHARD = 2_000_000
 
@@ -61,23 +62,12 @@ class Phrases:
 
     def hits(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(text, item, first word, words) of every occurrence of a phrase."""
-        none = np.zeros(0, np.int64)
-        if not len(self.lengths):
-            return none, none, none, none
-        found, symbols, where = [], [], []
-        size = 0
+        shards = Shards(self)
         for first, _, data, offsets in W.chunks(texts):
             h, o, _, _ = W.words_of_bytes(data, offsets)
-            s, w, d = self._reduce(h, o)
-            symbols.append(s)
-            where.append((w, d + first))
-            size += len(s)
-            if size >= SHARD:
-                found.append(self._shard(symbols, where))
-                symbols, where, size = [], [], 0
-        if size:
-            found.append(self._shard(symbols, where))
-        return tuple(np.concatenate(x) for x in zip(*found)) if found else (none, none, none, none)
+            shards.add(h, o, first)
+        shards.close()
+        return shards.found()
 
     def _reduce(self, h: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(symbols with separators, place of each in its text, text) of the stretches that can hold a phrase."""
@@ -122,6 +112,40 @@ class Phrases:
         return doc[at[each]], self.item_of[order][k], place[at[each]], self.lengths[phrase[each]]
 
 
+class Shards:
+    """What a task has read, in shards that are indexed and searched when they are full. Texts are numbered by the caller."""
+
+    def __init__(self, phrases: Phrases) -> None:
+        self.phrases, self.size, self.indexed = phrases, 0, 0
+        self.symbols: list[np.ndarray] = []
+        self.where: list[tuple[np.ndarray, np.ndarray]] = []
+        self.hits: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, h: np.ndarray, o: np.ndarray, first: int) -> None:
+        """Texts of word hashes ``h`` with offsets ``o``, numbered from ``first``."""
+        if not len(self.phrases.lengths):
+            return
+        s, place, text = self.phrases._reduce(h, o)
+        self.symbols.append(s)
+        self.where.append((place, text + first))
+        self.size += len(s)
+        if self.size >= SHARD:
+            self.close()
+
+    def close(self) -> None:
+        if self.size:
+            self.hits.append(self.phrases._shard(self.symbols, self.where))
+            self.indexed += 1
+        self.symbols, self.where, self.size = [], [], 0
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, first word, words) of the hits since the last call."""
+        none = np.zeros(0, np.int64)
+        out = tuple(np.concatenate(x) for x in zip(*self.hits)) if self.hits else (none, none, none, none)
+        self.hits = []
+        return out
+
+
 def merge_spans(doc: np.ndarray, item: np.ndarray, first: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, ...]:
     """(doc, item, first word, end word) with overlapping and touching spans of the same document and item joined."""
     order = np.lexsort((first, item, doc))
@@ -142,24 +166,47 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
 
     Null or empty texts and items, and items without a word, give no row, as do null ids of items; an item of fewer than 13 words
     must occur whole. A document given twice under one id gives its rows twice. Empty tables give no rows. Texts of any length are
-    searched as wholes. Other columns are ignored. The documents are read once per block of items.
+    searched as wholes. Other columns are ignored. The documents are read once per PASS blocks of items.
     """
     wanted = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.lower(docs[text]).alias("text")).where("text is not null")
     held = items.select(items[item_id].cast("long").alias("i"), items[item_text].alias("t")).where("i is not null and t is not null")
     schema = "doc_id long, item_id long, spans array<struct<first:int,end:int>>"
     out = None
-    for block in _blocks(held):
-        phrases = wanted.sparkSession.sparkContext.broadcast(Phrases.of([r.i for r in block], [r.t for r in block]))
+    for blocks in _passes(held):
+        phrases = wanted.sparkSession.sparkContext.broadcast([Phrases.of([r.i for r in block], [r.t for r in block]) for block in blocks])
 
         def search(batches: Iterator[pa.RecordBatch], phrases=phrases) -> Iterator[pa.RecordBatch]:
+            shards = [Shards(p) for p in phrases.value]
+            ids: list[pa.Array] = []
+            seen = 0
             for b in batches:
-                yield _rows(b, *merge_spans(*phrases.value.hits(b.column("text"))))
+                ids.append(b.column("doc_id"))
+                for first, _, data, offsets in W.chunks(b.column("text")):
+                    h, o, _, _ = W.words_of_bytes(data, offsets)
+                    for x in shards:
+                        x.add(h, o, seen + first)
+                seen += b.num_rows
+            for x in shards:
+                x.close()
+                if seen:
+                    yield _rows(pa.concat_arrays(ids), *merge_spans(*x.found()))
 
         part = wanted.mapInArrow(search, schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else wanted.sparkSession.createDataFrame([], schema)
 
 
+def _passes(items: DataFrame) -> Iterator[list[list]]:
+    held: list[list] = []
+    for block in _blocks(items):
+        held.append(block)
+        if len(held) == PASS:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
 def _blocks(items: DataFrame) -> Iterator[list]:
     block: list = []
     size = 0
@@ -173,8 +220,8 @@ def _blocks(items: DataFrame) -> Iterator[list]:
         yield block
 
 
-def _rows(b: pa.RecordBatch, doc: np.ndarray, item: np.ndarray, first: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+def _rows(ids: pa.Array, doc: np.ndarray, item: np.ndarray, first: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
     new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]))) if len(doc) else np.zeros(0, np.int64)
     spans = pa.StructArray.from_arrays([pa.array(first.astype(np.int32)), pa.array(end.astype(np.int32))], ["first", "end"])
     lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(doc)).astype(np.int32)), spans)
-    return pa.record_batch([b.column("doc_id").take(pa.array(doc[new])), pa.array(item[new].astype(np.int64)), lists], ["doc_id", "item_id", "spans"])
+    return pa.record_batch([ids.take(pa.array(doc[new])), pa.array(item[new].astype(np.int64)), lists], ["doc_id", "item_id", "spans"])

@@ -31,18 +31,21 @@ def _automaton(concepts: tuple[tuple[str, str], ...]):
 
     a = ahocorasick.Automaton()
     for phrase, topic in concepts:
-        a.add_word(phrase, topic)
+        a.add_word(phrase, (topic, len(phrase)))
     a.make_automaton()
     return a
 
 
 def topic_of(text: str | None, concepts: tuple[tuple[str, str], ...]) -> str:
-    """The topic whose concepts the text names most often (of equals, the first by name); ``other`` if none."""
+    """The topic whose concepts the text names most often, as whole words (of equals, the first by name); ``other`` if none."""
     if not text or not concepts:
         return OTHER
     count: dict[str, int] = {}
-    for _, topic in _automaton(concepts).iter(text.lower()):
-        count[topic] = count.get(topic, 0) + 1
+    low = text.lower()
+    for last, (topic, size) in _automaton(concepts).iter(low):
+        before, after = last - size, last + 1
+        if (before < 0 or not low[before].isalnum()) and (after == len(low) or not low[after].isalnum()):
+            count[topic] = count.get(topic, 0) + 1
     return min(count, key=lambda t: (-count[t], t)) if count else OTHER
 
 
@@ -66,7 +69,8 @@ def rake(cells: pd.DataFrame, targets: pd.DataFrame, total: float) -> pd.DataFra
     """``cells`` (source, lang, topic, tokens) with ``weight``, the expected uses of each cell's documents.
 
     ``targets`` (source, target_share, max_uses). Topic and language keep the shares that they have among the cells; the source
-    marginal comes last in each round and is met exactly, unless all uses of a source do not reach it: then all are used.
+    marginal comes last in each round and is met exactly, unless all uses of a source do not reach it: then all are used. Limits of
+    uses can keep topics and languages from their shares; ``marginals`` reports what is reached.
     """
     cells = cells.merge(targets, on="source").reset_index(drop=True)
     size = cells["tokens"].to_numpy(float)
@@ -135,6 +139,17 @@ class Mix:
             .select("doc_id", "source", "tokens", uses.cast("int").alias("uses")).where("uses > 0")
         )
 
+    def marginals(self) -> DataFrame:
+        """(side, name, wanted_share, reached_share): of every source of the targets, language and topic, the share of the mix's tokens that it should have and
+        that its calibrated weights give it. Languages and topics should keep the shares that they have among the documents of the targets."""
+        c = self.cells.assign(got=self.cells["weight"] * self.cells["tokens"])
+        used, own = max(c["got"].sum(), 1.0), max(c["tokens"].sum(), 1.0)
+        rows = [("source", t.source, float(t.target_share), float(c.loc[c["source"] == t.source, "got"].sum() / max(self.total, 1.0))) for t in self.targets.itertuples()]
+        for side in ("lang", "topic"):
+            by = c.groupby(side)[["tokens", "got"]].sum()
+            rows += [(side, name, float(r.tokens / own), float(r.got / used)) for name, r in by.iterrows()]
+        return self.spark.createDataFrame(rows, "side string, name string, wanted_share double, reached_share double")
+
     def shares(self) -> DataFrame:
         """(source, target_share, max_uses, documents, own_tokens, calibrated_share, sampled_share, outcome) for every target."""
         c = self.cells.assign(got=self.cells["weight"] * self.cells["tokens"])

@@ -90,6 +90,10 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir).shares()
 
 
+def p7_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir).marginals()
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_documents(table(spark, sf_dir, "documents")).where("piece = 1").select("doc_id").distinct()
 
@@ -99,7 +103,7 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p2_found, p3_found, p3_report, p4_found, p5_found, p6_found, p7_found, p7_shares, p8_found, p8_pieces)
+    found = (p2_found, p3_found, p3_report, p4_found, p5_found, p6_found, p7_found, p7_shares, p7_marginals, p8_found, p8_pieces)
     return {f.__name__: f for f in found}
 
 

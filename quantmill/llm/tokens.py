@@ -13,9 +13,10 @@ DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts longer than this are encoded in parts, cut where the pattern cuts anyway.
 PART = 100_000
-#: White space of more characters than this is encoded in stretches of it: the tokenizer's own matching has a depth limit.
+#: White space of more characters than this does not go through the pattern, whose matching has a depth limit there.
 BLANKS = 2000
-_BLANKS = re.compile(rf"\s{{{BLANKS}}}")
+#: The characters that the pattern's ``\s`` matches.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 @lru_cache(maxsize=4)
@@ -52,13 +53,25 @@ def encode(text: str, path: str = DEFAULT_VOCABULARY) -> list[int]:
     enc, _ = encoder(path)
     if len(text) <= BLANKS:
         return enc.encode_ordinary(text)
-    return [t for p in parts(text) for q in _stretches(p) for t in enc.encode_ordinary(q)]
+    return [t for p in parts(text) for t in _with_blanks(p, enc)]
 
 
-def _stretches(text: str) -> list[str]:
-    """``text`` cut after every BLANKS characters of white space in a row."""
-    ends = [m.end() for m in _BLANKS.finditer(text)]
-    return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)]) if a < b] if ends else [text]
+@lru_cache(maxsize=4)
+def _long_blanks(most: int) -> re.Pattern:
+    return re.compile(f"[{WHITE}]{{{most + 1},}}")
+
+
+def _with_blanks(text: str, enc) -> list[int]:
+    """The tokens of the whole: long white space, but for a last character before something else, is one match of the pattern, so its
+    tokens are those of a single piece; the pattern cuts before and after it."""
+    out, start = [], 0
+    for m in _long_blanks(BLANKS).finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        if m.start() > start:
+            out += enc.encode_ordinary(text[start : m.start()])
+        out += enc._core_bpe.encode_single_piece(text[m.start() : end].encode())
+        start = end
+    return out + enc.encode_ordinary(text[start:]) if start < len(text) else out
 
 
 def count(text: str | None, path: str = DEFAULT_VOCABULARY) -> int:

@@ -10,7 +10,7 @@ import pytest
 from conftest import SMALL
 from harness import connect, differences
 from llm import brute
-from quantmill.llm import leaks, mapping, mixing, splitting, tokens, topn
+from quantmill.llm import leaks, mapping, mixing, splitting, tokens, topn, words as W
 from quantmill.llm.fm import FMIndex, Wavelet, suffix_array
 from quantmill.llm import queries as Q
 
@@ -111,6 +111,29 @@ def test_leaks_in_blocks(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == brute.leaks(docs, items)
 
 
+def test_one_index_for_many_batches(spark, monkeypatch):
+    """A task's batches are gathered to one shard, and all blocks of items are searched in one reading."""
+    monkeypatch.setattr(leaks, "ITEM_BLOCK", 5)
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(15))) for i in range(12)]
+    phrases = [leaks.Phrases.of([i for i, _ in items], [t for _, t in items])]
+    shards = leaks.Shards(phrases[0])
+    for n in range(7):
+        shards.add(*W.words(pa.array([f"some text {items[n][1]} of it", "none"])), 2 * n)
+    shards.close()
+    assert shards.indexed == 1
+    text, item, first, length = shards.found()
+    assert set(zip(text.tolist(), item.tolist())) == {(2 * n, n) for n in range(7)} and set(first.tolist()) == {2, 3, 4} and set(length.tolist()) == {13}
+    docs = [(d, f"x {items[d % 12][1]} y {items[(d + 1) % 12][1]}") for d in range(300)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        out = leaks.leaked_items(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, item_text string"))
+        assert {(r.doc_id, r.item_id) for r in out.collect()} == brute.leaks(docs, items)
+        assert out._jdf.queryExecution().toString().count("MapInArrow") <= 4
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
 def test_found_leaks_on_the_small_tables(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{SMALL}/eval_items.parquet").select("item_id", "item_text").collect()]
@@ -210,6 +233,23 @@ def test_topics():
     c = (("bond yield", "finance"), ("body weight", "clinical"))
     assert mixing.topic_of("BOND YIELD, bond yield and body weight", c) == "finance"
     assert mixing.topic_of("body weight bond yield", c) == "clinical" and mixing.topic_of(None, c) == "other"
+    assert mixing.topic_of("antibody weights, bond yields", c) == "other" and mixing.topic_of("(bond yield)", c) == "finance"
+
+
+def test_marginals_are_reached_and_reported(spark):
+    """With room in the limits, languages and topics keep their shares; without, the report shows by how much they miss them."""
+    rng = random.Random(5)
+    docs = [(i, rng.choice(["bond yield here ", "body weight here "]) * 10, rng.choice("ab"), rng.choice(["en", "fr"])) for i in range(400)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string")
+    c = spark.createDataFrame([("bond yield", "finance"), ("body weight", "clinical")], "concept string, topic string")
+    t = spark.createDataFrame([("a", 0.8, 5), ("b", 0.2, 1)], "source string, target_share double, max_uses int")
+    got = {(r.side, r.name): r for r in mixing.Mix(d, t, c).marginals().collect()}
+    assert len(got) == 6 and all(abs(r.wanted_share - r.reached_share) < 1e-6 for r in got.values())
+    # raking decides: without it the shares of the languages would follow the sources
+    cells = pd.DataFrame([("a", "en", "x", 900, 1), ("a", "fr", "x", 100, 1), ("b", "en", "x", 100, 1), ("b", "fr", "x", 900, 1)], columns=["source", "lang", "topic", "tokens", "documents"])
+    out = mixing.rake(cells, pd.DataFrame([("a", 0.8, 9), ("b", 0.2, 9)], columns=["source", "target_share", "max_uses"]), 2000.0)
+    by = (out.weight * out.tokens).groupby(out.lang).sum()
+    assert abs(by["en"] - by["fr"]) < 1e-6 * by.sum()
 
 
 # --- splitting ---------------------------------------------------------------------------------------------------
@@ -260,6 +300,15 @@ def test_parts_have_the_tokens_of_the_whole(monkeypatch):
     assert len(tokens.parts(text)) > 5 and tokens.encode(text) == whole
 
 
+def test_long_white_space_has_the_tokens_of_the_whole(monkeypatch):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice([" ", " ", "\n", "\t", "\r", "\xa0", "\x1c", "a", "7", "."]) * rng.randrange(1, 12) for _ in range(40)) for _ in range(300)]
+    texts += [" " * 900, "\n" * 900 + "x", "a" + " \n" * 700 + " b", "\t" * 500, " x" + " " * 777 + "\ny"]
+    whole = [tokens.encoder()[0].encode_ordinary(t) for t in texts]
+    monkeypatch.setattr(tokens, "BLANKS", 3)
+    assert [tokens.encode(t) for t in texts] == whole
+
+
 def test_extreme_texts():
     for t in (" " * 300_000, "\n" * 50_000 + "x" * 50_000, "1 2 3 " * 50_000):
         ids = tokens.encode(t)
