@@ -9,9 +9,8 @@ from quantmill.session import cut
 
 
 def latest(df: DataFrame, key: str, at: str) -> DataFrame:
-    """The last delivery of every ``key``; of equal times the one whose whole row has the largest hash, and of equal hashes the largest row as text."""
-    rest = [F.xxhash64(*df.columns).desc(), F.to_json(F.struct(*[c for c, kind in df.dtypes if kind != "binary"])).desc()]
-    w = Window.partitionBy(key).orderBy(F.col(at).desc_nulls_last(), *rest)
+    """The last delivery of every ``key``; of equal times the row of the largest hash. Give only the columns that are needed: all are read for it."""
+    w = Window.partitionBy(key).orderBy(F.col(at).desc_nulls_last(), F.xxhash64(*df.columns).desc())
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
@@ -48,3 +47,16 @@ def offsets(df: DataFrame, key: str, length: str) -> DataFrame:
     before = sums.select("_p", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     inner = F.coalesce(F.sum(length).over(Window.partitionBy("_p").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return part.withColumn("_i", inner).join(F.broadcast(before), "_p").withColumn("start", F.col("_b") + F.col("_i")).drop("_p", "_i", "_b")
+
+
+def first_of_each(df: DataFrame, group: str, item: str, order: str) -> DataFrame:
+    """``df`` without the later occurrences of an item in its group, in the order of ``order`` (then of the item); the order is kept as ``place`` from 1."""
+    w = Window.partitionBy(group, item).orderBy(order)
+    once = df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return once.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(order, item)))
+
+
+def listed_by(df: DataFrame, key: str, item: str, order: str) -> DataFrame:
+    """(key, items): the items of every key as one array in the order of ``order``. A key's items must fit one row."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.col(item).alias("_i"))))
+    return df.groupBy(key).agg(F.transform(listed, lambda x: x["_i"]).alias("items"))

@@ -2,42 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quantmill.functions import vectors as V
-from quantmill.operators.late import _blocks, matrix, top_passages
+from quantmill.operators.late import late_scores, summed, top_passages
 
 
 def knn(vectors: DataFrame, query_vectors: DataFrame, k: int = 10, as_distance: bool = False) -> DataFrame:
     """(qid, pid, rank, score): the k vectors of largest inner product with each query, ties to the larger pid.
 
-    ``vectors`` (pid, vec), ``query_vectors`` (qid, vec). Each task keeps k per query and batch before the shuffle. ``as_distance`` gives
-    1 - score as the score, in the same order."""
-    schema = "qid long, pid long, score double"
-    out = None
-    for block in _blocks(query_vectors, ["qid", "vec"]):
-        q, names = np.array([r.vec for r in block], np.float64), np.array([r.qid for r in block], np.int64)
-
-        def run(batches: Iterator[pa.RecordBatch], q=q, names=names) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                pid = b.column("pid").to_numpy(zero_copy_only=False)
-                x = matrix(b.column("vec"))
-                if not len(x):
-                    continue
-                s = q @ x.T
-                order = np.lexsort((np.broadcast_to(-pid, s.shape), -s), axis=1)[:, :k]
-                rows = np.repeat(np.arange(len(q)), order.shape[1])
-                yield pa.record_batch([pa.array(names[rows]), pa.array(pid[order.ravel()]), pa.array(s[rows, order.ravel()])], ["qid", "pid", "score"])
-
-        part = vectors.select(F.col("pid").cast("long").alias("pid"), "vec").mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = vectors.sparkSession.createDataFrame([], schema)
-    ranked = top_passages(out, k).select("qid", "pid", "rank", "score")
+    ``vectors`` (pid, vec), ``query_vectors`` (qid, vec). Products are made in tiles of bounded size, and each batch keeps k per query before the
+    shuffle. ``as_distance`` gives 1 - score as the score, in the same order."""
+    rows = vectors.select(F.col("pid").cast("long").alias("pid"), F.array(V.doubles(F.col("vec"))).alias("vecs"))
+    asked = query_vectors.select("qid", F.lit(0).alias("qtok"), V.doubles(F.col("vec")).alias("vec"))
+    ranked = top_passages(late_scores(rows, asked, summed(), k=k), k).select("qid", "pid", "rank", "score")
     return ranked.withColumn("score", 1.0 - F.col("score")) if as_distance else ranked
 
 

@@ -1,13 +1,14 @@
 """Late interaction over token vectors: exact MaxSim, an inverted file with a residual codec, staged search, quantity re-ranking.
 
-Query tokens are a stated set; they go to the tasks in blocks of bounded size as one matrix, so that a task scores its batch of
-tokens by a matrix product and only maxima per (query token, passage) are shuffled.
+Queries are a stated set; they go to the tasks in blocks of whole queries of bounded size. The vectors of a passage stand in one row, so
+a task scores its passages by matrix products in tiles of bounded size, sums over the query's tokens at once, and shuffles one row per
+query and passage, or only the best k of each batch.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,8 +17,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from quantmill.functions import vectors as V
 
-#: Query tokens per block, and centroids that are held at most.
-BLOCK, MAX_CENTROIDS = 4096, 262_144
+#: Query tokens per block, products per tile, and centroids that are held at most.
+BLOCK, TILE, MAX_CENTROIDS = 4096, 2_000_000, 262_144
 _LEAST = -9999.0
 
 
@@ -29,73 +30,186 @@ def matrix(col: pa.Array) -> np.ndarray:
     return flat.reshape(len(col), -1) if len(col) else np.zeros((0, 0))
 
 
-def _blocks(df: DataFrame, columns: list[str], size: int = BLOCK) -> Iterator[list]:
-    block: list = []
-    for row in df.select(*columns).toLocalIterator():
-        block.append(row)
-        if len(block) == size:
-            yield block
-            block = []
-    if block:
-        yield block
+@dataclass(frozen=True)
+class Asked:
+    """A block of whole queries: ``vecs`` of all their tokens, ``start`` of each query among these, token numbers."""
+
+    qids: np.ndarray
+    start: np.ndarray
+    qtok: np.ndarray
+    vecs: np.ndarray
+
+    def of(self, k: int) -> slice:
+        return slice(int(self.start[k]), int(self.start[k + 1]))
+
+
+def query_blocks(query_tokens: DataFrame, size: int = BLOCK) -> Iterator[Asked]:
+    """The queries (qid, qtok, vec) in order, in blocks of about ``size`` tokens; a query is never split."""
+    rows: list = []
+    for row in query_tokens.select("qid", "qtok", "vec").orderBy("qid", "qtok").toLocalIterator():
+        if len(rows) >= size and row.qid != rows[-1].qid:
+            yield _asked(rows)
+            rows = []
+        rows.append(row)
+    if rows:
+        yield _asked(rows)
+
+
+def _asked(rows: list) -> Asked:
+    qid = np.array([r.qid for r in rows], np.int64)
+    start = np.flatnonzero(np.append(True, qid[1:] != qid[:-1]))
+    return Asked(qid[start], np.append(start, len(qid)), np.array([r.qtok for r in rows], np.int64), np.array([r.vec for r in rows], np.float64))
+
+
+def passages(tokens: DataFrame) -> DataFrame:
+    """(pid, vecs): the token vectors of every passage in one row."""
+    return tokens.select(F.col("pid").cast("long").alias("pid"), "vec").groupBy("pid").agg(F.collect_list(V.doubles(F.col("vec"))).alias("vecs"))
+
+
+def _vectors(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(matrix of all vectors, offsets of each row's) of a column of lists of equally long vectors."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    count = col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return matrix(col.flatten()), np.append(0, np.cumsum(count))
+
+
+def _tiles(offsets: np.ndarray, width: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose vectors times ``width`` make about TILE products."""
+    most, first = max(1, TILE // max(1, width)), 0
+    while first < len(offsets) - 1:
+        last = int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1
+        last = min(max(last, first + 1), len(offsets) - 1)
+        yield first, last
+        first = last
+
+
+Pool = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def summed(clamp_zero: bool = False, top_tokens: int | None = None) -> Pool:
+    """Sums the best matches of a query's tokens (rows) in each passage (columns)."""
+
+    def pool(best: np.ndarray, qtok: np.ndarray) -> np.ndarray:
+        if clamp_zero:
+            best = np.maximum(best, 0.0)
+        if top_tokens is not None and top_tokens < len(best):
+            best = -np.partition(-best, top_tokens - 1, axis=0)[:top_tokens]
+        return best.sum(axis=0)
 
+    return pool
 
-def best_per_passage(tokens: DataFrame, query_tokens: DataFrame, metric: str = "dot") -> DataFrame:
-    """(qid, qtok, pid, best): the best match of every query token in every passage.
 
-    ``tokens`` (pid, vec), ``query_tokens`` (qid, qtok, vec); ``metric`` ``dot`` or ``l2`` (negative squared distance)."""
-    schema = "qid long, qtok int, pid long, best double"
+def similarity(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """Inner products of the rows, or negative squared distances (``l2``)."""
+    s = q @ x.T
+    return s if metric == "dot" else -(np.sum(q * q, 1)[:, None] + np.sum(x * x, 1)[None, :] - 2 * s)
+
+
+def _best(s: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The largest of each run of columns."""
+    return np.maximum.reduceat(s, offsets[:-1] - offsets[0], axis=1)
+
+
+def late_scores(rows: DataFrame, query_tokens: DataFrame, pool: Pool, metric: str = "dot", k: int | None = None) -> DataFrame:
+    """(qid, pid, score) of all queries and passages (pid, vecs); with ``k`` only those that are among the best k of their batch."""
+    schema = "qid long, pid long, score double"
     out = None
-    for block in _blocks(query_tokens, ["qid", "qtok", "vec"]):
-        q = np.array([r.vec for r in block], np.float64)
-        names = np.array([[r.qid, r.qtok] for r in block], np.int64)
-        part = tokens.select("pid", "vec").mapInArrow(_scorer(q, names, metric), schema).groupBy("qid", "qtok", "pid").agg(F.max("best").alias("best"))
+    for block in query_blocks(query_tokens):
+        held = rows.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            q = held.value
+            for b in batches:
+                pid = b.column("pid").to_numpy(zero_copy_only=False)
+                x, offsets = _vectors(b.column("vecs"))
+                some = np.flatnonzero(np.diff(offsets) > 0)
+                pid, offsets = pid[some], np.append(offsets[:-1][some], offsets[-1])
+                if not len(pid):
+                    continue
+                score = np.empty((len(q.qids), len(pid)))
+                for i, j in _tiles(offsets, len(q.vecs)):
+                    best = _best(similarity(q.vecs, x[offsets[i] : offsets[j]], metric), offsets[i : j + 1])
+                    for n in range(len(q.qids)):
+                        score[n, i:j] = pool(best[q.of(n)], q.qtok[q.of(n)])
+                yield _rows(q.qids, pid, score, k)
+
+        part = rows.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else tokens.sparkSession.createDataFrame([], schema)
+    return out if out is not None else rows.sparkSession.createDataFrame([], schema)
 
 
-def _scorer(q: np.ndarray, names: np.ndarray, metric: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            pid = b.column("pid").to_numpy(zero_copy_only=False)
-            x = matrix(b.column("vec"))
-            if not len(x):
-                continue
-            order = np.argsort(pid, kind="stable")
-            pid, x = pid[order], x[order]
-            s = q @ x.T
-            if metric == "l2":
-                s = -(np.sum(q * q, 1)[:, None] + np.sum(x * x, 1)[None, :] - 2 * s)
-            start = np.flatnonzero(np.append(True, pid[1:] != pid[:-1]))
-            best = np.maximum.reduceat(s, start, axis=1)
-            n = len(start)
-            yield pa.record_batch(
-                [pa.array(np.repeat(names[:, 0], n)), pa.array(np.repeat(names[:, 1], n).astype(np.int32)), pa.array(np.tile(pid[start], len(q))), pa.array(best.ravel())],
-                ["qid", "qtok", "pid", "best"],
-            )
-
-    return run
-
-
-def maxsim(tokens: DataFrame, query_tokens: DataFrame, metric: str = "dot", clamp_zero: bool = False, top_tokens: int | None = None) -> DataFrame:
+def _rows(qids: np.ndarray, pid: np.ndarray, score: np.ndarray, k: int | None) -> pa.RecordBatch:
+    if k is None or k >= len(pid):
+        at = np.broadcast_to(np.arange(len(pid)), score.shape)
+    else:
+        # ties of the kth are settled among all, so none of them is lost here
+        order = np.round(score, 9)
+        least = -np.partition(-order, k - 1, axis=1)[:, k - 1 : k]
+        n, at = np.nonzero(order >= least)
+        return pa.record_batch([pa.array(qids[n]), pa.array(pid[at]), pa.array(score[n, at])], ["qid", "pid", "score"])
+    return pa.record_batch([pa.array(np.repeat(qids, len(pid))), pa.array(pid[at.ravel()]), pa.array(score.ravel())], ["qid", "pid", "score"])
+
+
+def pair_scores(pairs: DataFrame, query_tokens: DataFrame, schema: str, score: Callable[[np.ndarray, np.ndarray, pa.RecordBatch], pa.Array]) -> DataFrame:
+    """(qid, pid, score) of ``pairs`` (qid, pid, more). ``score`` gets the query's vectors and token numbers and its pairs of a batch.
+    Pairs are read once for each block of queries."""
+    out = None
+    for block in query_blocks(query_tokens):
+        held = pairs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            q = held.value
+            place = {int(x): n for n, x in enumerate(q.qids)}
+            for b in batches:
+                qid = b.column("qid").to_numpy(zero_copy_only=False)
+                order = np.argsort(qid, kind="stable")
+                start = np.flatnonzero(np.append(True, qid[order][1:] != qid[order][:-1])) if len(qid) else []
+                for i, j in zip(start, np.append(start[1:], len(qid)) if len(qid) else []):
+                    n = place.get(int(qid[order[i]]))
+                    if n is None:
+                        continue
+                    part = b.take(pa.array(order[i:j]))
+                    yield pa.record_batch([part.column("qid"), part.column("pid"), pa.array(score(q.vecs[q.of(n)], q.qtok[q.of(n)], part), pa.float64())], ["qid", "pid", "score"])
+
+        ids = F.broadcast(pairs.sparkSession.createDataFrame([(int(x),) for x in block.qids], "qid long"))
+        part = pairs.select(F.col("qid").cast("long").alias("qid"), F.col("pid").cast("long").alias("pid"), *[c for c in pairs.columns if c not in ("qid", "pid")]).join(ids, "qid", "left_semi").mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else pairs.sparkSession.createDataFrame([], schema)
+
+
+def maxsim(tokens: DataFrame, query_tokens: DataFrame, metric: str = "dot", clamp_zero: bool = False, top_tokens: int | None = None, k: int | None = None) -> DataFrame:
     """(qid, pid, score): the sum over query tokens of the best match in the passage.
 
-    ``clamp_zero`` counts negative matches as 0; ``top_tokens`` sums only the best so many query tokens."""
-    best = best_per_passage(tokens, query_tokens, metric)
-    if clamp_zero:
-        best = best.withColumn("best", F.greatest("best", F.lit(0.0)))
-    if top_tokens is not None:
-        w = Window.partitionBy("qid", "pid").orderBy(F.desc("best"), "qtok")
-        best = best.withColumn("n", F.row_number().over(w)).where(F.col("n") <= top_tokens)
-    return best.groupBy("qid", "pid").agg(F.sum("best").alias("score"))
+    ``tokens`` (pid, vec), ``query_tokens`` (qid, qtok, vec); ``metric`` ``dot`` or ``l2`` (negative squared distance). ``clamp_zero`` counts negative
+    matches as 0; ``top_tokens`` sums only the best so many query tokens. With ``k`` only passages that may be among a query's best k."""
+    return late_scores(passages(tokens), query_tokens, summed(clamp_zero, top_tokens), metric, k)
+
+
+def maxsim_pairs(pairs: DataFrame, tokens: DataFrame, query_tokens: DataFrame, pool: Pool | None = None) -> DataFrame:
+    """(qid, pid, score) of ``pairs`` (qid, pid) alone: each query meets only the vectors of its own candidates."""
+    pool = pool or summed()
+
+    def score(q: np.ndarray, qtok: np.ndarray, part: pa.RecordBatch) -> np.ndarray:
+        x, offsets = _vectors(part.column("vecs"))
+        out = np.empty(part.num_rows)
+        for i, j in _tiles(offsets, len(q)):
+            out[i:j] = pool(_best(similarity(q, x[offsets[i] : offsets[j]], "dot"), offsets[i : j + 1]), qtok)
+        return out
+
+    asked = pairs.join(passages(tokens), "pid")
+    return pair_scores(asked, query_tokens, "qid long, pid long, score double", score)
 
 
 def maxsim_with_context(tokens: DataFrame, query_tokens: DataFrame, query_length: int = 64, best_query: int = 32, best_context: int = 8) -> DataFrame:
     """(qid, pid, score): the best ``best_query`` matches of the query's first ``query_length`` tokens, and the best ``best_context`` of the tokens after them."""
-    best = best_per_passage(tokens, query_tokens).withColumn("context", F.col("qtok") >= query_length)
-    w = Window.partitionBy("qid", "pid", "context").orderBy(F.desc("best"), "qtok")
-    kept = best.withColumn("n", F.row_number().over(w)).where(F.col("n") <= F.when(F.col("context"), best_context).otherwise(best_query))
-    return kept.groupBy("qid", "pid").agg(F.sum("best").alias("score"))
+    asked, context = summed(top_tokens=best_query), summed(top_tokens=best_context)
+
+    def pool(best: np.ndarray, qtok: np.ndarray) -> np.ndarray:
+        own = qtok < query_length
+        return asked(best[own], qtok[own]) + context(best[~own], qtok[~own])
+
+    return late_scores(passages(tokens), query_tokens, pool)
 
 
 def content_tokens(tokens: DataFrame, skip: list[str], column: str = "token") -> DataFrame:
@@ -166,7 +280,8 @@ def assign_codes(tokens: DataFrame, centroids: DataFrame) -> DataFrame:
         codes, c = held.value
         for b in batches:
             x = matrix(b.column("vec"))
-            best = codes[np.argmax(x @ c.T, axis=1)] if len(x) else codes[:0]
+            step = max(1, TILE // max(1, len(c)))
+            best = np.concatenate([codes[np.argmax(x[i : i + step] @ c.T, axis=1)] for i in range(0, len(x), step)]) if len(x) else codes[:0]
             yield pa.record_batch([b.column("pid"), b.column("tok"), b.column("vec"), pa.array(best.astype(np.int32))], ["pid", "tok", "vec", "code"])
 
     return tokens.select(F.col("pid").cast("long").alias("pid"), F.col("tok").cast("int").alias("tok"), V.doubles(F.col("vec")).alias("vec")).mapInArrow(run, "pid long, tok int, vec array<double>, code int")
@@ -215,15 +330,28 @@ class LateIndex:
         """(code, pid), distinct."""
         return self.tokens.select("code", "pid").distinct()
 
-    def centroid_scores(self, query_tokens: DataFrame) -> DataFrame:
-        """(qid, qtok, code, score)."""
-        c = self.centroids.select(F.col("code").cast("long").alias("pid"), "vec")
-        return best_per_passage(c, query_tokens).select("qid", "qtok", F.col("pid").cast("int").alias("code"), F.col("best").alias("score"))
-
     def probe(self, query_tokens: DataFrame, ncells: int) -> DataFrame:
-        """(qid, qtok, code, score): the best cells of every query token; ties go to the smaller code."""
-        w = Window.partitionBy("qid", "qtok").orderBy(F.desc("score"), "code")
-        return self.centroid_scores(query_tokens).withColumn("n", F.row_number().over(w)).where(F.col("n") <= ncells).drop("n")
+        """(qid, qtok, code, score): the best cells of every query token, chosen in the task; ties go to the smaller code."""
+        held = query_tokens.sparkSession.sparkContext.broadcast(_held(self.centroids))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            codes, c = held.value
+            k = min(ncells, len(codes))
+            for b in batches:
+                q = matrix(b.column("vec"))
+                step = max(1, TILE // max(1, len(c)))
+                for i in range(0, len(q) if k else 0, step):
+                    s = q[i : i + step] @ c.T
+                    least = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
+                    row, at = np.nonzero(s >= least)
+                    order = np.lexsort((codes[at], -s[row, at], row))
+                    row, at = row[order], at[order]
+                    first = np.arange(len(row)) - np.searchsorted(row, row) < k
+                    row, at = row[first], at[first]
+                    yield pa.record_batch([b.column("qid").take(pa.array(row + i)), b.column("qtok").take(pa.array(row + i)), pa.array(codes[at].astype(np.int32)), pa.array(s[row, at])], ["qid", "qtok", "code", "score"])
+
+        asked = query_tokens.select(F.col("qid").cast("long").alias("qid"), F.col("qtok").cast("int").alias("qtok"), V.doubles(F.col("vec")).alias("vec"))
+        return asked.mapInArrow(run, "qid long, qtok int, code int, score double")
 
     def candidates(self, query_tokens: DataFrame, ncells: int) -> DataFrame:
         """(qid, pid) of the passages with a token in a probed cell."""
@@ -232,16 +360,25 @@ class LateIndex:
     def approximate(self, pairs: DataFrame, query_tokens: DataFrame, threshold: float | None) -> DataFrame:
         """(qid, pid, score) of ``pairs`` from centroid scores alone; with a threshold, centroids that reach it for no token of the query are
         left out, and a query token without a centroid in the passage counts as the padding value."""
-        scores = self.centroid_scores(query_tokens)
-        tokens = query_tokens.groupBy("qid").agg(F.count("*").alias("qtoks"))
-        if threshold is not None:
-            kept = scores.groupBy("qid", "code").agg(F.max("score").alias("m")).where(F.col("m") >= threshold).select("qid", "code")
-            scores = scores.join(kept, ["qid", "code"])
-        best = pairs.join(self.ivf(), "pid").join(scores, ["qid", "code"]).groupBy("qid", "pid", "qtok").agg(F.max("score").alias("best"))
-        summed = best.groupBy("qid", "pid").agg(F.sum("best").alias("s"), F.count("*").alias("hit"))
-        return pairs.join(summed, ["qid", "pid"], "left").join(tokens, "qid").select(
-            "qid", "pid", (F.coalesce("s", F.lit(0.0)) + (F.col("qtoks") - F.coalesce("hit", F.lit(0))) * _LEAST).alias("score")
-        )
+        held = pairs.sparkSession.sparkContext.broadcast(_held(self.centroids))
+
+        def score(q: np.ndarray, qtok: np.ndarray, part: pa.RecordBatch) -> np.ndarray:
+            codes, c = held.value
+            lists = part.column("codes")
+            offsets = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
+            at = np.searchsorted(codes, lists.flatten().to_numpy(zero_copy_only=False))
+            used, of = np.unique(at, return_inverse=True)
+            s = q @ c[used].T
+            if threshold is not None:
+                s = np.where(s.max(axis=0) >= threshold, s, -np.inf)
+            out = np.empty(part.num_rows)
+            for i, j in _tiles(offsets, len(q)):
+                best = _best(s[:, of[offsets[i] : offsets[j]]], offsets[i : j + 1])
+                out[i:j] = np.where(np.isneginf(best), _LEAST, best).sum(axis=0)
+            return out
+
+        codes = self.tokens.groupBy("pid").agg(F.collect_set("code").alias("codes"))
+        return pair_scores(pairs.join(codes, "pid"), query_tokens, "qid long, pid long, score double", score)
 
     def search(self, query_tokens: DataFrame, k: int = 10, knobs: SearchKnobs | None = None, keep=None, vectors: DataFrame | None = None) -> DataFrame:
         """(qid, pid, rank, score): candidates from the probed cells; the best ``ndocs`` by pruned centroid scores; a quarter of these by all
@@ -253,8 +390,7 @@ class LateIndex:
         first = top_passages(self.approximate(pairs, query_tokens, knobs.threshold), knobs.ndocs).select("qid", "pid")
         second = top_passages(self.approximate(first, query_tokens, None), max(1, knobs.ndocs // 4)).select("qid", "pid")
         source = vectors if vectors is not None else self.decoded()
-        exact = maxsim(source.join(second.select("pid").distinct(), "pid", "left_semi"), query_tokens).join(second, ["qid", "pid"], "left_semi")
-        return top_passages(exact, k).select("qid", "pid", "rank", "score")
+        return top_passages(maxsim_pairs(second, source, query_tokens), k).select("qid", "pid", "rank", "score")
 
 
 def rerank_with_quantity(first: DataFrame, queries: DataFrame, quantities: DataFrame, k: int = 10, weight: float = 1.0, depth: int = 1000) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quantmill.functions.numeric import kernel, satisfies, value_text
 from quantmill.operators.corpus import top_k
 from quantmill.session import cut
+from quantmill.sources import index_store
+from quantmill.sources.io import read_index, write_index
 
 EPSILON = 0.25
 
@@ -18,7 +20,8 @@ class LexicalIndex:
     """Postings with the statistics of BM25.
 
     ``postings`` (term, doc_id, tf), ``idf`` (term, df, raw, idf), ``docs`` (doc_id, dl), ``stats`` one row (n, total, avgdl).
-    ``quantities`` (doc_id, unit, value) serve the numeric parts. All are lazy; ``materialised()`` writes what the parts of a ranking share.
+    ``quantities`` (doc_id, unit, value) serve the numeric parts. All are lazy, and a ranking writes only the scores that its parts share.
+    ``save`` and ``load`` keep an index in a folder, its postings clustered by term.
     """
 
     postings: DataFrame
@@ -55,11 +58,25 @@ class LexicalIndex:
         mean = F.broadcast(raw.agg(F.avg("raw").alias("mean")))
         return stats, raw.crossJoin(mean).withColumn("idf", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw"))).drop("mean")
 
-    def materialised(self) -> LexicalIndex:
-        """The index with its tables written to the checkpoint folder once, as several parts of a ranking read them."""
-        docs, postings = cut(self.docs), cut(self.postings)
-        stats, idf = LexicalIndex._statistics(docs, postings, self.epsilon)
-        return LexicalIndex(postings, cut(idf), docs, cut(stats), None if self.quantities is None else cut(self.quantities), self.epsilon)
+    def save(self, folder: str, mode: str = "overwrite") -> LexicalIndex:
+        """The index, written to ``folder`` and read from there. ``mode``: ``overwrite`` or ``reuse`` (a complete index that is there is taken as it is)."""
+        spark = self.docs.sparkSession
+        if mode == "reuse" and index_store.is_complete(spark, folder):
+            return LexicalIndex.load(spark, folder)
+        index_store.begin(spark, folder)
+        write_index({"postings": self.postings, "docs": self.docs} | ({} if self.quantities is None else {"quantities": self.quantities}), folder, sort={"postings": "term"})
+        # statistics are taken from what was written, so that the texts are analysed once
+        kept = read_index(spark, folder, ["postings", "docs"])
+        stats, idf = LexicalIndex._statistics(kept["docs"], kept["postings"], self.epsilon)
+        write_index({"idf": idf, "stats": stats}, folder, sort={"idf": "term"})
+        index_store.finish(spark, folder, {"kind": "lexical", "epsilon": self.epsilon, "quantities": self.quantities is not None})
+        return LexicalIndex.load(spark, folder)
+
+    @staticmethod
+    def load(spark: SparkSession, folder: str) -> LexicalIndex:
+        meta = index_store.metadata(spark, folder)
+        t = read_index(spark, folder, ["postings", "idf", "docs", "stats"])
+        return LexicalIndex(t["postings"], t["idf"], t["docs"], t["stats"], read_index(spark, folder, ["quantities"])["quantities"] if meta["quantities"] else None, meta["epsilon"])
 
     def weights(self, k1: float = 1.5, b: float = 0.75, terms: DataFrame | None = None) -> DataFrame:
         """(term, doc_id, w): what one occurrence of the term in a query adds to the score of the document. With ``terms`` (term) only
@@ -105,6 +122,7 @@ class LexicalIndex:
         if numeric == "none":
             best = top_k(scored, k, "set").select("set", "doc_id", "rank", "score")
             return asked.select("qid", "set").join(best, "set").select("qid", "doc_id", "rank", "score")
+        scored = cut(scored)
         if numeric == "filter":
             out = self._filtered(scored, asked, k, fixed)
         elif numeric in ("ratio", "expo"):

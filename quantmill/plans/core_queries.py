@@ -61,16 +61,16 @@ def p1_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- lexical ranking ---------------------------------------------------------------------------------------------
 
 
-def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest(table(spark, sf_dir, "collection"), "doc_id", "ingested_at")
+def _corpus(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return latest(table(spark, sf_dir, "collection").select("doc_id", "ingested_at", *(columns or ("sentence", "values", "units"))), "doc_id", "ingested_at")
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _corpus(spark, sf_dir).select("doc_id", T.simple_tokens(F.col("sentence")).alias("terms"))
+    return _corpus(spark, sf_dir, "sentence").select("doc_id", T.simple_tokens(F.col("sentence")).alias("terms"))
 
 
 def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unit_values(_corpus(spark, sf_dir))
+    return unit_values(_corpus(spark, sf_dir, "values", "units"))
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,11 +78,11 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _plain(spark: SparkSession, sf_dir: str) -> LexicalIndex:
-    return LexicalIndex.build(_terms(spark, sf_dir), _values(spark, sf_dir)).materialised()
+    return LexicalIndex.build(_terms(spark, sf_dir), _values(spark, sf_dir))
 
 
 def _binary(spark: SparkSession, sf_dir: str) -> LexicalIndex:
-    return LexicalIndex.build(_terms(spark, sf_dir), _values(spark, sf_dir), unit_terms=True, binary=True).materialised()
+    return LexicalIndex.build(_terms(spark, sf_dir), _values(spark, sf_dir), unit_terms=True, binary=True)
 
 
 @query
@@ -125,7 +125,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def bm25_with_quantity_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units and values as terms of their documents."""
-    index = LexicalIndex.build(_terms(spark, sf_dir), _values(spark, sf_dir), unit_terms=True, value_terms=True).materialised()
+    index = LexicalIndex.build(_terms(spark, sf_dir), _values(spark, sf_dir), unit_terms=True, value_terms=True)
     return index.rank(_asked(spark, sf_dir), 10).select("qid", "doc_id", "rank", _r("score"))
 
 
@@ -204,7 +204,7 @@ def bm25_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 with the full analyzers of texts and keywords."""
     docs = _corpus(spark, sf_dir).select("doc_id", T.content_tokens(F.col("sentence")).alias("terms"))
     asked = table(spark, sf_dir, "queries").select("qid", T.keyword_tokens(F.col("keywords")).alias("terms"))
-    return LexicalIndex.build(docs).materialised().rank(asked, 10).select("qid", "doc_id", "rank", _r("score"))
+    return LexicalIndex.build(docs).rank(asked, 10).select("qid", "doc_id", "rank", _r("score"))
 
 
 # --- sparse ranking ----------------------------------------------------------------------------------------------
@@ -725,10 +725,12 @@ def stream_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_REGISTRY)
+    from quantmill.plans import index_queries
+
+    return _REGISTRY | index_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from quantmill.plans.core_sql import SQL
+    from quantmill.plans import core_sql, index_queries
 
-    return dict(SQL)
+    return core_sql.SQL | index_queries.oracle_sql()
