@@ -107,8 +107,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+#: The distinct words of a text, the last deliveries of the two tables of problem 3, and what makes two of their texts similar.
+_WORDS = "list_distinct(regexp_extract_all(lower({t}), '[a-z0-9]+'))"
+_LAST = """SELECT doc_id AS id, split, source, sentence AS text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ingested_at DESC) AS rn FROM collection) WHERE rn = 1"""
+_SIMILAR = "5 * len(list_intersect(a.w, b.w)) >= 3 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) AND 5 * len(a.w) >= 3 * len(b.w) AND 5 * len(b.w) >= 3 * len(a.w)"
+_OVERLAPS = f"""WITH texts AS (SELECT 'collection' AS tab, id, split, source, text FROM ({_LAST}) UNION ALL SELECT 'queries', CAST(qid AS BIGINT), split, source, query_text FROM queries),
+    w AS (SELECT tab, id, split, source, {_WORDS.format(t="text")} AS w FROM texts WHERE text IS NOT NULL AND split IN ('train', 'val', 'test')),
+    k AS (SELECT * FROM w WHERE len(w) > 0),
+    pairs AS (SELECT a.tab, a.id AS train_id, b.id AS eval_id, b.split, b.source, list_sort(a.w) = list_sort(b.w) AS same FROM k a JOIN k b ON a.tab = b.tab AND a.split = 'train' AND b.split <> 'train' AND {_SIMILAR})
+    """
+
+
 def oracle_sql() -> dict[str, str]:
+    """SQL over all pairs, phrases and windows: for the small scale that the driver checks."""
     return {
+        "p3_found": _OVERLAPS + "SELECT tab, least(train_id, eval_id) AS id_a, greatest(train_id, eval_id) AS id_b FROM pairs",
+        "p3_report": _OVERLAPS + """SELECT k.tab, k.split, k.source, count(*) AS records, count(p.eval_id) AS overlapping, coalesce(sum(CAST(p.same AS BIGINT)), 0)::BIGINT AS exact FROM k
+            LEFT JOIN (SELECT tab, eval_id, bool_or(same) AS same FROM pairs GROUP BY tab, eval_id) p ON k.tab = p.tab AND k.id = p.eval_id WHERE k.split <> 'train' GROUP BY ALL""",
+        "p4_found": f"""WITH RECURSIVE w AS (SELECT id, {_WORDS.format(t="text")} AS w FROM ({_LAST}) WHERE text IS NOT NULL), k AS (SELECT * FROM w WHERE len(w) > 0),
+            links AS MATERIALIZED (SELECT a.id AS x, b.id AS y FROM k a JOIN k b ON a.id <> b.id AND {_SIMILAR}),
+            reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+            SELECT DISTINCT x AS doc_id_a, y AS doc_id_b FROM reach WHERE x < y""",
+        "p6_found": """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
+            i AS (SELECT item_id, regexp_extract_all(lower(item_text), '[a-z0-9]+') AS w FROM eval_items WHERE item_text IS NOT NULL),
+            phrases AS (SELECT item_id, len(w[p : p + 12]) AS n, array_to_string(w[p : p + 12], ' ') AS phrase FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS p FROM i WHERE len(w) > 0)),
+            sizes AS (SELECT DISTINCT n FROM phrases), starts AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d),
+            spans AS (SELECT doc_id, n, array_to_string(w[p : p + n - 1], ' ') AS phrase FROM starts, sizes WHERE p + n - 1 <= len(w))
+            SELECT DISTINCT doc_id, item_id FROM spans JOIN phrases USING (n, phrase)""",
+        "p7_found": """WITH own AS (SELECT source, sum(coalesce(length(text), 0)) AS own FROM documents GROUP BY source), total AS (SELECT sum(coalesce(length(text), 0)) AS total FROM documents)
+            SELECT t.source, CASE WHEN coalesce(own, 0) * max_uses < target_share * total THEN 'capped' ELSE 'repeated' END AS outcome
+            FROM mix_target t LEFT JOIN own USING (source), total WHERE coalesce(own, 0) < target_share * total""",
         "p5_found": """
             SELECT q_id, CAST(rank AS INTEGER) AS rank, doc_id FROM (
               SELECT q_id, doc_id, row_number() OVER (PARTITION BY q_id ORDER BY s DESC, doc_id DESC) AS rank FROM (
