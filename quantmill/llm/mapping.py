@@ -2,7 +2,8 @@
 
 Method: a prefix-filter set-similarity join. A value becomes the set of its letters and letter pairs, each labelled by occurrence, word by word,
 so that neither the order of words nor one wrong letter changes much of it. Tokens are put in one global order, rarest first;
-two sets of Jaccard similarity t share a token among the first |x| - ceil(t |x|) + 1 of each, so only those are joined. Length and
+two sets of Jaccard similarity t share SHARED tokens among the first |x| - ceil(t |x|) + SHARED of each, so only those that have two such tokens in
+common are joined: letters and pairs of letters are few, but two rare ones together are rare also among millions of names. Length and
 positional filters thin the candidates, the exact Jaccard similarity is computed for the rest, and the best is kept. Every distinct
 spelling is matched once.
 """
@@ -19,19 +20,24 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: Least similarity, as a fraction: well between what one slip leaves (0.62) and what unrelated entries reach (0.41).
 SIM_NUM, SIM_DEN = 11, 20
+#: Prefix tokens that must agree. A word has three tokens at least, so any two similar sets share two.
+SHARED = 2
 #: Tokens whose frequency goes to every task, the most frequent ones; all others are rarer and rank first.
 RANKED_TOKENS = 50_000
 #: Reference forms up to which the reference side is broadcast.
 BROADCAST_FORMS = 20_000
 _NOT_TEXT = re.compile(r"[^\w%$€£₹¥‰°µ'/]+|_")
-_LEAD = re.compile(r"^(?:re|the|in) (?=.)")
+#: Words that may stand before an entry without a meaning.
+LEAD_WORDS = frozenset({"re", "the", "in"})
 
 
-def normal_form(value: str, drop: frozenset[str] = frozenset()) -> str:
-    """Lower case without accents, marks, doubled blanks and lead words; without the words of ``drop`` (scales) and an ``of`` beside them."""
+def normal_form(value: str, drop: frozenset[str] = frozenset(), lead: frozenset[str] = LEAD_WORDS) -> str:
+    """Lower case without accents, marks, doubled blanks and one of the words of ``lead`` before others; without the words of ``drop`` (scales) and an ``of``
+    beside them."""
     s = "".join(c for c in unicodedata.normalize("NFD", value.lower()) if not unicodedata.combining(c))
-    s = _LEAD.sub("", _NOT_TEXT.sub(" ", s).replace("/", " ").strip())
-    w = s.split()
+    w = _NOT_TEXT.sub(" ", s).replace("/", " ").split()
+    if len(w) > 1 and w[0] in lead:
+        w = w[1:]
     kept = [x for x in w if x not in drop]
     if len(kept) < len(w):
         kept = [x for x in kept if x != "of"]
@@ -70,18 +76,22 @@ def match(values: DataFrame, reference: DataFrame, drop: dict[str, frozenset[str
         .orderBy(F.desc("n"), "t").limit(RANKED_TOKENS).collect()
     )
     rank = spark.sparkContext.broadcast({r.t: r.n for r in counts})
-    x = _prefixes(tokenised, rank).select("kind", "value", "norm", "tokens", F.posexplode("prefix").alias("i", "t"))
+    # no longer value can be similar to any form
+    longest = forms.agg(F.max(F.size("tokens"))).first()[0] or 0
+    usable = tokenised.where(F.size("tokens") * SIM_NUM <= longest * SIM_DEN)
+    x = _prefixes(usable, rank).select("kind", "value", "norm", "tokens", F.explode(_keys()).alias("k")).select("kind", "value", "norm", "tokens", "k.key", F.col("k.last").alias("i"))
     y = _prefixes(forms, rank).select(
-        "kind", F.col("value").alias("form"), F.col("norm").alias("form_norm"), F.col("ref_name").alias("name"), F.col("tokens").alias("form_tokens"), F.posexplode("prefix").alias("j", "t")
-    )
+        "kind", F.col("value").alias("form"), F.col("norm").alias("form_norm"), F.col("ref_name").alias("name"), F.col("tokens").alias("form_tokens"), F.explode(_keys()).alias("k")
+    ).select("kind", "form", "form_norm", "name", "form_tokens", "k.key", F.col("k.last").alias("j"))
     if reference.count() <= BROADCAST_FORMS:
         y = F.broadcast(y)
     n1, n2 = F.size("tokens"), F.size("form_tokens")
-    least = _least_overlap(n1, n2)
+    # of the first two tokens that both have, the later one is at i and j: no more can follow than the shorter rest
+    most = SHARED - 1 + F.least(n1 - F.col("i"), n2 - F.col("j"))
     met = (
-        x.join(y, ["kind", "t"])
+        x.join(y, ["kind", "key"])
         .where((n1 * SIM_DEN >= n2 * SIM_NUM) & (n2 * SIM_DEN >= n1 * SIM_NUM))
-        .where(F.least(n1 - F.col("i"), n2 - F.col("j")) >= least)
+        .where(most >= _least_overlap(n1, n2))
         .dropDuplicates(["kind", "value", "form", "name"])
     )
     shared = F.size(F.array_intersect("tokens", "form_tokens"))
@@ -91,6 +101,13 @@ def match(values: DataFrame, reference: DataFrame, drop: dict[str, frozenset[str
     return best.select("kind", "value", F.col("b.name").alias("ref_name"), (-F.col("b.s")).alias("similarity"))
 
 
+def _keys() -> Column:
+    """(key, last) of every two tokens of the prefix: a hash of both, and the place of the later one."""
+    prefix = F.col("prefix")
+    later = lambda t, i: F.transform(F.slice(prefix, i + 2, F.size(prefix)), lambda u, j: F.struct(F.xxhash64(t, u).alias("key"), (i + 1 + j).alias("last")))
+    return F.flatten(F.transform(prefix, later))
+
+
 def _tokenised(df: DataFrame, drop: dict[str, frozenset[str]]) -> DataFrame:
     """(kind, value, ref_name, norm, tokens)."""
 
@@ -113,7 +130,7 @@ def _prefixes(df: DataFrame, rank) -> DataFrame:
         for b in batches:
             prefix = []
             for t in b.column("tokens").to_pylist():
-                k = len(t) - (-(-len(t) * SIM_NUM // SIM_DEN)) + 1 if t else 0
+                k = len(t) - (-(-len(t) * SIM_NUM // SIM_DEN)) + SHARED if t else 0
                 prefix.append(sorted(t, key=lambda g: (n.get(g, 0), g))[:k])
             yield pa.record_batch([*b.columns, pa.array(prefix, pa.list_(pa.string()))], [*b.schema.names, "prefix"])
 

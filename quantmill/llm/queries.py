@@ -137,6 +137,8 @@ def oracle_sql() -> dict[str, str]:
         "p7_found": """WITH own AS (SELECT source, sum(coalesce(length(text), 0)) AS own FROM documents GROUP BY source), total AS (SELECT sum(coalesce(length(text), 0)) AS total FROM documents)
             SELECT t.source, CASE WHEN coalesce(own, 0) * max_uses < target_share * total THEN 'capped' ELSE 'repeated' END AS outcome
             FROM mix_target t LEFT JOIN own USING (source), total WHERE coalesce(own, 0) < target_share * total""",
+        # pieces of the tokenizers' word pattern: no text has more of them than tokens
+        "p8_found": r"""SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '\s?\p{L}+|\s?\p{N}+|\s?[^\s\p{L}\p{N}]+')) > 1000""",
         "p5_found": """
             SELECT q_id, CAST(rank AS INTEGER) AS rank, doc_id FROM (
               SELECT q_id, doc_id, row_number() OVER (PARTITION BY q_id ORDER BY s DESC, doc_id DESC) AS rank FROM (

@@ -178,6 +178,24 @@ def test_mapping_equals_all_pairs(spark):
             assert v not in got, (v, got.get(v))
 
 
+def test_mapping_to_many_names(spark):
+    """A list of 200,000 names, joined without a broadcast: every slip finds its name, or one that is as near."""
+    rng = random.Random(7)
+    parts = ["".join(rng.choice("bcdfglmnprstv") + rng.choice("aeiou") for _ in range(3)) for _ in range(700)]
+    names = sorted({f"{rng.choice(parts)} {rng.choice(parts)}" for _ in range(230_000)})[:200_000]
+    want = {}
+    for n in rng.sample(names, 300):
+        k = rng.randrange(1, len(n) - 1)
+        want[n[:k] + rng.choice("xyz") + n[k + 1 :]] = n
+    ref = spark.createDataFrame([("k", n, n) for n in names], "kind string, form string, ref_name string")
+    values = spark.createDataFrame([("k", v) for v in want], "kind string, value string")
+    got = {r.value: r for r in mapping.match(values, ref, {"k": frozenset()}).collect()}
+    assert set(got) == set(want)
+    for v, n in want.items():
+        sets = [mapping.tokens(mapping.normal_form(x)) for x in (v, n, got[v].ref_name)]
+        assert jaccard(sets[0], sets[2]) >= jaccard(sets[0], sets[1])
+
+
 def test_mapping_of_units():
     scale = frozenset({"million", "millions", "mn", "k", "'000"})
     forms = {"MN USD": "usd", "usd, '000": "usd", "(%)": "%", "[metric tons]": "metric tons", "thousand": "thousand", "millions of us_dollars": "us dollars", "in mg/l.": "mg l", "ml\xa0": "ml", "million": ""}
