@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 METRICS = ("MRR", "P", "recall", "ndcg_cut")
+#: The cuts of the supported measures.
+CUTS = (10, 100, 1000)
 
 
 def truncate_run(run: DataFrame, k: int) -> DataFrame:
@@ -20,8 +22,8 @@ def truncate_run(run: DataFrame, k: int) -> DataFrame:
 def parse_metric(name: str) -> tuple[str, int]:
     """``recall@10`` as (recall, 10)."""
     m = re.fullmatch(r"(\w+)@(\d+)", name)
-    if not m or m[1] not in METRICS:
-        raise ValueError(f"unknown metric {name!r}")
+    if not m or m[1] not in METRICS or int(m[2]) not in CUTS:
+        raise ValueError(f"unsupported metric {name!r}; there are {', '.join(METRICS)} at {', '.join(map(str, CUTS))}")
     return m[1], int(m[2])
 
 
@@ -79,14 +81,18 @@ def permutation_test(a: DataFrame, b: DataFrame, repetitions: int = 10_000) -> D
     """One row (queries, delta, p): the paired permutation test on per-query values of two systems (qid, v).
 
     Each repetition exchanges the outputs of a query with probability one half; p = (1 + exceedances) / (repetitions + 1).
-    Work is one row per query and repetition, summed in each task before the shuffle.
+    Work is one row per query and repetition, summed in each task before the shuffle. Systems that were not evaluated on the same number
+    of queries raise when the result is read.
     """
     d = a.select("qid", F.col("v").alias("va")).join(b.select("qid", F.col("v").alias("vb")), "qid").select(F.col("qid").cast("bigint").alias("q"), (F.col("va") - F.col("vb")).alias("d"))
     reps = d.select("q", "d", F.explode(F.sequence(F.lit(1), F.lit(repetitions))).alias("rep"))
     sums = reps.groupBy("rep").agg(F.sum(F.col("d") * sign(F.col("rep"), F.col("q"))).alias("s"))
-    base = d.agg(F.count("*").alias("queries"), F.sum("d").alias("total"))
+    uneven = F.broadcast(a.agg(F.count("*").alias("na")).crossJoin(b.agg(F.count("*").alias("nb"))))
+    base = d.agg(F.count("*").alias("queries"), F.sum("d").alias("total")).crossJoin(uneven)
     over = sums.crossJoin(F.broadcast(base)).agg(
         F.max("queries").alias("queries"), F.max(F.abs(F.col("total")) / F.col("queries")).alias("delta"),
-        F.sum(F.when(F.round(F.abs("s"), 9) >= F.round(F.abs("total"), 9), 1).otherwise(0)).alias("over"),
+        F.sum(F.when(F.round(F.abs("s"), 9) >= F.round(F.abs("total"), 9), 1).otherwise(0)).alias("over"), F.max("na").alias("na"), F.max("nb").alias("nb"),
     )
-    return over.select("queries", "delta", ((F.col("over") + 1.0) / F.lit(repetitions + 1.0)).alias("p"))
+    p = (F.col("over") + 1.0) / F.lit(repetitions + 1.0)
+    same = F.when((F.col("na") == F.col("nb")) | F.col("na").isNull(), p).otherwise(F.raise_error("the systems have different numbers of queries").cast("double"))
+    return over.select("queries", "delta", same.alias("p"))

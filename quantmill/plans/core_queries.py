@@ -504,8 +504,8 @@ def value_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def corpus_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     sampled = G.sample(_parts(spark, sf_dir), 3)
-    mixed = G.with_corpus_sentences(sampled, _corpus(spark, sf_dir))
-    return mixed.groupBy("condition", "side").agg(F.count("*").alias("passages"))
+    mixed = G.with_corpus_sentences(sampled, _corpus(spark, sf_dir, "sentence"))
+    return mixed.select("keyword", "unit", "condition", "pivot", "side", "sentence")
 
 
 @query
@@ -585,6 +585,31 @@ def training_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.training_tables(_concepts(spark, sf_dir))["qrel"]
 
 
+@query
+def training_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.training_tables(_concepts(spark, sf_dir))["queries"]
+
+
+@query
+def training_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each generated table in the training and in the validation part, which has the first 100 queries."""
+    tables = G.training_tables(_concepts(spark, sf_dir))
+    both = G.split_tables(tables, tables["queries"].where("query_id < 100"))
+    counts = [t.agg(F.count("*").alias("rows")).select(F.lit(part).alias("part"), F.lit(name).alias("name"), "rows") for part, ts in zip(("train", "val"), both) for name, t in ts.items()]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+@query
+def metrics_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics by split, written as JSON and read again."""
+    folder = _scratch(spark, "metrics")
+    io.write_metrics(E.evaluate(_run(spark, sf_dir), table(spark, sf_dir, "qrel")), folder)
+    return io.read_metrics(spark, folder).select("split", "metric", _r("value"))
+
+
 # --- evaluation --------------------------------------------------------------------------------------------------
 
 
@@ -653,7 +678,7 @@ def verbalize_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def format_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers written plainly and with thousands commas."""
     q = table(spark, sf_dir, "queries").where("value is not null")
-    return q.select("qid", N.plain_number(F.col("value")).alias("plain"), N.magnitude(F.col("value")).alias("power"), N.alternate_number(F.col("value"), F.lit(True)).alias("commas"))
+    return q.select("qid", N.plain_number(F.col("value")).alias("plain"), N.magnitude(F.col("value")).alias("power"), N.alternate_number(F.col("value"), F.lit(True)).alias("commas"), N.alternate_number(F.col("value"), F.lit(False)).alias("words"), N.alternate_number(F.col("value"), F.lit(False), F.lit(True)).alias("brief"))
 
 
 @query

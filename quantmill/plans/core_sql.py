@@ -270,6 +270,90 @@ SELECT max(queries) AS queries, round(max(abs(total) / queries), 6) AS delta, ro
     "ranking_tsv": f"SELECT CAST(qid AS BIGINT) AS qid, CAST(doc_id AS BIGINT) AS pid, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id DESC) AS rank FROM ({_run()})) WHERE rank <= 10",
     "stream_postings": r"""SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS term FROM documents WHERE text IS NOT NULL) WHERE term <> '' GROUP BY term""",
 }
+
+
+def _drawn(seed: int, *parts: str) -> str:
+    return f"md5(concat_ws('|', '{seed}', {', '.join(parts)}))"
+
+
+def _number(drawn: str, n: str) -> str:
+    return f"(CAST('0x' || substr({drawn}, 1, 8) AS BIGINT) % {n})"
+
+
+def _value(v: str) -> str:
+    return "(" + FMT.format(v=v) + ")"
+
+
+KEY = 'keyword, unit, condition, "pivot"'
+#: The sided sentences with their spans: of several values of a side the largest.
+SPANNED = PARTS + f""",
+spanned AS (SELECT {KEY}, sentence, side, value, value_spans, unit_spans FROM (SELECT *, row_number() OVER (PARTITION BY {KEY}, sentence, side ORDER BY value DESC) AS rn FROM sided WHERE side IS NOT NULL) WHERE rn = 1)"""
+RANDOM = PIVOTS + f""",
+taken AS (SELECT keyword, unit, '=' AS condition, unnest([equal, equal2]) AS value FROM pivots UNION SELECT keyword, unit, '<', unnest([less, less2]) FROM pivots UNION SELECT keyword, unit, '>', unnest([greater, greater2]) FROM pivots),
+vals AS (SELECT DISTINCT keyword, unit, value FROM cindex), placed AS (SELECT *, row_number() OVER (PARTITION BY keyword, unit ORDER BY value) AS p, count(*) OVER (PARTITION BY keyword, unit) AS n FROM vals),
+free_ AS (SELECT keyword, unit, value, c.condition FROM placed, (VALUES ('='), ('<'), ('>')) c(condition) WHERE p > 2 AND p <= n - 2
+  AND NOT EXISTS (SELECT 1 FROM taken t WHERE t.keyword = placed.keyword AND t.unit = placed.unit AND t.condition = c.condition AND t.value = placed.value)),
+rpivots AS (SELECT keyword, unit, condition, value AS "pivot", CAST(turn AS INTEGER) AS turn FROM (SELECT *, row_number() OVER (PARTITION BY keyword, unit, condition ORDER BY {_drawn(7676, 'keyword', 'unit', 'condition', _value('value'))}, value) AS turn FROM free_) WHERE turn <= 2)"""
+CHOSEN = SPANNED + f""",
+chosen AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY {KEY}, side ORDER BY {_drawn(7676, 'sentence')}, sentence) AS INTEGER) AS place FROM spanned) WHERE place <= 3)"""
+
+
+def _phrases() -> str:
+    from quantmill.functions.numeric import PHRASES
+
+    pick = lambda c, n: _number(_drawn(0, "keyword", "unit", _value('"pivot"')), str(1 << 20)) + f" % {n} + 1"
+    lists = {c: "[" + ", ".join(f"'{p}'" for p in ps) + "]" for c, ps in PHRASES.items()}
+    return "CASE condition " + " ".join(f"WHEN '{c}' THEN ({lists[c]})[{pick(c, len(PHRASES[c]))}]" for c in PHRASES) + " END"
+
+
+GENERATED = CHOSEN + f""",
+gq AS (SELECT *, row_number() OVER (ORDER BY {KEY}) - 1 AS query_id, concat_ws(' ', keyword, {_phrases()}, {PLAIN.format(v='"pivot"')}, unit) AS query FROM conds WHERE "pivot" IS NOT NULL),
+gp AS (SELECT c.*, query_id, query, row_number() OVER (ORDER BY query_id, side, place) - 1 AS passage_id FROM chosen c JOIN gq USING (keyword, unit, condition, "pivot"))"""
+SPLICE = "concat(substring(sentence, 1, {s}.start), {r}, substring(sentence, {s}.\"end\" + 1))"
+SQL |= {
+    "random_pivots": _with(RANDOM) + "SELECT * FROM rpivots",
+    "random_validation": f"SELECT qid, CASE WHEN row_number() OVER (ORDER BY {_drawn(77, 'qid')}, qid) <= 100 THEN 'val' ELSE 'train' END AS part FROM queries",
+    "generation_passes": _with(PARTS, RANDOM.split(PIVOTS)[1].lstrip(",\n")) + """, many AS (SELECT keyword, unit FROM vals GROUP BY keyword, unit HAVING count(*) > 8),
+  passes AS (SELECT keyword, condition, 'base' AS pass FROM conds WHERE "pivot" IS NOT NULL UNION ALL SELECT keyword, condition, 'random' || turn FROM rpivots JOIN many USING (keyword, unit)),
+  k AS (SELECT DISTINCT keyword FROM cindex), sig AS (SELECT concept, array_to_string(list_sort(list_distinct(string_split(concept, ' '))), ' ') AS s FROM concept_ref),
+  named AS (SELECT DISTINCT keyword FROM k JOIN sig ON keyword = concept OR left(keyword, length(keyword) - 1) = concept OR (len(string_split(keyword, ' ')) <= 4 AND array_to_string(list_sort(list_distinct(string_split(keyword, ' '))), ' ') = s))
+SELECT pass, condition, count(*) AS queries FROM (SELECT pass, condition FROM passes UNION ALL SELECT pass || '+extension', condition FROM passes JOIN named USING (keyword)) GROUP BY pass, condition""",
+    "value_permutation": _with(SPANNED) + f""", nums AS (SELECT *, row_number() OVER (PARTITION BY {KEY}, side ORDER BY new_value) - 1 AS number, count(*) OVER (PARTITION BY {KEY}, side) AS size
+    FROM (SELECT DISTINCT {KEY}, CASE side WHEN 'pos' THEN 'neg' ELSE 'pos' END AS side, value AS new_value FROM spanned))
+SELECT s.keyword, s.unit, s.condition, s."pivot", sentence, {SPLICE.format(s="value_spans[1]", r=PLAIN.format(v="new_value"))} AS permuted, value, new_value, CASE s.side WHEN 'pos' THEN 'neg' ELSE 'pos' END AS side
+  FROM spanned s JOIN nums n ON s.keyword = n.keyword AND s.unit = n.unit AND s.condition = n.condition AND s."pivot" = n."pivot" AND s.side = n.side AND number = {_number(_drawn(7676, 'sentence'), 'size')}
+  WHERE len(value_spans) > 0 AND value_spans[1]."end" > value_spans[1].start""",
+    "corpus_negatives": _with(SAMPLED) + f""", pool AS (SELECT drawn, row_number() OVER (ORDER BY {_drawn(7676, 'drawn')}, drawn) - 1 AS number, count(*) OVER () AS size FROM
+    (SELECT DISTINCT sentence AS drawn FROM (SELECT sentence, row_number() OVER (PARTITION BY doc_id ORDER BY ingested_at DESC NULLS LAST) AS rn FROM collection) WHERE rn = 1 AND sentence <> ''))
+SELECT {KEY}, side, sentence FROM sampled UNION ALL SELECT {KEY}, side, sentence FROM sampled WHERE side = 'pos'
+UNION ALL SELECT {KEY}, 'neg', drawn FROM sampled, pool WHERE side = 'pos' AND number = {_number(_drawn(7677, 'keyword', 'unit', 'condition', _value('"pivot"'), 'sentence'), 'size')}""",
+    "training_queries": _with(GENERATED) + "SELECT query_id, query FROM gq",
+    "training_qrels": _with(GENERATED) + "SELECT query_id, passage_id, CAST(CASE side WHEN 'pos' THEN 1 ELSE 0 END AS INTEGER) AS rel FROM gp",
+    "training_triples": _with(GENERATED) + "SELECT p.query, p.sentence AS positive, n.sentence AS negative FROM gp p JOIN gp n ON p.query_id = n.query_id AND p.place = n.place AND p.side = 'pos' AND n.side = 'neg'",
+    "training_split": _with(GENERATED) + """, three AS (SELECT p.query_id, p.query FROM gp p JOIN gp n ON p.query_id = n.query_id AND p.place = n.place AND p.side = 'pos' AND n.side = 'neg'),
+  held AS (SELECT DISTINCT query FROM gq WHERE query_id < 100),
+  counts AS (SELECT CASE WHEN query_id < 100 THEN 'val' ELSE 'train' END AS part, 'queries' AS name FROM gq UNION ALL SELECT CASE WHEN query_id < 100 THEN 'val' ELSE 'train' END, unnest(['qrel', 'collection']) FROM gp
+    UNION ALL SELECT CASE WHEN query_id < 100 THEN 'val' ELSE 'train' END, 'id_triples' FROM three UNION ALL SELECT CASE WHEN query IN (SELECT query FROM held) THEN 'val' ELSE 'train' END, 'triples' FROM three)
+SELECT part, name, count(c.name) AS rows FROM (SELECT * FROM (VALUES ('train'), ('val')) a(part), (VALUES ('queries'), ('qrel'), ('collection'), ('triples'), ('id_triples')) b(name)) LEFT JOIN counts c USING (part, name) GROUP BY part, name""",
+    "metrics_json": _with(_per_query(10)) + " UNION ALL ".join(f"SELECT split, '{m}@10' AS metric, round(avg({c}), 6) AS value FROM perq GROUP BY split" for m, c in (("MRR", "mrr"), ("P", "p"), ("recall", "recall"), ("ndcg_cut", "ndcg"))),
+}
+SQL["unit_permutation"] = _with(CINDEX, FORMS) + f""", sib AS (SELECT DISTINCT a.unit, b.form FROM forms a JOIN forms b ON a.unit_type = b.unit_type AND a.unit <> b.unit WHERE (a.unit, b.form) NOT IN (SELECT (unit, form) FROM forms)),
+change AS (SELECT DISTINCT a.form, b.form AS to_, 'pos' AS side FROM forms a JOIN forms b USING (unit) WHERE a.form <> b.form UNION SELECT a.form, s.form, 'neg' FROM forms a JOIN sib s USING (unit) WHERE a.form <> s.form),
+two AS (SELECT unit, string_split(unit, ' per ')[1] AS a, string_split(unit, ' per ')[2] AS b FROM (SELECT DISTINCT unit FROM cindex) WHERE len(string_split(unit, ' per ')) = 2),
+both_ AS (SELECT * FROM two WHERE a IN (SELECT form FROM forms) AND b IN (SELECT form FROM forms)),
+compound AS (SELECT unit, to_ || ' per ' || b AS form, side FROM both_ JOIN change ON a = form UNION SELECT unit, a || ' per ' || to_, side FROM both_ JOIN change ON b = form),
+named AS (SELECT form AS unit, unit AS name FROM forms WHERE form NOT IN (SELECT unit FROM compound) UNION ALL SELECT DISTINCT unit, unit FROM compound),
+pool AS (SELECT name, side, list_sort(list_distinct(list(form))) AS pool FROM (SELECT unit AS name, form, 'pos' AS side FROM forms UNION ALL SELECT unit, form, 'neg' FROM sib UNION ALL SELECT unit, form, side FROM compound) GROUP BY name, side),
+picks AS (SELECT *, list_filter(CASE WHEN unit_spans[1]."end" - unit_spans[1].start = 1 AND len(list_filter(pool, lambda f: length(f) = 1)) > 0 THEN list_filter(pool, lambda f: length(f) = 1) ELSE pool END, lambda f: f <> unit) AS choice
+  FROM cindex JOIN named USING (unit) JOIN pool USING (name) WHERE len(unit_spans) > 0 AND unit_spans[1]."end" > unit_spans[1].start),
+one AS (SELECT *, choice[{_number(_drawn(7676, "sentence"), "len(choice)")} + 1] AS form FROM picks WHERE len(choice) > 0)
+SELECT keyword, unit, sentence, {SPLICE.format(s="unit_spans[1]", r="form")} AS permuted, form, side FROM one"""
+# words and suffixes for powers of a thousand, where the short number keeps all digits
+_SHORT = f"regexp_replace({FMT.format(v='x')}, '\\.0$', '')"
+_DIGITS = "regexp_replace(regexp_replace({c}, '[^0-9]', '', 'g'), '0+$', '')"
+SQL["format_value"] = f"""SELECT qid, plain, power, commas, CASE WHEN power = 0 OR NOT same THEN plain ELSE short || ' ' || ['', 'thousand', 'million', 'billion', 'trillion'][power + 1] END AS words,
+  CASE WHEN power = 0 OR NOT same THEN plain ELSE short || ['', 'k', 'm', 'bn', 'tn'][power + 1] END AS brief FROM
+  (SELECT *, {_DIGITS.format(c="short")} = {_DIGITS.format(c="plain")} AS same FROM (SELECT *, {_SHORT} AS short FROM (SELECT f.*, round(q.value / pow(1000.0, power), 3) AS x FROM ({SQL["format_value"]}) f JOIN queries q USING (qid))))"""
 for _mode in ("ratio", "expo"):
     for _name, _condition in (("eq", "="), ("gt", ">"), ("lt", "<"), ("range", "<<")):
         SQL[f"q{_mode}_{_name}"] = _with(*LEX, _index("binary"), WEIGHTED, _q(_mode)) + f"SELECT qid, doc_id, round(q, 6) AS q FROM qs JOIN asked USING (qid) WHERE condition = '{_condition}'"

@@ -152,13 +152,27 @@ def chunks(df: DataFrame, key: str, size: int, owners: int = 1) -> DataFrame:
 
 
 def write_training_tables(tables: dict[str, DataFrame], folder: str, suffix: str = "") -> None:
-    """Queries and passages as TSV without a header, judgements and triples as TSV and JSON lines."""
-    for name in ("queries", "collection", "triples"):
-        tables[name].write.mode("overwrite").csv(f"{folder}/{name}{suffix}", sep="\t", header=False)
+    """Queries, passages and triples as TSV without a header, judgements as TSV and as JSON by query, triples also as JSON lines."""
+    for name in ("queries", "collection", "triples", "id_triples"):
+        if name in tables:
+            tables[name].write.mode("overwrite").csv(f"{folder}/{name}{suffix}", sep="\t", header=False)
     q = tables["qrel"]
     q.select("query_id", F.lit(0).alias("zero"), "passage_id", "rel").write.mode("overwrite").csv(f"{folder}/qrel{suffix}", sep="\t", header=False)
+    write_nested_json(q.select(F.col("query_id").alias("qid"), F.col("passage_id").alias("doc_id"), "rel"), f"{folder}/qrel_json{suffix}", "rel")
     tables["triples"].write.mode("overwrite").json(f"{folder}/triples_json{suffix}")
 
 
+def write_metrics(evaluated: DataFrame, path: str) -> None:
+    """Metrics (split, metric, value) as one JSON object per split, one line each: ``{"split": ..., "metrics": {...}}``."""
+    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("metrics")
+    evaluated.groupBy("split").agg(entries).select(F.to_json(F.struct("split", "metrics")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """(split, metric, value) as ``write_metrics`` wrote them."""
+    rows = spark.read.schema("split string, metrics map<string,double>").json(path)
+    return rows.select("split", F.explode("metrics").alias("metric", "value"))
+
+
 def tsv_files(folder: str) -> list[str]:
     return sorted(str(p) for p in Path(folder).glob("*.tsv"))
