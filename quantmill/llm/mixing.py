@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from quantmill.llm import tokens as T
 from quantmill.session import cut
 
-#: Most cells that are raked: sources of the targets, times languages, times topics. Checked.
+#: Cells (sources of the targets, times languages, times topics) that the driver rakes itself; more are raked as a table.
 MAX_CELLS = 200_000
 ROUNDS, SETTLED = 200, 1e-12
 OTHER = "other"
@@ -109,6 +109,43 @@ def _fill(weight: np.ndarray, size: np.ndarray, most: np.ndarray, source: np.nda
     return np.where(full, most, scaled)
 
 
+def rake_table(cells: DataFrame, targets: DataFrame, total: float) -> DataFrame:
+    """``rake`` for any number of cells, as joins and sums; every round is checkpointed, and the driver sees only the largest change."""
+    used = F.sum(F.col("weight") * F.col("tokens"))
+    kept = cells.join(F.broadcast(targets), "source").withColumn("weight", F.least(F.lit(1.0), F.col("max_uses").cast("double")))
+    columns = kept.columns
+    for _ in range(ROUNDS):
+        now = kept.withColumn("before", F.col("weight"))
+        for side in ("topic", "lang"):
+            scale = F.col("all_now") / F.col("all_want") * F.col("want") / F.col("now")
+            by = now.groupBy(side).agg(used.alias("now"), F.sum("tokens").alias("want"))
+            every = by.agg(F.sum("now").alias("all_now"), F.sum("want").alias("all_want"))
+            factor = by.crossJoin(F.broadcast(every)).select(side, F.when(F.col("now") > 0, scale).otherwise(1.0).alias("factor"))
+            now = now.join(factor, side).withColumn("weight", F.least(F.col("weight") * F.col("factor"), F.col("max_uses").cast("double"))).drop("factor")
+        now = cut(_fill_table(cut(now), total))
+        step = now.agg(F.max(F.abs(F.col("weight") - F.col("before")))).first()[0] or 0.0
+        kept = now.select(*columns)
+        if step <= 1e-9:
+            break
+    return kept
+
+
+def _fill_table(cells: DataFrame, total: float) -> DataFrame:
+    """``_fill`` on a table: sources are scaled until no weight that is free passes its limit."""
+    most = F.col("max_uses").cast("double")
+    cells = cells.withColumn("full", F.lit(False))
+    while True:
+        held = F.sum(F.when(F.col("full"), most * F.col("tokens")).otherwise(0.0))
+        free = F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("weight") * F.col("tokens")))
+        by = cells.groupBy("source").agg(held.alias("held"), free.alias("free"))
+        factor = F.when(F.col("free") > 0, F.greatest(F.lit(0.0), F.col("target_share") * total - F.col("held")) / F.col("free")).otherwise(1.0)
+        scaled = cells.join(F.broadcast(by), "source").withColumn("scaled", F.when(F.col("full"), most).otherwise(F.col("weight") * factor))
+        scaled = cut(scaled.withColumn("over", ~F.col("full") & (F.col("scaled") >= most)).drop("held", "free"))
+        if scaled.where("over").isEmpty():
+            return scaled.withColumn("weight", F.col("scaled")).drop("scaled", "over", "full")
+        cells = scaled.withColumn("full", F.col("full") | F.col("over")).drop("scaled", "over")
+
+
 class Mix:
     """A mix of ``docs`` (doc_id, source, lang, text) by ``targets`` (source, target_share, max_uses), as large as all of ``docs``.
 
@@ -124,36 +161,42 @@ class Mix:
         self.total = float(self.sized.agg(F.sum("tokens")).first()[0] or 0)
         names = self.spark.createDataFrame(self.targets[["source"]], "source string")
         grouped = self.sized.join(F.broadcast(names), "source", "left_semi").groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents"))
-        cells = grouped.fillna({"lang": ""}).limit(MAX_CELLS + 1).toPandas()
-        if len(cells) > MAX_CELLS:
-            raise ValueError(f"more than {MAX_CELLS} cells of source, language and topic")
-        self.cells = rake(cells, self.targets, self.total)
+        grouped = cut(grouped.fillna({"lang": ""}))
+        if grouped.count() <= MAX_CELLS:
+            raked = rake(grouped.toPandas(), self.targets, self.total)
+            names = "source string, lang string, topic string, tokens long, documents long, weight double"
+            self.cells = self.spark.createDataFrame(raked[["source", "lang", "topic", "tokens", "documents", "weight"]], names)
+        else:
+            limits = self.spark.createDataFrame(self.targets, "source string, target_share double, max_uses int")
+            self.cells = rake_table(grouped, limits, self.total)
 
     def documents(self, seed: int = 7) -> DataFrame:
         """(doc_id, source, tokens, uses) of the documents used at least once."""
-        cells = self.spark.createDataFrame(self.cells[["source", "lang", "topic", "weight"]], "source string, lang string, topic string, weight double")
+        cells = self.cells.select("source", "lang", "topic", "weight")
         draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
         uses = F.floor("weight") + (draw < F.col("weight") - F.floor("weight")).cast("int")
         return (
-            self.sized.fillna({"lang": ""}).join(F.broadcast(cells), ["source", "lang", "topic"])
+            self.sized.fillna({"lang": ""}).join(cells, ["source", "lang", "topic"])
             .select("doc_id", "source", "tokens", uses.cast("int").alias("uses")).where("uses > 0")
         )
 
     def marginals(self) -> DataFrame:
         """(side, name, wanted_share, reached_share): of every source of the targets, language and topic, the share of the mix's tokens that it should have and
         that its calibrated weights give it. Languages and topics should keep the shares that they have among the documents of the targets."""
-        c = self.cells.assign(got=self.cells["weight"] * self.cells["tokens"])
-        used, own = max(c["got"].sum(), 1.0), max(c["tokens"].sum(), 1.0)
-        rows = [("source", t.source, float(t.target_share), float(c.loc[c["source"] == t.source, "got"].sum() / max(self.total, 1.0))) for t in self.targets.itertuples()]
+        got = F.sum(F.col("weight") * F.col("tokens")).alias("got")
+        targets = self.spark.createDataFrame(self.targets[["source", "target_share"]], "source string, target_share double")
+        share = F.coalesce("got", F.lit(0.0)) / F.lit(max(self.total, 1.0))
+        out = targets.join(self.cells.groupBy("source").agg(got), "source", "left").select(F.lit("source").alias("side"), F.col("source").alias("name"), F.col("target_share").alias("wanted_share"), share.alias("reached_share"))
+        every = self.cells.agg(F.sum("tokens").alias("all_own"), got.alias("all_got"))
         for side in ("lang", "topic"):
-            by = c.groupby(side)[["tokens", "got"]].sum()
-            rows += [(side, name, float(r.tokens / own), float(r.got / used)) for name, r in by.iterrows()]
-        return self.spark.createDataFrame(rows, "side string, name string, wanted_share double, reached_share double")
+            by = self.cells.groupBy(side).agg(F.sum("tokens").alias("own"), got).crossJoin(F.broadcast(every))
+            out = out.unionByName(by.select(F.lit(side).alias("side"), F.col(side).alias("name"), (F.col("own") / F.col("all_own")).alias("wanted_share"), (F.col("got") / F.col("all_got")).alias("reached_share")))
+        return out
 
     def shares(self) -> DataFrame:
         """(source, target_share, max_uses, documents, own_tokens, calibrated_share, sampled_share, outcome) for every target."""
-        c = self.cells.assign(got=self.cells["weight"] * self.cells["tokens"])
-        by = c.groupby("source").agg(own_tokens=("tokens", "sum"), documents=("documents", "sum"), got=("got", "sum"))
+        # one row for each source of the targets
+        by = self.cells.groupBy("source").agg(F.sum("tokens").alias("own_tokens"), F.sum("documents").alias("documents"), F.sum(F.col("weight") * F.col("tokens")).alias("got")).toPandas().set_index("source")
         t = self.targets.merge(by, left_on="source", right_index=True, how="left").fillna({"own_tokens": 0, "documents": 0, "got": 0})
         need = t["target_share"] * self.total
         t["calibrated_share"] = t["got"] / max(self.total, 1.0)

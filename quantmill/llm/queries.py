@@ -69,6 +69,13 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.group_pairs(groups).distinct().select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
 
 
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, first, size): the group of every record, by its smallest id, and the records in it."""
+    groups = neardup.near_duplicate_groups(_collection_texts(spark, sf_dir)).select("id", "group_id")
+    size = groups.groupBy("group_id").agg(F.min("id").alias("first"), F.count("*").alias("size"))
+    return groups.join(size, "group_id").select(F.col("id").alias("doc_id"), "first", "size")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.top_n(table(spark, sf_dir, "run"), "q_id", "doc_id", "score", 10).select("q_id", "rank", "doc_id")
 
@@ -103,7 +110,7 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p2_found, p3_found, p3_report, p4_found, p5_found, p6_found, p7_found, p7_shares, p7_marginals, p8_found, p8_pieces)
+    found = (p2_found, p3_found, p3_report, p4_found, p4_groups, p5_found, p6_found, p7_found, p7_shares, p7_marginals, p8_found, p8_pieces)
     return {f.__name__: f for f in found}
 
 
@@ -118,16 +125,20 @@ _OVERLAPS = f"""WITH texts AS (SELECT 'collection' AS tab, id, split, source, te
     """
 
 
+_GROUPS = f"""WITH RECURSIVE w AS (SELECT id, {_WORDS.format(t="text")} AS w FROM ({_LAST}) WHERE text IS NOT NULL), k AS (SELECT * FROM w WHERE len(w) > 0),
+    links AS MATERIALIZED (SELECT a.id AS x, b.id AS y FROM k a JOIN k b ON a.id <> b.id AND {_SIMILAR}),
+    reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+    """
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL over all pairs, phrases and windows: for the small scale that the driver checks."""
     return {
         "p3_found": _OVERLAPS + "SELECT tab, least(train_id, eval_id) AS id_a, greatest(train_id, eval_id) AS id_b FROM pairs",
         "p3_report": _OVERLAPS + """SELECT k.tab, k.split, k.source, count(*) AS records, count(p.eval_id) AS overlapping, coalesce(sum(CAST(p.same AS BIGINT)), 0)::BIGINT AS exact FROM k
             LEFT JOIN (SELECT tab, eval_id, bool_or(same) AS same FROM pairs GROUP BY tab, eval_id) p ON k.tab = p.tab AND k.id = p.eval_id WHERE k.split <> 'train' GROUP BY ALL""",
-        "p4_found": f"""WITH RECURSIVE w AS (SELECT id, {_WORDS.format(t="text")} AS w FROM ({_LAST}) WHERE text IS NOT NULL), k AS (SELECT * FROM w WHERE len(w) > 0),
-            links AS MATERIALIZED (SELECT a.id AS x, b.id AS y FROM k a JOIN k b ON a.id <> b.id AND {_SIMILAR}),
-            reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
-            SELECT DISTINCT x AS doc_id_a, y AS doc_id_b FROM reach WHERE x < y""",
+        "p4_found": _GROUPS + "SELECT DISTINCT x AS doc_id_a, y AS doc_id_b FROM reach WHERE x < y",
+        "p4_groups": _GROUPS + """SELECT doc_id, "first", count(*) OVER (PARTITION BY "first") AS size FROM (SELECT k.id AS doc_id, least(k.id, coalesce(min(y), k.id)) AS "first" FROM k LEFT JOIN reach ON x = k.id GROUP BY k.id)""",
         "p6_found": """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
             i AS (SELECT item_id, regexp_extract_all(lower(item_text), '[a-z0-9]+') AS w FROM eval_items WHERE item_text IS NOT NULL),
             phrases AS (SELECT item_id, len(w[p : p + 12]) AS n, array_to_string(w[p : p + 12], ' ') AS phrase FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS p FROM i WHERE len(w) > 0)),

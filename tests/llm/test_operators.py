@@ -247,6 +247,21 @@ def test_mix_outcomes(spark):
     assert {r.outcome for r in empty} <= {"capped", "within"}
 
 
+def test_raking_as_a_table_equals_raking_in_memory(spark, monkeypatch):
+    rng = random.Random(9)
+    docs = [(i, rng.choice(["bond yield ", "body weight ", "none of it "]) * rng.randrange(5, 30), rng.choice("aabc"), rng.choice(["en", "fr", None])) for i in range(300)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string")
+    c = spark.createDataFrame([("bond yield", "finance"), ("body weight", "clinical")], "concept string, topic string")
+    t = spark.createDataFrame([("a", 0.2, 1), ("b", 0.5, 3), ("c", 0.3, 1), ("zz", 0.1, 2)], "source string, target_share double, max_uses int")
+    monkeypatch.setattr(mixing, "ROUNDS", 2)
+    near = mixing.Mix(d, t, c)
+    monkeypatch.setattr(mixing, "MAX_CELLS", 3)
+    far = mixing.Mix(d, t, c)
+    weights = [{(r.source, r.lang, r.topic): r.weight for r in m.cells.collect()} for m in (near, far)]
+    assert set(weights[0]) == set(weights[1]) and len(weights[0]) > 20 and all(abs(weights[0][k] - weights[1][k]) < 1e-6 for k in weights[0])
+    assert [{r.source: r.outcome for r in m.shares().collect()} for m in (near, far)] == [{"a": "within", "b": "repeated", "c": "capped", "zz": "capped"}] * 2
+
+
 def test_topics():
     c = (("bond yield", "finance"), ("body weight", "clinical"))
     assert mixing.topic_of("BOND YIELD, bond yield and body weight", c) == "finance"
