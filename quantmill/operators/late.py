@@ -298,8 +298,9 @@ class LateIndex:
     bits: int
 
     @staticmethod
-    def build(tokens: DataFrame, centroids: DataFrame, bits: int = 2, exact: bool = True) -> LateIndex:
-        """Assign tokens to centroids and calibrate the buckets of residuals at their quantiles (exact, or to 1 / 10000)."""
+    def build(tokens: DataFrame, centroids: DataFrame, bits: int = 2, exact: bool = False) -> LateIndex:
+        """Assign tokens to centroids and calibrate the buckets of residuals at their quantiles: to 1 / 10000, or
+        exactly, which takes all residuals into one task and is for bounded samples."""
         coded = assign_codes(tokens, centroids)
         residuals = LateIndex.residuals_of(coded, centroids).select(F.explode("residual").alias("r"))
         n = 2**bits

@@ -48,8 +48,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p1_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The quantities routed for review, with the model's confidence."""
-    return _quantities(spark, sf_dir).where("how in ('review', 'open')")
+    """The quantities that are not converted: routed for review, with the model's confidence, or with an entry that is no unit."""
+    return _quantities(spark, sf_dir).where("how in ('review', 'open', 'foreign')")
 
 
 @query
@@ -284,7 +284,7 @@ def _query_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _late(spark: SparkSession, sf_dir: str) -> late.LateIndex:
     tokens = _tokens(spark, sf_dir)
-    return late.LateIndex.build(tokens, late.label_centroids(tokens), bits=2)
+    return late.LateIndex.build(tokens, late.label_centroids(tokens), bits=2, exact=True)
 
 
 def _top_maxsim(**options) -> Query:
@@ -362,7 +362,7 @@ def kmeans_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole index with trained centroids; passages of half of the cells are scored on their true vectors, none is cut by its centroids
     (two bits decoded find half of the best ten, and a second stage of three quarters of the passages less than 0.9)."""
     tokens = _tokens(spark, sf_dir)
-    index = late.LateIndex.build(tokens, late.kmeans_centroids(tokens, 16), bits=2, exact=False)
+    index = late.LateIndex.build(tokens, late.kmeans_centroids(tokens, 16), bits=2)
     passages = tokens.select("pid").distinct().count()
     return index.search(_query_tokens(spark, sf_dir), 10, late.SearchKnobs(8, 0.0, 4 * passages), vectors=tokens)
 
