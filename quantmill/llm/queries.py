@@ -109,8 +109,19 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_documents(table(spark, sf_dir, "documents"))
 
 
+def p8_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, chars, within, overlapping): the characters of a document's pieces without those shared with the piece before, whether no piece is over the
+    limit, and whether every piece but the first shares text with the one before."""
+    pieces = splitting.split_documents(table(spark, sf_dir, "documents"))
+    return pieces.groupBy("doc_id").agg(
+        F.sum(F.length("text") - F.col("shared_chars")).cast("long").alias("chars"),
+        (F.max("n_tokens") <= splitting.LIMIT).alias("within"),
+        (F.count_if(F.col("shared_chars") > 0) == F.count("*") - 1).alias("overlapping"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p2_found, p3_found, p3_report, p4_found, p4_groups, p5_found, p6_found, p7_found, p7_shares, p7_marginals, p8_found, p8_pieces)
+    found = (p2_found, p3_found, p3_report, p4_found, p4_groups, p5_found, p6_found, p7_found, p7_shares, p7_marginals, p8_found, p8_pieces, p8_cover)
     return {f.__name__: f for f in found}
 
 
@@ -148,6 +159,7 @@ def oracle_sql() -> dict[str, str]:
         "p7_found": """WITH own AS (SELECT source, sum(coalesce(length(text), 0)) AS own FROM documents GROUP BY source), total AS (SELECT sum(coalesce(length(text), 0)) AS total FROM documents)
             SELECT t.source, CASE WHEN coalesce(own, 0) * max_uses < target_share * total THEN 'capped' ELSE 'repeated' END AS outcome
             FROM mix_target t LEFT JOIN own USING (source), total WHERE coalesce(own, 0) < target_share * total""",
+        "p8_cover": r"""SELECT doc_id, length(text) AS chars, true AS within, true AS overlapping FROM documents WHERE len(regexp_extract_all(text, '\s?\p{L}+|\s?\p{N}+|\s?[^\s\p{L}\p{N}]+')) > 1000""",
         # pieces of the tokenizers' word pattern: no text has more of them than tokens
         "p8_found": r"""SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '\s?\p{L}+|\s?\p{N}+|\s?[^\s\p{L}\p{N}]+')) > 1000""",
         "p5_found": """

@@ -34,6 +34,8 @@ class Piece:
     first: int
     tokens: int
     text: str
+    #: Characters at its start that the piece before has too.
+    shared: int = 0
 
 
 class _Text:
@@ -116,13 +118,14 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, path: str
             else:
                 half = t.char_start((done + ends[first]) // 2, done + 1)
                 ends.insert(first, half)
-        out.append(Piece(start, size, piece))
+        out.append(Piece(start, size, piece, len(t.slice(start, done)) if done > start else 0))
         done = ends[k - 1]
     return out
 
 
 def split_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP, path: str = T.DEFAULT_VOCABULARY) -> DataFrame:
-    """(doc_id, piece, pieces, first_token, n_tokens, text) of the documents longer than ``limit`` tokens; ``piece`` counts from 0.
+    """(doc_id, piece, pieces, first_token, n_tokens, shared_chars, text) of the documents longer than ``limit`` tokens; ``piece`` counts from 0, and
+    ``shared_chars`` are those at a piece's start that the piece before has too.
 
     Documents within the limit give no row, as do null and empty texts. A document given twice is split twice. Texts of any length are
     taken whole; one without any separator is cut between characters. Other columns are ignored; an empty table gives no rows.
@@ -134,7 +137,7 @@ def split_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, piece, pieces, first, size, texts = [], [], [], [], [], []
+            at, piece, pieces, first, size, shared, texts = ([] for _ in range(7))
             for i, x in enumerate(b.column("text").to_pylist()):
                 found = split_text(x, limit, overlap, path)
                 if len(found) < 2:
@@ -144,11 +147,12 @@ def split_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 pieces += [len(found)] * len(found)
                 first += [p.first for p in found]
                 size += [p.tokens for p in found]
+                shared += [p.shared for p in found]
                 texts += [p.text for p in found]
             yield pa.record_batch(
                 [b.column("doc_id").take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(pieces, pa.int32()),
-                 pa.array(first, pa.int64()), pa.array(size, pa.int32()), pa.array(texts, pa.string())],
-                ["doc_id", "piece", "pieces", "first_token", "n_tokens", "text"],
+                 pa.array(first, pa.int64()), pa.array(size, pa.int32()), pa.array(shared, pa.int32()), pa.array(texts, pa.string())],
+                ["doc_id", "piece", "pieces", "first_token", "n_tokens", "shared_chars", "text"],
             )
 
-    return rows.mapInArrow(run, f"doc_id {kind}, piece int, pieces int, first_token long, n_tokens int, text string")
+    return rows.mapInArrow(run, f"doc_id {kind}, piece int, pieces int, first_token long, n_tokens int, shared_chars int, text string")
