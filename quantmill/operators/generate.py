@@ -247,16 +247,20 @@ def split_tables(tables: dict[str, DataFrame], held: DataFrame) -> tuple[dict[st
 
 
 def lookup_concepts(keywords: DataFrame, extensions: DataFrame) -> DataFrame:
-    """(keyword, concept, extension): the dictionary entry of a keyword: itself, else without its last letter, else one made of its words in another order (up to
-    four words)."""
+    """(keyword, concept, extension): the dictionary entry of a keyword: itself, else without its last letter, else one of as many words, all of them
+    the keyword's, in any order and with repetitions (keywords of up to four words)."""
     words = F.split("keyword", " ")
-    signature = lambda c: F.array_join(F.array_sort(F.array_distinct(F.split(c, " "))), " ")
+    distinct = lambda c: F.array_sort(F.array_distinct(F.split(c, " ")))
+    signature = lambda count, ws: F.concat(F.lit("\u0001"), F.size(count).cast("string"), F.lit(" "), F.array_join(ws, " "))
+    # a concept of some of the words, repeated, has the signature of a subset of them
+    subset = lambda m: F.filter(distinct(F.col("keyword")), lambda _, i: F.lit(m).bitwiseAND(F.pow(F.lit(2), i).cast("int")) != 0)
+    subsets = [F.struct(F.lit(3).alias("p"), F.when(F.size(words) <= 4, signature(words, subset(m))).alias("probe")) for m in range(1, 16)]
     probes = keywords.select("keyword", F.explode(F.array(
         F.struct(F.lit(1).alias("p"), F.col("keyword").alias("probe")),
-        F.struct(F.lit(2).alias("p"), F.expr("substring(keyword, 1, length(keyword) - 1)").alias("probe")),
-        F.struct(F.lit(3).alias("p"), F.when(F.size(words) <= 4, F.concat(F.lit("\u0001"), signature(F.col("keyword")))).alias("probe")),
-    )).alias("x")).select("keyword", "x.p", "x.probe").where("probe is not null")
-    entries = extensions.select("concept", "extension", F.explode(F.array(F.col("concept"), F.concat(F.lit("\u0001"), signature(F.col("concept"))))).alias("probe"))
+        F.struct(F.lit(2).alias("p"), F.expr("substring(keyword, 1, length(keyword) - 1)").alias("probe")), *subsets,
+    )).alias("x")).select("keyword", "x.p", "x.probe").where("probe is not null").distinct()
+    own = signature(F.split("concept", " "), distinct(F.col("concept")))
+    entries = extensions.select("concept", "extension", F.explode(F.array(F.col("concept"), own)).alias("probe"))
     hit = probes.join(entries, "probe").groupBy("keyword").agg(F.min(F.struct("p", "concept", "extension")).alias("h"))
     return hit.select("keyword", "h.concept", "h.extension")
 

@@ -358,6 +358,10 @@ class LateIndex:
         """(qid, pid) of the passages with a token in a probed cell."""
         return self.probe(query_tokens, ncells).select("qid", "code").distinct().join(self.ivf(), "code").select("qid", "pid").distinct()
 
+    def candidate_hits(self, query_tokens: DataFrame, ncells: int) -> DataFrame:
+        """(qid, pid, hits): the candidates with the number of probed cells that they have a token in."""
+        return self.probe(query_tokens, ncells).select("qid", "code").distinct().join(self.ivf(), "code").groupBy("qid", "pid").agg(F.count("*").alias("hits"))
+
     def approximate(self, pairs: DataFrame, query_tokens: DataFrame, threshold: float | None) -> DataFrame:
         """(qid, pid, score) of ``pairs`` from centroid scores alone; with a threshold, centroids that reach it for no token of the query are
         left out, and a query token without a centroid in the passage counts as the padding value."""

@@ -320,6 +320,11 @@ def candidate_pids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _late(spark, sf_dir).candidates(_query_tokens(spark, sf_dir), 1)
 
 
+@query
+def candidate_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _late(spark, sf_dir).candidate_hits(_query_tokens(spark, sf_dir), 2)
+
+
 @query
 def approx_score_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, q = _late(spark, sf_dir), _query_tokens(spark, sf_dir)

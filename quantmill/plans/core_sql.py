@@ -204,6 +204,7 @@ SQL: dict[str, str] = {
     "probe_cells": _with(TOKENS, CODES) + "SELECT qid, qtok, code, round(score, 5) AS score FROM cells WHERE n <= 2",
     "ivf": _with(TOKENS, CODES) + "SELECT code, pid FROM ivf",
     "centroid_counts": _with(TOKENS, CODES) + "SELECT cent.code, count(coded.code) AS tokens FROM cent LEFT JOIN coded ON cent.code = coded.code GROUP BY cent.code",
+    "candidate_hits": _with(TOKENS, CODES) + "SELECT qid, pid, count(*) AS hits FROM (SELECT DISTINCT qid, code FROM cells WHERE n <= 2) JOIN ivf USING (code) GROUP BY qid, pid",
     "candidate_pids": _with(TOKENS, CODES) + "SELECT DISTINCT qid, pid FROM cells JOIN ivf USING (code) WHERE n <= 1",
     "approx_score_pruned": _with(TOKENS, CODES, CAND2, _approx("cand", "ap", 0.1)) + "SELECT qid, pid, round(score, 5) AS score FROM ap",
     "staged_topk": _with(TOKENS, CODES, CAND2, _approx("cand", "ap1", 0.1), _cut("ap1", "first_", 64), _approx("first_", "ap2", None), _cut("ap2", "second_", 16), BEST.format(m=DOT))
@@ -238,7 +239,7 @@ SQL: dict[str, str] = {
     "concept_lookup": _with(CINDEX) + """, k AS (SELECT DISTINCT keyword FROM cindex),
 sig AS (SELECT concept, topic, array_to_string(list_sort(list_distinct(string_split(concept, ' '))), ' ') AS s FROM concept_ref),
 hits AS (SELECT keyword, 1 AS p, concept, topic FROM k JOIN sig ON keyword = concept UNION ALL SELECT keyword, 2, concept, topic FROM k JOIN sig ON left(keyword, length(keyword) - 1) = concept
-  UNION ALL SELECT keyword, 3, concept, topic FROM k JOIN sig ON array_to_string(list_sort(list_distinct(string_split(keyword, ' '))), ' ') = s WHERE len(string_split(keyword, ' ')) <= 4)
+  UNION ALL SELECT keyword, 3, concept, topic FROM k JOIN sig ON len(string_split(keyword, ' ')) <= 4 AND len(string_split(concept, ' ')) = len(string_split(keyword, ' ')) AND list_has_all(string_split(keyword, ' '), string_split(concept, ' ')))
 SELECT keyword, concept, topic AS extension FROM (SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY p, concept, topic) AS rn FROM hits) WHERE rn = 1""",
     "concept_extension": "SELECT DISTINCT concept, concept || ' report' AS extension FROM concept_ref WHERE concept IS NOT NULL",
     "split_semi": "SELECT DISTINCT * FROM qrel WHERE qid IN (SELECT CAST(qid AS VARCHAR) FROM queries WHERE split = 'val')",
@@ -316,7 +317,7 @@ SQL |= {
     "generation_passes": _with(PARTS, RANDOM.split(PIVOTS)[1].lstrip(",\n")) + """, many AS (SELECT keyword, unit FROM vals GROUP BY keyword, unit HAVING count(*) > 8),
   passes AS (SELECT keyword, condition, 'base' AS pass FROM conds WHERE "pivot" IS NOT NULL UNION ALL SELECT keyword, condition, 'random' || turn FROM rpivots JOIN many USING (keyword, unit)),
   k AS (SELECT DISTINCT keyword FROM cindex), sig AS (SELECT concept, array_to_string(list_sort(list_distinct(string_split(concept, ' '))), ' ') AS s FROM concept_ref),
-  named AS (SELECT DISTINCT keyword FROM k JOIN sig ON keyword = concept OR left(keyword, length(keyword) - 1) = concept OR (len(string_split(keyword, ' ')) <= 4 AND array_to_string(list_sort(list_distinct(string_split(keyword, ' '))), ' ') = s))
+  named AS (SELECT DISTINCT keyword FROM k JOIN sig ON keyword = concept OR left(keyword, length(keyword) - 1) = concept OR (len(string_split(keyword, ' ')) <= 4 AND len(string_split(concept, ' ')) = len(string_split(keyword, ' ')) AND list_has_all(string_split(keyword, ' '), string_split(concept, ' '))))
 SELECT pass, condition, count(*) AS queries FROM (SELECT pass, condition FROM passes UNION ALL SELECT pass || '+extension', condition FROM passes JOIN named USING (keyword)) GROUP BY pass, condition""",
     "value_permutation": _with(SPANNED) + f""", nums AS (SELECT *, row_number() OVER (PARTITION BY {KEY}, side ORDER BY new_value) - 1 AS number, count(*) OVER (PARTITION BY {KEY}, side) AS size
     FROM (SELECT DISTINCT {KEY}, CASE side WHEN 'pos' THEN 'neg' ELSE 'pos' END AS side, value AS new_value FROM spanned))

@@ -269,6 +269,25 @@ def test_random_passes_and_split_outputs(spark, tmp_path):
     assert io.read_nested_json_lines(spark, str(tmp_path / "qrel_json_val"), "int").count() == val["qrel"].count()
 
 
+def test_concept_lookup_equals_trying_all_tuples(spark):
+    import itertools
+
+    entries = ["wind", "wind wind", "farm wind", "cost of wind", "wind farm of", "net farm wind x", "oil price", "oil prices"]
+    asked = ["wind farm", "wind of", "cost wind of", "wind", "oil price", "oil pricess", "x net wind farm", "a b c d wind", "winds", "solar"]
+    known = set(entries)
+    want = {}
+    for k in asked:
+        words = k.split(" ")
+        tries = [k, k[:-1]] + ([" ".join(t) for t in itertools.product(words, repeat=len(words))] if len(words) <= 4 else [])
+        hits = [t for t in tries[:2] if t in known][:1] or [t for t in tries[2:] if t in known]
+        if hits:
+            want[k] = set(hits)
+    kw = spark.createDataFrame([(k,) for k in asked], "keyword string")
+    ex = spark.createDataFrame([(e, e.upper()) for e in entries], "concept string, extension string")
+    got = {r.keyword: r.concept for r in G.lookup_concepts(kw, ex).collect()}
+    assert set(got) == set(want) and all(got[k] in want[k] for k in got)
+
+
 def test_phrases_may_be_supplied(spark):
     df = spark.createDataFrame([("yield", 5.0, "pct", 3)], "k string, v double, u string, p int")
     assert df.select(N.template_query(F.col("k"), ">", F.col("v"), F.col("u"), F.col("p"), {">": ("past",)})).first()[0] == "yield past 5 pct"
