@@ -42,18 +42,52 @@ def read_queries_tsv(spark: SparkSession, path: str) -> DataFrame:
     file. ``value2`` may be absent. Unknown conditions raise when read."""
     raw = spark.read.csv(path, sep="\t", header=True, quote="")
     if "qid" not in raw.columns:
-        numbered = raw.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-        raw = spark.createDataFrame(numbered, ", ".join(f"`{c}` string" for c in raw.columns) + ", qid bigint")
+        from quantmill.operators.generate import with_ids
+
+        # a row's place: where its block of the file begins, and its number in the task that reads the block
+        placed = raw.withColumns({"_b": F.col("_metadata.file_block_start"), "_i": F.monotonically_increasing_id()})
+        raw = with_ids(placed, "qid", ["_b", "_i"]).drop("_b", "_i")
     condition = F.when(F.col("condition").isin(*S.CONDITIONS), F.col("condition")).otherwise(F.raise_error(F.concat(F.lit("unknown condition "), F.col("condition"))))
     second = F.col("value2").cast("double") if "value2" in raw.columns else F.lit(None).cast("double")
     return raw.select(F.col("qid").cast("int").alias("qid"), "query_text", "keywords", "unit", F.col("value").cast("double").alias("value"), second.alias("value2"), condition.alias("condition"))
 
 
-def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """(qid, query) from a TSV without a header or JSON lines with ``qid`` and ``question``."""
+def read_questions(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
+    """(qid, query) from a TSV without a header or JSON lines with ``qid`` and ``question``; ids that occur twice raise, unless ``check`` is off."""
     if path.endswith((".json", ".jsonl")):
-        return spark.read.schema("qid bigint, question string").json(path).select("qid", F.col("question").alias("query"))
-    return spark.read.schema("qid bigint, query string").csv(path, sep="\t", quote="")
+        rows = spark.read.schema("qid bigint, question string").json(path).select("qid", F.col("question").alias("query"))
+    else:
+        rows = spark.read.schema("qid bigint, query string").csv(path, sep="\t", quote="")
+    return require_unique(rows, "qid") if check else rows
+
+
+def require_unique(df: DataFrame, key: str) -> DataFrame:
+    """``df``, if no value of ``key`` occurs twice in it."""
+    twice = repeated_ids(df, key).limit(3).collect()
+    if twice:
+        raise ValueError(f"{key} is not unique: {', '.join(str(r[0]) for r in twice)}")
+    return df
+
+
+def passages(spark: SparkSession, source: str | list[str] | DataFrame) -> DataFrame:
+    """(pid, text) of a collection: a TSV of pid and text, a list of texts (numbered from 0), or a DataFrame, which is taken as it is."""
+    if isinstance(source, DataFrame):
+        return source.select(F.col("pid").cast("bigint").alias("pid"), "text")
+    if isinstance(source, str):
+        if not source.endswith(".tsv"):
+            raise ValueError(f"no collection: {source}")
+        return spark.read.schema("pid bigint, text string").csv(source, sep="\t", quote="")
+    return spark.createDataFrame(list(enumerate(source)), "pid bigint, text string")
+
+
+def write_ranking(ranking: DataFrame, path: str) -> None:
+    """(qid, pid, rank, score) with their types, clustered by query."""
+    ranking.select("qid", "pid", "rank", "score").repartitionByRange("qid").sortWithinPartitions("qid", "rank").write.mode("overwrite").parquet(path)
+
+
+def read_ranking(spark: SparkSession, path: str) -> DataFrame:
+    """A ranking as ``write_ranking`` or, for a path ending in ``.tsv``, ``write_ranking_tsv`` wrote it."""
+    return read_ranking_tsv(spark, path) if path.rstrip("/").endswith(".tsv") else spark.read.parquet(path)
 
 
 def repeated_ids(df: DataFrame, key: str) -> DataFrame:

@@ -34,7 +34,7 @@ def test_queries_tsv(spark, tmp_path):
 def test_questions(spark, tmp_path):
     p = tmp_path / "q.jsonl"
     p.write_text('{"qid": 3, "question": "what"}\n{"qid": 3, "question": "again"}\n')
-    df = io.read_questions(spark, str(p))
+    df = io.read_questions(spark, str(p), check=False)
     assert df.count() == 2 and io.repeated_ids(df, "qid").first()["count"] == 2
 
 
@@ -78,3 +78,41 @@ def test_analysers(spark):
     df = spark.createDataFrame([("The prices <num> of Café's 20% oil, rose!",), (None,)], "s string")
     rows = df.select(T.content_tokens(F.col("s")), T.keyword_tokens(F.col("s")), T.clean(F.col("s"))).collect()
     assert rows[0][0] == ["price", "cafe", "'s", "20", "%", "oil", "rose"] and rows[1][0] == [] and "Cafe's" in rows[0][2]
+
+
+def test_rows_are_numbered_by_their_place(spark, tmp_path):
+    """Also where a file is read in blocks by several tasks."""
+    p = tmp_path / "many.tsv"
+    n = 5000
+    p.write_text("query_text\tkeywords\tunit\tvalue\tcondition\n" + "".join(f"text of query {i} {'x' * (i % 50)}\tk{i}\tkg\t{i}.0\t>\n" for i in range(n)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        rows = io.read_queries_tsv(spark, str(p)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((r.qid, r.value) for r in rows) == [(i, float(i)) for i in range(n)]
+
+
+def test_ids_must_be_unique(spark, tmp_path):
+    p = tmp_path / "q.tsv"
+    p.write_text("1\ta\n2\tb\n1\tc\n")
+    with pytest.raises(ValueError, match="not unique"):
+        io.read_questions(spark, str(p))
+    assert io.read_questions(spark, str(p), check=False).count() == 3
+
+
+def test_collections_and_typed_rankings(spark, tmp_path):
+    p = tmp_path / "c.tsv"
+    p.write_text("0\tone\n1\ttwo\n")
+    want = [(0, "one"), (1, "two")]
+    for source in (str(p), ["one", "two"], spark.createDataFrame(want, "pid int, text string")):
+        assert sorted(map(tuple, io.passages(spark, source).collect())) == want
+    with pytest.raises(ValueError):
+        io.passages(spark, "c.jsonl")
+    ranking = spark.createDataFrame([(1, 5, 1, 0.5), (1, 6, 2, 0.25)], "qid long, pid long, rank int, score double")
+    io.write_ranking(ranking, str(tmp_path / "r"))
+    io.write_ranking_tsv(ranking, str(tmp_path / "r.tsv"))
+    for name in ("r", "r.tsv"):
+        back = io.read_ranking(spark, str(tmp_path / name))
+        assert back.dtypes == ranking.dtypes and sorted(map(tuple, back.collect())) == sorted(map(tuple, ranking.collect()))
