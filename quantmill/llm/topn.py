@@ -13,8 +13,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.internal import InternalFunction
+from pyspark.sql import DataFrame, Window, functions as F
+
+try:  # not a public name: without it the merge is a window with a limit, which Spark also cuts in each task
+    from pyspark.sql.internal import InternalFunction
+except ImportError:
+    InternalFunction = None
 
 #: Rows that a task holds before it compacts them, and after compaction before it sends them on.
 HOLD, SEND = 200_000, 1_000_000
@@ -79,6 +83,10 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int = 10) -> Data
 
     kept = rows.mapInArrow(reduce, "g string, item string, score double")
     once = kept.groupBy("g", "item").agg(F.max("score").alias("score"))
+    if InternalFunction is None:
+        order = Window.partitionBy("g").orderBy(F.desc("score"), F.desc("item"))
+        ranked = once.withColumn("r", F.row_number().over(order)).where(F.col("r") <= n)
+        return ranked.select(F.col("g").alias(group), F.col("r").alias("rank"), F.col("item").alias(item), F.col("score").alias(score))
     heap = InternalFunction.collect_top_k(F.struct("score", "item"), n, False)
     merged = once.groupBy("g").agg(heap.alias("top"))
     return merged.select("g", F.posexplode("top").alias("at", "x")).select(

@@ -35,6 +35,8 @@ def test_top_n_equals_brute_force(spark, monkeypatch):
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "q string, item string, s double, rank int, g string").repartition(5)
     got = topn.top_n(df, "q", "item", "s", 7).collect()
     assert {(r.q, r["rank"], r.item) for r in got} == best(rows, 7) and len(got) == len(best(rows, 7))
+    monkeypatch.setattr(topn, "InternalFunction", None)
+    assert {(r.q, r["rank"], r.item) for r in topn.top_n(df, "q", "item", "s", 7).collect()} == best(rows, 7)
     assert topn.top_n(df.where("false"), "q", "item", "s", 7).count() == 0
 
 
