@@ -171,7 +171,7 @@ class UnitClassifier:
         drawn = hashed.orderBy("h", "doc_id", "pos").limit(SAMPLE).withColumn("own", F.col("unit"))
         # each once with what its sentence states, and once without, as for quantities whose sentence is silent
         drawn = drawn.withColumn("silent", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("blind", F.when(F.col("silent") == 1, FOREIGN).otherwise(F.col("blind")))
-        rows = Habits(each.where("half = 1")).candidates(drawn.select("h", "doc_id", "pos", "silent", "value", "source", "concept", "blind", "neighbour", "own"), "blind").select("h", "doc_id", "pos", "silent", "blind", "own", "candidate", "features").toPandas()
+        rows = Habits(each.where("half = 1")).candidates(drawn.select("h", "doc_id", "pos", "silent", "value", "source", "concept", "blind", "neighbour", "own"), "blind").select("h", "doc_id", "pos", "silent", "blind", "own", "candidate", "features").toArrow().to_pandas()
         if rows["own"].nunique() < 2:
             return
         rows = rows.sort_values(["h", "doc_id", "pos", "silent", "candidate"], ignore_index=True)
@@ -180,7 +180,8 @@ class UnitClassifier:
             return
         quantity = rows.groupby(["h", "doc_id", "pos"], sort=False).ngroup()
         held = quantity < max(1, int((quantity.max() + 1) * HELD_OUT))
-        frame = lambda part: spark.createDataFrame(part[["doc_id", "pos", "silent", "blind", "own", "candidate", "features", "label"]]).coalesce(1).withColumn("features", array_to_vector("features"))
+        columns = ["doc_id", "pos", "silent", "blind", "own", "candidate", "features", "label"]
+        frame = lambda part: spark.createDataFrame(pa.Table.from_pandas(part[columns], preserve_index=False)).coalesce(1).withColumn("features", array_to_vector("features"))
         forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, featureSubsetStrategy="0.7", subsamplingRate=0.7, seed=11)
         model = forest.fit(frame(rows[~held])) if (~held).any() and rows.loc[~held, "label"].nunique() == 2 else None
         if model is None:
