@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from quantmill.functions.numeric import kernel
 from quantmill.operators.corpus import top_k
+from quantmill.session import cut
 
 
 @dataclass
@@ -56,6 +57,7 @@ class SparseIndex:
         scored = self.dot(query_weights, threshold)
         if not numeric:
             return top_k(scored, k).select("qid", "doc_id", "rank", "score")
+        scored = cut(scored)  # the normalisation, the gate and the ranking read it
         norm = self.normalised(scored).join(self.gate(scored), "qid", "left")
         gated = norm.where("norm > gate").select("qid", "doc_id")
         usable = queries.where("value is not null and condition is not null and unit is not null").select("qid", "condition", "value", "value2", "unit")
