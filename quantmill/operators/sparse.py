@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quantmill.functions.numeric import kernel
+from quantmill.operators.cells import Asked, Block, Found, Grid, with_quantity
 from quantmill.operators.corpus import top_k
 from quantmill.session import cut
 
@@ -54,19 +55,33 @@ class SparseIndex:
     def rank(self, queries: DataFrame, query_weights: DataFrame, k: int = 10, numeric: bool = False, threshold: float = 0.0) -> DataFrame:
         """(qid, doc_id, rank, score). With ``numeric``, normalised scores; documents above the gate gain the mean kernel over their values of
         the query's unit. ``queries`` (qid, condition, value, value2, unit)."""
-        scored = self.dot(query_weights, threshold)
         if not numeric:
-            return top_k(scored, k).select("qid", "doc_id", "rank", "score")
-        scored = cut(scored)  # the normalisation, the gate and the ranking read it
-        norm = self.normalised(scored).join(self.gate(scored), "qid", "left")
-        gated = norm.where("norm > gate").select("qid", "doc_id")
-        usable = queries.where("value is not null and condition is not null and unit is not null").select("qid", "condition", "value", "value2", "unit")
-        v = self.quantities.where("value is not null").select("doc_id", F.col("unit").alias("v_unit"), F.col("value").alias("v"))
-        met = gated.join(usable, "qid").join(v, "doc_id").where("unit = v_unit")
-        add = kernel(F.col("condition"), F.col("v"), F.col("value"), F.col("value2"), "ratio", guarded=False)
-        q = met.groupBy("qid", "doc_id").agg((F.sum(add) / F.count("*")).alias("q"))
-        total = norm.join(q, ["qid", "doc_id"], "left").select("qid", "doc_id", (F.col("norm") + F.coalesce("q", F.lit(0.0))).alias("score"))
-        return top_k(total.where(F.col("score") > threshold), k).select("qid", "doc_id", "rank", "score")
+            return top_k(self.dot(query_weights, threshold), k).select("qid", "doc_id", "rank", "score")
+        weighted = query_weights.where("qw is not null").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("term", F.col("qw").cast("double").alias("times")))).alias("set"))
+        asked = weighted.join(queries.select("qid", "condition", "value", "value2", "unit"), "qid", "left")
+        grid = Grid(asked, lambda terms: self.postings.join(terms, "term", "left_semi"), self.quantities)
+
+        def find(block: Block, at: np.ndarray, score: np.ndarray, hits: np.ndarray, facts: dict, asked: Asked) -> Found:
+            at, score = at[score > threshold], score[score > threshold]
+            lo, span = facts["lo"], facts["hi"] - facts["lo"]
+            norm = (score - lo) / span if span > 0 else np.zeros(len(score))
+            usable = ~np.isnan(asked.low) & np.array([u is not None for u in asked.unit.tolist()], bool)
+            return with_quantity(block, at, norm, norm > facts["gate"], asked, usable, k, "ratio", 1.0, guarded=False)
+
+        found = grid.ranked(find, self._gates(grid, threshold))
+        return top_k(found.where(F.col("score") > threshold), k).select("qid", "doc_id", "rank", "score")
+
+    def _gates(self, grid: Grid, threshold: float, quantile: float = 0.25) -> DataFrame:
+        """(sid, hi, lo, gate) of every set: bounds of its scores over all documents, and the gate. This is 0 unless so many documents match that the
+        quantile is a match; only the scores of such sets are written."""
+        side = cut(grid.statistics(threshold).crossJoin(F.broadcast(self.n_docs)))
+        side = side.withColumn("lo", F.when(F.col("m") < F.col("n"), F.least(F.lit(0.0), F.col("lo"))).otherwise(F.col("lo")))
+        wide = side.where(F.ceil(quantile * (F.col("n") - 1)) >= F.col("n") - F.col("m")).select("sid")
+        if wide.isEmpty():
+            return side.select("sid", "hi", "lo", F.lit(0.0).alias("gate"))
+        terms = grid.sets.join(wide, "sid").select(F.col("sid").alias("qid"), F.explode("set").alias("t")).select("qid", F.col("t.term").alias("term"), F.col("t.times").alias("qw"))
+        gates = self.gate(cut(self.dot(terms, threshold)), quantile).withColumnRenamed("qid", "sid")
+        return cut(side.join(gates, "sid", "left").select("sid", "hi", "lo", F.coalesce("gate", F.lit(0.0)).alias("gate")))
 
     def histogram(self) -> DataFrame:
         """(term, postings): the length of every posting list."""

@@ -5,8 +5,11 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
+from quantmill.functions.numeric import kernel
 from quantmill.operators import cells, lexical
+from quantmill.operators.corpus import top_k
 from quantmill.operators.lexical import LexicalIndex
+from quantmill.operators.sparse import SparseIndex
 
 WORDS = [f"w{i}" for i in range(12)]
 QUERY = "qid int, terms array<string>, condition string, value double, value2 double, unit string"
@@ -73,3 +76,30 @@ def test_filter_equals_scores_of_all_pairs(spark, tables):
         want.setdefault(r.qid, []).append((0.0 if fails else round(r.score, 9), r.doc_id))
     want = sorted((q, n + 1, d, s) for q, rows in want.items() for n, (s, d) in enumerate(sorted(rows, reverse=True)[:5]))
     assert ranking(index.rank(asked, 5, numeric="filter")) == want
+
+
+def test_sparse_ranking_in_blocks(spark, tables, monkeypatch):
+    """Against the ranking of all pairs, with sets that more than three quarters of the documents match, whose gate is a match."""
+    docs, values, asked = tables
+    weights = docs.select("doc_id", F.explode("terms").alias("term")).groupBy("doc_id", "term").agg((F.count("*") + F.col("doc_id") % 5).cast("double").alias("w"))
+    index = SparseIndex.build(weights, docs, values)
+    asked = asked.where("condition is null or condition <> '>' or value is not null")
+    q = asked.select("qid", F.explode(F.array_distinct("terms")).alias("term"), F.lit(1.0).alias("qw"))
+    dots = index.dot(q)
+    norm = index.normalised(dots).join(index.gate(dots), "qid")
+    assert norm.where("gate > 0").count() and norm.where("gate = 0").count()
+    usable = asked.where("value is not null and condition is not null and unit is not null").select("qid", "condition", "value", "value2", "unit")
+    v = values.where("value is not null and value <> 0").select("doc_id", F.col("unit").alias("u"), F.col("value").alias("v"))
+    close = kernel(F.col("condition"), F.col("v"), F.col("value"), F.nullif(F.col("value2"), F.lit(0.0)), "ratio", guarded=True)
+    met = norm.where("norm > gate").select("qid", "doc_id").join(usable.where("value <> 0"), "qid").join(v, "doc_id").where("u = unit").groupBy("qid", "doc_id").agg((F.sum(close) / F.count("*")).alias("q"))
+    want = ranking(top_k(norm.join(met, ["qid", "doc_id"], "left").select("qid", "doc_id", (F.col("norm") + F.coalesce("q", F.lit(0.0))).alias("score")).where("score > 0"), 5))
+    kept = values.where("value is not null and value <> 0")
+    own = SparseIndex(index.postings, index.n_docs, kept)
+    asked = asked.where("value <> 0 or value is null")
+    want = [r for r in want if r[0] in {x.qid for x in asked.collect()}]
+    q = q.join(asked.select("qid"), "qid", "left_semi")
+    blocked(monkeypatch)
+    written = []
+    monkeypatch.setattr(cells, "cut", lambda df, own=cells.cut: written.append(own(df)) or written[-1])
+    assert ranking(own.rank(asked, q, 5, numeric=True)) == want
+    assert max(df.count() for df in written) <= index.postings.count()
