@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantmill.functions.numeric import kernel
-from quantmill.operators import cells, lexical
+from quantmill.operators import cells, late, lexical
 from quantmill.operators.corpus import top_k
 from quantmill.operators.lexical import LexicalIndex
+from quantmill.operators.rankers import LateRanker
 from quantmill.operators.sparse import SparseIndex
 
 WORDS = [f"w{i}" for i in range(12)]
@@ -103,3 +104,15 @@ def test_sparse_ranking_in_blocks(spark, tables, monkeypatch):
     monkeypatch.setattr(cells, "cut", lambda df, own=cells.cut: written.append(own(df)) or written[-1])
     assert ranking(own.rank(asked, q, 5, numeric=True)) == want
     assert max(df.count() for df in written) <= index.postings.count()
+
+
+def test_late_search_plan_does_not_grow_with_queries(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"{WORDS[i % 12]} {WORDS[i * 5 % 12]} t{i}") for i in range(30)], "doc_id long, text string")
+    ranker = LateRanker.build(docs, str(tmp_path / "late"), knobs=late.SearchKnobs(8, 0.0, 4096))
+    asked = spark.createDataFrame([(i, f"{WORDS[i % 12]} {WORDS[i * 7 % 12]}") for i in range(6000)] + [(6000, None)], "qid int, query string")
+    plan = lambda n: len(ranker.search_all(asked.where(f"qid < {n}"), 3)._jdf.queryExecution().optimizedPlan().toString())
+    assert plan(6001) < 1.1 * plan(10)
+    few = {(r.qid, r["rank"], r.doc_id, round(r.score, 9)) for r in ranker.search_all(asked.where("qid < 24"), 3).collect()}
+    assert {q for q, *_ in few} == set(range(24)) and {r for r in few if r[0] < 12} == {(q - 12, *r) for q, *r in few if q >= 12 and (q - 12) * 7 % 12 == q * 7 % 12}
+    exact = ranker.exhaustive(asked.where("qid < 12"), 3).collect()
+    assert {r for r in few if r[0] < 12} == {(r.qid, r["rank"], r.doc_id, round(r.score, 9)) for r in exact}
