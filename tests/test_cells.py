@@ -1,7 +1,10 @@
 """Rankings in blocks: what is written, and that the blocks do not change the result."""
 
 import itertools
+import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +106,25 @@ def test_sparse_ranking_in_blocks(spark, tables, monkeypatch):
     monkeypatch.setattr(cells, "cut", lambda df, own=cells.cut: written.append(own(df)) or written[-1])
     assert ranking(own.rank(asked, q, 5, numeric=True)) == want
     assert max(df.count() for df in written) <= index.postings.count()
+
+
+def test_units_hold_their_own_values_only():
+    """Of 200 units with one value each a block holds no list of all 200 documents."""
+    n = 200
+    kinds = pa.array([0] * n + [1] * n, pa.int8())
+    docs = pa.array([*range(n), *range(n)], pa.int64())
+    rows = pa.table({"kind": kinds, "doc_id": docs, "keys": pa.array([[7]] * 2 * n, pa.list_(pa.int64())), "xs": pa.array([[float(i)] for i in range(2 * n)]), "unit": pa.array([None] * n + [f"u{i}" for i in range(n)], pa.string())})
+    block = cells.Block(rows)
+    for i in range(n):
+        some, v, begin = block.values(f"u{i}").take(np.array([i - 1, i, i + 1]).clip(0, n - 1))
+        assert (n + i in v) and len(v) == len(some) == len(begin)
+    assert sum(x.size for held in block._values.values() for x in vars(held).values()) < 5 * n
+    assert len(block.values("other").take(np.arange(n))[0]) == 0 and len(block.values(None, every=True).take(np.arange(n))[0]) == n
+
+
+def test_tokens_are_not_shuffled_to_meet_units(spark):
+    docs = spark.createDataFrame([(1, ["usd", "a", "a"]), (2, ["b"]), (3, [])], "doc_id long, terms array<string>").repartition(3, "doc_id")
+    values = spark.createDataFrame([(1, "usd", 1.0), (1, "eur", 2.0), (1, "eur", 3.0), (2, None, 4.0), (3, "usd", 5.0), (4, "usd", 5.0)], "doc_id long, unit string, value double").repartition(3, "doc_id")
+    postings = LexicalIndex.build(docs, values, unit_terms=True, binary=True).postings
+    assert sorted((r.doc_id, r.term, r.tf) for r in postings.collect()) == [(1, "a", 1), (1, "eur", 1), (1, "usd", 1), (2, "b", 1), (3, "usd", 1), (4, "usd", 1)]
+    assert not re.search(r"hashpartitioning\(doc_id#\d+L?, term#", postings._jdf.queryExecution().executedPlan().toString())
