@@ -128,3 +128,11 @@ def test_tokens_are_not_shuffled_to_meet_units(spark):
     postings = LexicalIndex.build(docs, values, unit_terms=True, binary=True).postings
     assert sorted((r.doc_id, r.term, r.tf) for r in postings.collect()) == [(1, "a", 1), (1, "eur", 1), (1, "usd", 1), (2, "b", 1), (3, "usd", 1), (4, "usd", 1)]
     assert not re.search(r"hashpartitioning\(doc_id#\d+L?, term#", postings._jdf.queryExecution().executedPlan().toString())
+
+
+def test_documents_are_sent_to_as_few_blocks_of_sets_as_hold_the_queries(spark, tables):
+    docs, values, asked = tables
+    grid = cells.Grid(asked.withColumn("set", cells.term_set(F.col("terms"))), lambda terms: LexicalIndex.build(docs, values).weights(terms=terms), values)
+    assert grid.docs.count() == docs.count() and grid.blocks == 1
+    grid.blocks, grid.n_sets = 100, 4000
+    assert grid._parts(200_000, cells.QUERIES) == 2
