@@ -136,3 +136,64 @@ def test_documents_are_sent_to_as_few_blocks_of_sets_as_hold_the_queries(spark,
     assert grid.docs.count() == docs.count() and grid.blocks == 1
     grid.blocks, grid.n_sets = 100, 4000
     assert grid._parts(200_000, cells.QUERIES) == 2
+
+
+def random_block(rng, n):
+    """A block of ``n`` documents with one word, some of them with values of two units, and queries on them."""
+    docs = [(0, i, [7], [0.0], None) for i in range(n)] + [(1, int(i), [0], [float(rng.integers(1, 9))], u) for u in ("usd", "eur") for i in rng.integers(0, n, n)]
+    types = (pa.int8(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.string())
+    block = cells.Block(pa.table([pa.array([d[i] for d in docs], t) for i, t in enumerate(types)], ["kind", "doc_id", "keys", "xs", "unit"]))
+    m = 60
+    condition = np.array([("<", ">", "=", "<<", None)[i % 5] for i in range(m)], object)
+    low, high = rng.integers(0, 10, m).astype(float), rng.integers(1, 9, m).astype(float)
+    low[::11] = np.nan
+    return block, cells.Asked(pa.array(range(m)), condition, low, high, np.array([("usd", "eur", None, "yen")[i % 4] for i in range(m)], object))
+
+
+def listed(found):
+    n, places, score = (np.concatenate(x) for x in zip(*found))
+    return {q: [(int(d), round(float(s), 9)) for d, s in zip(places[n == q], score[n == q])] for q in set(n.tolist())}
+
+
+@pytest.mark.parametrize("first, fixed, low", [(3, True, 0.0), (3, False, -0.4), (40, True, -1.0), (10_000, True, 0.0)])
+def test_filter_of_the_first_documents_is_that_of_all(monkeypatch, first, fixed, low):
+    monkeypatch.setattr(cells, "FIRST", first)
+    rng = np.random.default_rng(first)
+    block, asked = random_block(rng, 300)
+    at = np.sort(rng.choice(300, 200, replace=False))
+    score, full = np.round(rng.uniform(low, 1, 200), 1), rng.random(200) < 0.8
+    values = {d: np.concatenate([v[p == d] for p, v in block.units.values()]) for d in at.tolist()}
+    want = {}
+    for n in range(60):
+        met = [cells.meets(asked.condition[n], values[d][None, :], asked.low[[n]], asked.high[[n]], fixed).any() for d in at.tolist()]
+        s = np.array([0.0 if f and len(values[d]) and not m else x for f, d, m, x in zip(full, at.tolist(), met, score)])
+        top = cells.best(s, at, 5)
+        want[n] = list(zip(at[top].tolist(), np.round(s[top], 9).tolist()))
+    assert listed(cells.filtered(block, at, score, full, asked, 5, fixed)) == want
+
+
+@pytest.mark.parametrize("options", [{}, {"unit_terms": True, "binary": True}])
+def test_documents_are_analysed_twice(spark, tables, options):
+    """For the statistics and for the weights."""
+    docs, values, asked = tables
+    read = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for batch in rows:
+            read.add(batch.num_rows)
+            yield batch
+
+    index = LexicalIndex.build(docs.mapInArrow(count, docs.schema), values, **options)
+    index.rank(asked, 5, numeric="filter").collect()
+    assert read.value <= 2 * docs.count()
+
+
+@pytest.mark.parametrize("options", [{}, {"unit_terms": True, "binary": True}, {"binary": True}])
+def test_lists_hold_the_weights(spark, tables, options):
+    docs, values, _ = tables
+    more = spark.createDataFrame([(99, "w1", 1.0), (99, "eur", 2.0)], "doc_id long, unit string, value double")
+    index = LexicalIndex.build(docs.unionByName(spark.createDataFrame([(98, ["w1", "w1", "usd"]), (97, [])], docs.schema)), values.unionByName(more), **options)
+    terms = spark.createDataFrame([(w, i) for i, w in enumerate(["w1", "w2", "x", "usd", "nowhere"])], "term string, key long")
+    want = sorted((r.doc_id, r.key, round(r.w, 12)) for r in index.weights(terms=terms.select("term")).join(terms, "term").collect())
+    got = sorted((r.doc_id, k, round(x, 12)) for r in index.lists(terms).collect() for k, x in zip(r["keys"], r.xs))
+    assert got == want and len(want) > 100 and not index.lists(terms.where("key = 4")).count()
