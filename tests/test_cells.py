@@ -197,3 +197,18 @@ def test_lists_hold_the_weights(spark, tables, options):
     want = sorted((r.doc_id, r.key, round(r.w, 12)) for r in index.weights(terms=terms.select("term")).join(terms, "term").collect())
     got = sorted((r.doc_id, k, round(x, 12)) for r in index.lists(terms).collect() for k, x in zip(r["keys"], r.xs))
     assert got == want and len(want) > 100 and not index.lists(terms.where("key = 4")).count()
+
+
+def test_places_of_a_term_are_in_order():
+    """However the documents arrive, so that those of a set are merged, and not looked for among all of the block."""
+    rng = np.random.default_rng(1)
+    ids = rng.permutation(500)
+    keys = [sorted(rng.choice(6, 2, replace=False).tolist()) for _ in ids]
+    rows = pa.table({"kind": pa.array([0] * 500, pa.int8()), "doc_id": pa.array(ids), "keys": pa.array(keys, pa.list_(pa.int64())), "xs": pa.array([[1.0, 2.0]] * 500), "unit": pa.array([None] * 500, pa.string())})
+    block = cells.Block(rows)
+    assert len(block.postings) == 6 and all((np.diff(p) > 0).all() for p, _ in block.postings.values())
+    own = {d: dict(zip(k, (1.0, 2.0))) for d, k in zip(ids.tolist(), keys)}
+    for asked in ([0], [1, 2], [0, 1, 2, 3, 4, 5], [9], [9, 3]):
+        at, score, hits = block.scored([{"term": t, "times": 1.0 + t} for t in asked])
+        want = {d: (sum(x[t] * (1 + t) for t in asked if t in x), sum(t in x for t in asked)) for d, x in own.items() if any(t in x for t in asked)}
+        assert {d: (s, h) for d, s, h in zip(at.tolist(), score.tolist(), hits.tolist())} == want and (np.diff(at) > 0).all()
