@@ -212,3 +212,22 @@ def test_places_of_a_term_are_in_order():
         at, score, hits = block.scored([{"term": t, "times": 1.0 + t} for t in asked])
         want = {d: (sum(x[t] * (1 + t) for t in asked if t in x), sum(t in x for t in asked)) for d, x in own.items() if any(t in x for t in asked)}
         assert {d: (s, h) for d, s, h in zip(at.tolist(), score.tolist(), hits.tolist())} == want and (np.diff(at) > 0).all()
+
+
+def test_terms_are_counted_within_a_document(spark):
+    docs = spark.createDataFrame([(1, ["b", "a", "b", "c", "b", "a"]), (2, ["c"]), (3, []), (4, ["a", None, "a", None, "d"])], "doc_id long, terms array<string>")
+    postings = LexicalIndex.build(docs).postings
+    assert {(r.doc_id, r.term, r.tf) for r in postings.collect()} == {(1, "a", 2), (1, "b", 3), (1, "c", 1), (2, "c", 1), (4, None, 2), (4, "a", 2), (4, "d", 1)}
+    assert postings.count() == 7 and dict(postings.dtypes)["tf"] == "bigint"
+    assert not re.search("Aggregate|Exchange", postings._jdf.queryExecution().executedPlan().toString())
+
+
+def test_a_stored_index_shuffles_no_posting_by_its_term(spark, tables, tmp_path):
+    docs, values, asked = tables
+    index = LexicalIndex.build(docs, values).save(str(tmp_path / "index"))
+    terms = spark.createDataFrame([("w1",), ("x",)], "term string")
+    plan = index._asked_weights(terms, 1.5, 0.75)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(term#", plan)
+    key = lambda df: sorted((r.term, r.doc_id, round(r.w, 12)) for r in df.collect())
+    assert key(index._asked_weights(terms, 1.5, 0.75)) == key(LexicalIndex.build(docs, values).weights(terms=terms)) != []
+    assert ranking(index.rank(asked, 5, numeric="filter")) == ranking(LexicalIndex.build(docs, values).rank(asked, 5, numeric="filter"))
