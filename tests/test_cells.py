@@ -231,3 +231,18 @@ def test_a_stored_index_shuffles_no_posting_by_its_term(spark, tables, tmp_path)
     key = lambda df: sorted((r.term, r.doc_id, round(r.w, 12)) for r in df.collect())
     assert key(index._asked_weights(terms, 1.5, 0.75)) == key(LexicalIndex.build(docs, values).weights(terms=terms)) != []
     assert ranking(index.rank(asked, 5, numeric="filter")) == ranking(LexicalIndex.build(docs, values).rank(asked, 5, numeric="filter"))
+
+
+def test_documents_are_analysed_once_where_no_term_is_known(spark, tables):
+    docs, values, asked = tables
+    read = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for batch in rows:
+            read.add(batch.num_rows)
+            yield batch
+
+    unknown = asked.withColumn("terms", F.transform("terms", lambda t: F.concat(F.lit("zq"), t)))
+    index = LexicalIndex.build(docs.mapInArrow(count, docs.schema), values, unit_terms=True, binary=True)
+    got = ranking(index.rank(unknown, 5, numeric="ratio"))
+    assert got and read.value <= docs.count()
