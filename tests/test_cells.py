@@ -246,3 +246,15 @@ def test_documents_are_analysed_once_where_no_term_is_known(spark, tables):
     index = LexicalIndex.build(docs.mapInArrow(count, docs.schema), values, unit_terms=True, binary=True)
     got = ranking(index.rank(unknown, 5, numeric="ratio"))
     assert got and read.value <= docs.count()
+
+
+@pytest.mark.parametrize("numeric", ["filter", "ratio", "expo"])
+def test_no_value_is_sent_to_a_block_where_no_term_is_known(spark, tables, monkeypatch, numeric):
+    docs, values, asked = tables
+    blocked(monkeypatch)
+    index = LexicalIndex.build(docs, values, unit_terms=True, binary=True)
+    lost = index.rank(asked.where("qid between 100 and 106"), 5, numeric=numeric)
+    assert "of_sets" not in lost._jdf.queryExecution().optimizedPlan().toString()
+    # as where other queries have terms that are known
+    among = [r for r in ranking(index.rank(asked, 5, numeric=numeric)) if 100 <= r[0] <= 106]
+    assert ranking(lost) == among and bool(among) == (numeric != "filter")
