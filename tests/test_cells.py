@@ -258,3 +258,24 @@ def test_no_value_is_sent_to_a_block_where_no_term_is_known(spark, tables, monke
     # as where other queries have terms that are known
     among = [r for r in ranking(index.rank(asked, 5, numeric=numeric)) if 100 <= r[0] <= 106]
     assert ranking(lost) == among and bool(among) == (numeric != "filter")
+
+
+def test_texts_are_not_analysed_for_terms_that_no_record_has(spark, tables):
+    docs, values, asked = tables
+    read = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for batch in rows:
+            read.add(batch.num_rows)
+            yield batch
+
+    # words of replaced records may be among them
+    words = docs.select(F.explode("terms").alias("term")).unionByName(values.select(F.col("unit").alias("term"))).unionByName(spark.createDataFrame([("replaced",)], "term string"))
+    index = LexicalIndex.build(docs.mapInArrow(count, docs.schema), values, unit_terms=True, binary=True, words=words)
+    plain = LexicalIndex.build(docs, values, unit_terms=True, binary=True)
+    unknown = asked.withColumn("terms", F.transform("terms", lambda t: F.concat(F.lit("zq"), t)))
+    assert ranking(index.rank(unknown, 5, numeric="ratio")) == ranking(plain.rank(unknown, 5, numeric="ratio")) != [] and read.value == 0
+    some = unknown.withColumn("terms", F.when(F.col("qid") == 0, F.array(F.lit("replaced"))).otherwise(F.col("terms")))
+    for own in (asked, some, some.where("qid = 0")):
+        assert ranking(index.rank(own, 5, numeric="ratio")) == ranking(plain.rank(own, 5, numeric="ratio")) != []
+    assert read.value > 0
